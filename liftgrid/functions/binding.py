@@ -6,28 +6,26 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ORDER = 64
 
 
-@lru_cache(maxsize=1)
-def _nodes_sql() -> str:
+@lru_cache(maxsize=2)
+def _nodes(_context: int) -> Column:
+    """Node positions and weights on [0, 1] as one literal, built once per context."""
     nodes, weights = np.polynomial.legendre.leggauss(_ORDER)
-    cells = ", ".join(
-        f"struct({(x + 1) / 2!r}D AS x, {w / 2!r}D AS w)"
-        for x, w in zip(nodes.tolist(), weights.tolist())
-    )
-    return f"array({cells})"
+    return F.arrays_zip(F.lit((nodes + 1) / 2), F.lit(weights / 2))
 
 
 def integrate(integrand: Callable[[Column], Column]) -> Column:
     """Gauss-Legendre integral of ``integrand`` over [0, 1], evaluated in the JVM."""
     return F.aggregate(
-        F.expr(_nodes_sql()),
+        _nodes(id(SparkContext._active_spark_context)),
         F.lit(0.0),
-        lambda total, node: total + node["w"] * integrand(node["x"]),
+        lambda total, node: total + node["1"] * integrand(node["0"]),
     )
 
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from liftgrid.functions.binding import let
 from liftgrid.functions.distributions import (
     detectable_shift,
     normal_quantile,
@@ -36,27 +37,39 @@ def two_proportion_z(
 
     The statistic is NULL, and nothing significant, when nobody or everybody converts.
     """
-    n_c, x_c, n_t, x_t = (
-        c.cast("double") for c in (n_control, conv_control, n_treatment, conv_treatment)
-    )
-    rate_c, rate_t = F.try_divide(x_c, n_c), F.try_divide(x_t, n_t)
-    pooled = F.try_divide(x_c + x_t, n_c + n_t)
-    pooled_se = F.sqrt(pooled * (1 - pooled) * (1 / n_c + 1 / n_t))
-    lift = rate_t - rate_c
-    z = F.try_divide(lift, pooled_se)
-    p_value = normal_two_sided(z)
-    half = normal_quantile(1 - alpha / 2) * F.sqrt(
-        rate_c * (1 - rate_c) / n_c + rate_t * (1 - rate_t) / n_t
-    )
-    return F.struct(
-        z.alias("z_stat"),
-        p_value.alias("p_value"),
-        F.when(rate_c > 0, lift / rate_c).otherwise(F.lit(0.0)).alias("relative_lift"),
-        lift.alias("absolute_lift"),
-        (lift - half).alias("ci_lower"),
-        (lift + half).alias("ci_upper"),
-        _significant(p_value, alpha).alias("significant"),
-    )
+
+    def test(s: Column) -> Column:
+        n_c, x_c, n_t, x_t = s["n_c"], s["x_c"], s["n_t"], s["x_t"]
+        rate_c, rate_t = F.try_divide(x_c, n_c), F.try_divide(x_t, n_t)
+        pooled = F.try_divide(x_c + x_t, n_c + n_t)
+        return let(
+            report,
+            rate_c=rate_c,
+            lift=rate_t - rate_c,
+            z=F.try_divide(
+                rate_t - rate_c, F.sqrt(pooled * (1 - pooled) * (1 / n_c + 1 / n_t))
+            ),
+            half=normal_quantile(1 - alpha / 2)
+            * F.sqrt(rate_c * (1 - rate_c) / n_c + rate_t * (1 - rate_t) / n_t),
+        )
+
+    def report(s: Column) -> Column:
+        rate_c, lift, half = s["rate_c"], s["lift"], s["half"]
+        return let(
+            lambda b: F.struct(
+                s["z"].alias("z_stat"),
+                b["p"].alias("p_value"),
+                F.when(rate_c > 0, lift / rate_c).otherwise(F.lit(0.0)).alias("relative_lift"),
+                lift.alias("absolute_lift"),
+                (lift - half).alias("ci_lower"),
+                (lift + half).alias("ci_upper"),
+                _significant(b["p"], alpha).alias("significant"),
+            ),
+            p=normal_two_sided(s["z"]),
+        )
+
+    inputs = dict(n_c=n_control, x_c=conv_control, n_t=n_treatment, x_t=conv_treatment)
+    return let(test, **{name: c.cast("double") for name, c in inputs.items()})
 
 
 def welch_statistic(
@@ -93,24 +106,45 @@ def welch_t(
     ``ci_lower``/``ci_upper`` use n1+n2-2 degrees of freedom; the ``_welch`` interval uses
     those of the test itself and never contradicts ``significant``.
     """
+
+    def test(s: Column) -> Column:
+        t, df, error = welch_statistic(
+            s["n_t"], s["mean_t"], s["var_t"], s["n_c"], s["mean_c"], s["var_c"]
+        )
+        return let(
+            tails,
+            t=t,
+            df=df,
+            error=error,
+            df_total=s["n_c"] + s["n_t"] - 2,
+            difference=s["mean_t"] - s["mean_c"],
+            pooled_std=F.sqrt((s["var_c"] + s["var_t"]) / 2),
+        )
+
+    def tails(s: Column) -> Column:
+        return let(
+            lambda b: F.struct(
+                s["t"].alias("t_stat"),
+                b["p"].alias("p_value"),
+                F.coalesce(F.try_divide(s["difference"], s["pooled_std"]), F.lit(0.0)).alias(
+                    "cohens_d"
+                ),
+                (s["difference"] - b["half"]).alias("ci_lower"),
+                (s["difference"] + b["half"]).alias("ci_upper"),
+                (s["difference"] - b["half_welch"]).alias("ci_lower_welch"),
+                (s["difference"] + b["half_welch"]).alias("ci_upper_welch"),
+                _significant(b["p"], alpha).alias("significant"),
+            ),
+            p=welch_p_value(s["t"], s["df"]),
+            half=student_critical(alpha, s["df_total"]) * s["error"],
+            half_welch=student_critical(alpha, s["df"]) * s["error"],
+        )
+
     n_c, n_t = n_control.cast("double"), n_treatment.cast("double")
-    var_c = F.when(n_c > 1, var_control)
-    var_t = F.when(n_t > 1, var_treatment)
-    t, df, error = welch_statistic(n_t, mean_treatment, var_t, n_c, mean_control, var_c)
-    difference = mean_treatment - mean_control
-    p_value = welch_p_value(t, df)
-    pooled_std = F.sqrt((var_c + var_t) / 2)
-    half = student_critical(alpha, n_c + n_t - 2) * error
-    half_welch = student_critical(alpha, df) * error
-    return F.struct(
-        t.alias("t_stat"),
-        p_value.alias("p_value"),
-        F.coalesce(F.try_divide(difference, pooled_std), F.lit(0.0)).alias("cohens_d"),
-        (difference - half).alias("ci_lower"),
-        (difference + half).alias("ci_upper"),
-        (difference - half_welch).alias("ci_lower_welch"),
-        (difference + half_welch).alias("ci_upper_welch"),
-        _significant(p_value, alpha).alias("significant"),
+    return let(
+        test,
+        n_c=n_c, mean_c=mean_control, var_c=F.when(n_c > 1, var_control),
+        n_t=n_t, mean_t=mean_treatment, var_t=F.when(n_t > 1, var_treatment),
     )
 
 
@@ -157,12 +191,15 @@ def minimum_detectable_effect(
     h = detectable_shift(alpha, power) * F.sqrt(
         1 / n_control.cast("double") + 1 / n_treatment.cast("double")
     )
-    angle = F.asin(F.sqrt(baseline)) + h / 2
-    reached = F.sin(F.least(angle, F.lit(math.pi / 2)))
-    return F.struct(
-        F.abs(reached * reached - baseline).alias("mde"),
-        (angle > math.pi / 2).alias("mde_capped"),
-    )
+
+    def effect(s: Column) -> Column:
+        reached = F.sin(F.least(s["angle"], F.lit(math.pi / 2)))
+        return F.struct(
+            F.abs(reached * reached - s["rate"]).alias("mde"),
+            (s["angle"] > math.pi / 2).alias("mde_capped"),
+        )
+
+    return let(effect, angle=F.asin(F.sqrt(baseline)) + h / 2, rate=baseline)
 
 
 def required_sample_size(

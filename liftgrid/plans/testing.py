@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from liftgrid.functions.binding import let
 from liftgrid.operators.corrections import apply_corrections
 from liftgrid.operators.frequentist import two_proportion_z, welch_t
 from liftgrid.operators.metrics import METRICS
@@ -17,7 +18,7 @@ def _rate_test(metric: str, successes: str, alpha: float) -> Column:
         F.col("control_n_users"), F.col(f"control_{successes}"),
         F.col("treatment_n_users"), F.col(f"treatment_{successes}"), alpha,
     )
-    return _row(metric, test, "z_stat", test["absolute_lift"], test["relative_lift"])
+    return _row(metric, test, "z_stat", "absolute_lift", "relative_lift")
 
 
 def _mean_test(metric: str, measure: str, alpha: float) -> Column:
@@ -26,21 +27,25 @@ def _mean_test(metric: str, measure: str, alpha: float) -> Column:
         F.col(f"control_var_{measure}"), F.col("treatment_n_users"),
         F.col(f"treatment_mean_{measure}"), F.col(f"treatment_var_{measure}"), alpha,
     )
-    nothing = F.lit(None).cast("double")
-    return _row(metric, test, "t_stat", nothing, nothing)
+    return _row(metric, test, "t_stat", None, None)
 
 
-def _row(metric: str, test: Column, statistic: str, lift: Column, relative: Column) -> Column:
-    return F.struct(
-        F.lit(metric).alias("metric"),
-        test[statistic].alias("statistic"),
-        test["p_value"].alias("p_value"),
-        test["significant"].alias("significant"),
-        lift.alias("absolute_lift"),
-        relative.alias("relative_lift"),
-        test["ci_lower"].alias("ci_lower"),
-        test["ci_upper"].alias("ci_upper"),
-    )
+def _row(metric: str, test: Column, statistic: str, lift: str | None, relative: str | None) -> Column:
+    def row(s: Column) -> Column:
+        test = s["test"]
+        nothing = F.lit(None).cast("double")
+        return F.struct(
+            F.lit(metric).alias("metric"),
+            test[statistic].alias("statistic"),
+            test["p_value"].alias("p_value"),
+            test["significant"].alias("significant"),
+            (test[lift] if lift else nothing).alias("absolute_lift"),
+            (test[relative] if relative else nothing).alias("relative_lift"),
+            test["ci_lower"].alias("ci_lower"),
+            test["ci_upper"].alias("ci_upper"),
+        )
+
+    return let(row, test=test)
 
 
 def check_metrics(metrics: Sequence[str]) -> None:

@@ -16,11 +16,16 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+STATIC = {
+    # Plans here hold many small expressions; recording the Python call site of each one
+    # takes longer than running a small query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
 
 
 def build_session(app_name: str = "liftgrid", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
-    for key, value in {**RUNTIME, **conf}.items():
+    for key, value in {**STATIC, **RUNTIME, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
