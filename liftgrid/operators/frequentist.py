@@ -24,6 +24,11 @@ def _significant(p_value: Column, alpha: float) -> Column:
     return F.coalesce(p_value < alpha, F.lit(False))
 
 
+def _users(count: Column) -> Column:
+    """A sample size to divide by; an empty arm gives NULL."""
+    return F.nullif(count.cast("double"), F.lit(0.0))
+
+
 def spread_struct(df: DataFrame, struct: Column) -> DataFrame:
     """``df`` with the fields of ``struct`` as further columns."""
     return df.withColumn("_fields", struct).select("*", "_fields.*").drop("_fields")
@@ -68,8 +73,11 @@ def two_proportion_z(
             p=normal_two_sided(s["z"]),
         )
 
-    inputs = dict(n_c=n_control, x_c=conv_control, n_t=n_treatment, x_t=conv_treatment)
-    return let(test, **{name: c.cast("double") for name, c in inputs.items()})
+    return let(
+        test,
+        n_c=_users(n_control), x_c=conv_control.cast("double"),
+        n_t=_users(n_treatment), x_t=conv_treatment.cast("double"),
+    )
 
 
 def welch_statistic(
@@ -140,7 +148,7 @@ def welch_t(
             half_welch=student_critical(alpha, s["df"]) * s["error"],
         )
 
-    n_c, n_t = n_control.cast("double"), n_treatment.cast("double")
+    n_c, n_t = _users(n_control), _users(n_treatment)
     return let(
         test,
         n_c=n_c, mean_c=mean_control, var_c=F.when(n_c > 1, var_control),
@@ -188,9 +196,7 @@ def minimum_detectable_effect(
 
     Arms so small that the detectable rate would pass 1 report the distance to 1.
     """
-    h = detectable_shift(alpha, power) * F.sqrt(
-        1 / n_control.cast("double") + 1 / n_treatment.cast("double")
-    )
+    h = detectable_shift(alpha, power) * F.sqrt(1 / _users(n_control) + 1 / _users(n_treatment))
 
     def effect(s: Column) -> Column:
         reached = F.sin(F.least(s["angle"], F.lit(math.pi / 2)))

@@ -74,7 +74,9 @@ def weighted_moments(weighted: DataFrame, value: str, by: Sequence[str] = EXPERI
         squares = F.greatest(F.col(f"{arm}_wxx") - F.col(f"{arm}_wx") * mean, F.lit(0.0))
         columns[f"{arm}_mean"] = F.col("centre") + mean
         columns[f"{arm}_ss"] = squares
-        columns[f"{arm}_var"] = F.try_divide(squares, F.col(f"{arm}_w") - 1)
+        columns[f"{arm}_var"] = F.when(
+            F.col(f"{arm}_w") > 1, squares / (F.col(f"{arm}_w") - 1)
+        )
     return moments.withColumns(columns)
 
 
@@ -89,7 +91,9 @@ def adjusted_t_test(
     moments = weighted_moments(weighted, value, by)
     difference = F.col("t_mean") - F.col("c_mean")
     # Standard error of a weighted mean: sqrt(S / W) / sqrt(W - 1).
-    error = F.sqrt(F.try_divide(F.col("t_ss"), F.col("t_w"))) / F.sqrt(F.col("t_w") - 1)
+    error = F.when(
+        F.col("t_w") > 1, F.sqrt(F.col("t_ss") / F.col("t_w")) / F.sqrt(F.col("t_w") - 1)
+    )
     t = F.try_divide(difference, error)
     p_value = student_two_sided(t, F.col("t_w") - 1)
     return _test_frame(moments, by, t, p_value, alpha)

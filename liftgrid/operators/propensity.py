@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -174,8 +176,9 @@ def score_propensity(model: PipelineModel, features: DataFrame) -> DataFrame:
 class PropensityModel:
     """Classifier of one experiment with its cross-validated AUC."""
 
-    def __init__(self, classifier: str = "boosted", **settings):
+    def __init__(self, classifier: str = "boosted", parallelism: int = FOLDS, **settings):
         self.classifier = classifier
+        self.parallelism = parallelism
         self.settings = settings
         self.model: PipelineModel | None = None
         self.cv_auc: float | None = None
@@ -184,16 +187,23 @@ class PropensityModel:
         return feature_pipeline(self.classifier, **self.settings).fit(data)
 
     def train(self, data: DataFrame, folds: int = FOLDS) -> float:
-        """Fit on all rows of a ``training_set`` of one experiment; returns the mean AUC."""
+        """Fit on all rows of a ``training_set`` of one experiment; returns the mean AUC.
+
+        The fold models and the final one are independent distributed fits; up to
+        ``parallelism`` of them share the cluster at a time.
+        """
         ensure_checkpoint_dir(data.sparkSession)
         data = materialize(stratified_folds(data, folds), "propensity-training")
+        fold = F.col("fold")
+        samples = [data.filter(fold != k) for k in range(folds)] + [data]
+        fit = inheritable_thread_target(data.sparkSession)(self._fit)
+        with ThreadPool(max(1, self.parallelism)) as pool:
+            *fold_models, self.model = pool.map(fit, samples)
         held_out = [
-            score_propensity(self._fit(data.filter(F.col("fold") != k)), data.filter(F.col("fold") == k))
-            for k in range(folds)
+            score_propensity(model, data.filter(fold == k)) for k, model in enumerate(fold_models)
         ]
         aucs = rank_auc(reduce(DataFrame.unionByName, held_out), by=("fold",))
         self.cv_auc = aucs.agg(F.avg("auc")).first()[0]
-        self.model = self._fit(data)
         return self.cv_auc
 
     def predict_propensity(self, features: DataFrame) -> DataFrame:

@@ -45,7 +45,8 @@ def enroll(tables: ControlTables, features: DataFrame, experiments: Sequence[Exp
     tables.add_variants(variants_frame(spark, experiments))
     assigned = assign_all_users(distinct_users(features), experiments)
     tables.add_assignments(
-        assigned.withColumn("variant_id", F.concat_ws("_", "experiment_id", "variant"))
+        assigned.withColumn("variant_id", F.concat_ws("_", "experiment_id", "variant")),
+        [e.experiment_id for e in experiments],
     )
     return assignment_summary(
         tables.experiments(), tables.read("variants"), tables.read("user_assignments")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,9 +81,19 @@ class ControlTables:
                 f"CREATE TABLE IF NOT EXISTS {self._name(table)} ({columns}) "
                 f"USING parquet {parts} {place}"
             )
-            if partition and self.location:
+            if partition and self.location and self._has_folder(table):
                 self.spark.sql(f"MSCK REPAIR TABLE {self._name(table)}")
 
+    def _has_folder(self, table: str) -> bool:
+        """False before the first append, when there are no partitions to discover."""
+        try:
+            self.spark.read.schema(_TABLES[table][0]).parquet(f"{self.location}/{table}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return True
+
     def read(self, table: str) -> DataFrame:
         return self.spark.table(self._name(table))
 
@@ -126,16 +137,22 @@ class ControlTables:
 
     # Assignments --------------------------------------------------------------------
 
-    def add_assignments(self, rows: DataFrame) -> None:
+    def add_assignments(self, rows: DataFrame, experiment_ids: Sequence[str] | None = None) -> None:
         """Append (user_id, experiment_id, variant_id) of users not assigned yet.
 
-        The first assignment of a user to an experiment wins. Only the partitions of the
-        incoming experiments are read, and each is rewritten into files sized by AQE.
+        The first assignment of a user to an experiment wins. When the caller names the
+        experiments in ``rows``, only their partitions are compared with.
         """
-        fresh = absent_rows(
-            rows, self.read("user_assignments"), ["user_id", "experiment_id"]
-        ).withColumn("assigned_at", F.current_timestamp())
-        self._append("user_assignments", fresh.hint("rebalance", "experiment_id"))
+        existing = self.read("user_assignments")
+        if experiment_ids is not None:
+            existing = existing.filter(F.col("experiment_id").isin(*experiment_ids))
+        fresh = absent_rows(rows, existing, ["user_id", "experiment_id"])
+        self._append(
+            "user_assignments",
+            fresh.withColumn("assigned_at", F.current_timestamp()).hint(
+                "rebalance", "experiment_id"
+            ),
+        )
 
     def assignments(self, experiment_id: str | None = None) -> DataFrame:
         return resolve_variants(

@@ -50,7 +50,7 @@ def read_events(
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         events = spark.createDataFrame([], CLEAN_EVENTS)
-    return events.select(*columns) if columns else events
+    return events.select(*(columns or CLEAN_EVENTS.names))
 
 
 def register_events(events: DataFrame, view: str = "events") -> None:

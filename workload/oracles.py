@@ -626,6 +626,18 @@ def all_oracles() -> dict[str, str]:
                    round(lo, 4) AS ci_lower, round(hi, 4) AS ci_upper, round(p, 6) AS p_value
             FROM vals v LEFT JOIN own o ON o.experiment_id = v.experiment_id
                  AND o.variant = v.variant AND o.metric = v.metric_name""",
+        "analyze_tests": f"""{TESTS},
+            cnt AS (SELECT experiment_id, n_users::DOUBLE AS n,
+                           avg(n_users) OVER (PARTITION BY experiment_id) AS e FROM arms),
+            stat AS (SELECT experiment_id, count(*) AS k, sum((n - e) * (n - e) / (n + e)) AS chi2
+                     FROM cnt GROUP BY experiment_id)
+            SELECT experiment_id, exps.name, round({chi2_p('chi2', 'k')}, 8) AS srm_p_value,
+                   k::INTEGER AS n_variants, (k - 1)::INTEGER AS n_sizings,
+                   (k - 1)::INTEGER AS n_posteriors, metric, variant, round(p, 6) AS p_value,
+                   coalesce(p < 0.05, FALSE) AS significant, bh AS significant_corrected,
+                   round(lift, 8) AS absolute_lift, round(rel, 8) AS relative_lift,
+                   round(lo, 4) AS ci_lower, round(hi, 4) AS ci_upper
+            FROM bh JOIN stat USING (experiment_id) JOIN exps USING (experiment_id)""",
         "decision_view": f"""{TESTS},
             cnt AS (SELECT experiment_id, n_users::DOUBLE AS n,
                            avg(n_users) OVER (PARTITION BY experiment_id) AS e FROM arms),

@@ -594,6 +594,7 @@ def q_ipw_end_to_end(spark, sf_dir):
         metrics.user_outcomes(events, START, END),
         ["exp_A", "exp_C"],
         "logistic",
+        maxIter=10,
     )
 
 
@@ -630,6 +631,23 @@ def q_analyze(spark, sf_dir):
     return analysis.analyze(arms(spark, sf_dir), experiments, daily=daily)
 
 
+def q_analyze_tests(spark, sf_dir):
+    """The documents of ``analyze`` laid flat: one row per test with its split check."""
+    experiments, _ = experiment_dims(prepare(spark))
+    documents = analysis.analyze(arms(spark, sf_dir), experiments)
+    tests = documents.select(
+        "experiment_id", "name",
+        F.col("srm_check")["p_value"].alias("srm_p_value"),
+        F.size("variants").alias("n_variants"),
+        F.size("sample_size_analysis").alias("n_sizings"),
+        F.size("bayesian").alias("n_posteriors"),
+        F.explode("frequentist").alias("test"),
+    ).select("*", "test.*").drop("test")
+    return rounded(
+        tests, srm_p_value=8, p_value=6, absolute_lift=8, relative_lift=8, ci_lower=4, ci_upper=4
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return {
         name[2:]: function
