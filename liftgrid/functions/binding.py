@@ -1,4 +1,9 @@
-"""Column helpers for numeric work inside one row."""
+"""Column helpers for numeric work inside one row.
+
+The formulas behind them are Spark SQL text with lambda functions: one parse instead of
+hundreds of Column calls, and a value bound by ``let`` is computed once per row, where a
+plain sub-expression inside a lambda would be evaluated again for every element.
+"""
 
 from __future__ import annotations
 
@@ -15,25 +20,35 @@ _ORDER = 64
 
 @lru_cache(maxsize=2)
 def _nodes(_context: int) -> Column:
-    """Node positions and weights on [0, 1] as one literal, built once per context."""
+    """Gauss-Legendre positions and weights on [0, 1] as one literal per context."""
     nodes, weights = np.polynomial.legendre.leggauss(_ORDER)
     return F.arrays_zip(F.lit((nodes + 1) / 2), F.lit(weights / 2))
 
 
-def integrate(integrand: Callable[[Column], Column]) -> Column:
-    """Gauss-Legendre integral of ``integrand`` over [0, 1], evaluated in the JVM."""
-    return F.aggregate(
-        _nodes(id(SparkContext._active_spark_context)),
-        F.lit(0.0),
-        lambda total, node: total + node["1"] * integrand(node["0"]),
+def bind(body: str, **values: Column) -> Column:
+    """``body`` evaluated with the values as fields of ``s``; ``s.nodes`` is added."""
+    values["nodes"] = _nodes(id(SparkContext._active_spark_context))
+    bound = F.struct(*[value.alias(name) for name, value in values.items()])
+    return F.element_at(
+        F.call_function("transform", F.array(bound), F.expr(f"s -> {body}")), 1
     )
 
 
-def let(body: Callable[[Column], Column], **values: Column) -> Column:
-    """Evaluate ``values`` once per row and hand them to ``body`` as one struct.
+def sql_let(name: str, value: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` standing for ``value``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
 
-    Inside a higher-order function a plain sub-expression would be evaluated again for
-    every element.
-    """
+def sql_integral(variable: str, integrand: str) -> str:
+    """SQL text of the integral of ``integrand`` over ``variable`` in [0, 1]."""
+    total, node = f"{variable}_total", f"{variable}_node"
+    at_node = integrand.replace(f"<{variable}>", f"{node}.`0`")
+    return (
+        f"aggregate(s.nodes, 0D, ({total}, {node}) -> {total} + {node}.`1` * ({at_node}))"
+    )
+
+
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """The same binding for bodies built from Columns."""
     bound = F.struct(*[value.alias(name) for name, value in values.items()])
     return F.element_at(F.transform(F.array(bound), body), 1)

@@ -14,11 +14,12 @@ from statistics import NormalDist
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from liftgrid.functions.binding import integrate, let
+from liftgrid.functions.binding import bind, sql_integral, sql_let
 
-_NEGLIGIBLE = 40.0
+_NEGLIGIBLE = "40D"
 # Beyond this many degrees of freedom the t tail is a corrected normal tail.
-_LARGE_DF = 1e6
+_LARGE_DF = "1000000D"
+_NEWTON_STEPS = 10
 
 
 def normal_quantile(p: float) -> float:
@@ -41,126 +42,100 @@ def detectable_shift(alpha: float, power: float) -> float:
     return (low + high) / 2
 
 
-def _upper_normal(x: Column) -> Column:
-    """P(Z > x) for x >= 0."""
-
-    def tail(s: Column) -> Column:
-        x, width = s["x"], s["width"]
-        area = width * integrate(lambda u: F.exp(-x * width * u - width * width * u * u / 2))
-        return F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * area
-
-    width = F.least(F.try_divide(F.lit(_NEGLIGIBLE), x), F.lit(9.0))
-    return F.when(x.isNotNull(), let(tail, x=x, width=width))
-
-
-def normal_two_sided(z: Column) -> Column:
-    """P(|Z| > |z|)."""
-    return let(lambda s: 2 * _upper_normal(s["z"]), z=F.abs(z))
+def _normal_sql(z: str) -> str:
+    """P(|Z| > z) for the name ``z`` of a value >= 0."""
+    step = "z_width * <v>"
+    area = sql_integral("v", f"exp(-{step} * ({z} + {step} / 2))")
+    return sql_let(
+        "z_width",
+        f"least(try_divide({_NEGLIGIBLE}, {z}), 9D)",
+        f"{math.sqrt(2 / math.pi)!r}D * exp(-{z} * {z} / 2) * z_width * {area}",
+    )
 
 
-def _cosine_mass(angle: Column, df: Column, slope: Column) -> Column:
+def _sine_mass_sql(angle: str, df: str, slope: str) -> str:
     """Integral of sin^(df-1) from 0 to ``angle``; ``slope`` is (df-1) angle cot(angle) + 1."""
+    area = sql_integral(
+        "v", f"exp(({df} - 1) * ln(sin({angle} * exp(-width * <v>))) - width * <v>)"
+    )
+    return sql_let(
+        "width",
+        f"least({_NEGLIGIBLE} / ({slope}), {_NEGLIGIBLE} / {df} + 6 / sqrt({df}))",
+        f"width * {angle} * {area}",
+    )
 
-    def mass(s: Column) -> Column:
-        angle, df, width = s["angle"], s["df"], s["width"]
-        return width * angle * integrate(
-            lambda u: F.exp(
-                (df - 1) * F.ln(F.sin(angle * F.exp(-width * u))) - width * u
-            )
-        )
 
-    width = F.least(_NEGLIGIBLE / slope, _NEGLIGIBLE / df + 6 / F.sqrt(df))
-    return let(mass, angle=angle, df=df, width=width)
+def _half_mass_sql(df: str) -> str:
+    return _sine_mass_sql(f"{math.pi / 2!r}D", df, "1D")
 
 
-def _half_mass(df: Column) -> Column:
-    return _cosine_mass(F.lit(math.pi / 2), df, F.lit(1.0))
+def _tail_mass_sql(t: str, df: str) -> str:
+    slope = f"({df} - 1) * angle * {t} / sqrt({df}) + 1"
+    return sql_let("angle", f"atan2(sqrt({df}), {t})", _sine_mass_sql("angle", df, slope))
 
 
-def _tail_mass(t: Column, df: Column) -> Column:
-    root = F.sqrt(df)
-    angle = F.atan2(root, t)
-    return let(
-        lambda s: _cosine_mass(
-            s["angle"], s["df"], (s["df"] - 1) * s["angle"] * s["t"] / s["root"] + 1
-        ),
-        angle=angle, df=df, t=t, root=root,
-    )
+def normal_two_sided(z: Column) -> Column:
+    """P(|Z| > |z|)."""
+    return bind(_normal_sql("s.z"), z=F.abs(z))
 
 
 def student_two_sided(t: Column, df: Column) -> Column:
     """P(|T| > |t|) of Student's t with a positive, possibly fractional, df."""
-
-    def tail(s: Column) -> Column:
-        t, df = s["t"], s["df"]
-        as_normal = normal_two_sided(t * (1 - (t * t + 1) / (4 * df)))
-        return F.when(df > _LARGE_DF, as_normal).otherwise(_tail_mass(t, df) / _half_mass(df))
-
-    return F.when(
-        t.isNotNull() & (df > 0), let(tail, t=F.abs(t), df=df.cast("double"))
+    as_normal = sql_let("z", "s.t * (1 - (s.t * s.t + 1) / (4 * s.df))", _normal_sql("z"))
+    exact = f"{_tail_mass_sql('s.t', 's.df')} / {_half_mass_sql('s.df')}"
+    return bind(
+        f"CASE WHEN s.t IS NULL OR s.df <= 0 THEN NULL "
+        f"WHEN s.df > {_LARGE_DF} THEN {as_normal} ELSE {exact} END",
+        t=F.abs(t), df=df.cast("double"),
     )
 
 
 def student_critical(alpha: float, df: Column) -> Column:
     """t with P(|T| > t) = alpha: Newton steps on the logarithms, from an expansion in 1/df."""
     z = normal_quantile(1 - alpha / 2)
-
-    def solve(s: Column) -> Column:
-        df, half = s["df"], s["half"]
-        start = (
-            z
-            + (z**3 + z) / (4 * df)
-            + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df * df)
-        )
-
-        def step(t: Column, _: Column) -> Column:
-            def update(b: Column) -> Column:
-                t, p = b["t"], b["p"]
-                angle = F.atan2(F.sqrt(df), t)
-                density = (
-                    F.exp((df - 1) * F.ln(F.sin(angle))) * F.sqrt(df) / (df + t * t) / half
-                )
-                return t * F.exp((F.ln(p) - math.log(alpha)) * p / (density * t))
-
-            return let(update, t=t, p=_tail_mass(t, df) / half)
-
-        return F.when(df > _LARGE_DF, start).otherwise(
-            F.aggregate(F.sequence(F.lit(1), F.lit(10)), start, step)
-        )
-
-    df = df.cast("double")
-    return F.when(df > 0, let(solve, df=df, half=_half_mass(df)))
+    start = (
+        f"({z!r}D + {(z**3 + z) / 4!r}D / s.df"
+        f" + {(5 * z**5 + 16 * z**3 + 3 * z) / 96!r}D / (s.df * s.df))"
+    )
+    density = (
+        "exp((s.df - 1) * ln(sin(atan2(sqrt(s.df), t)))) * sqrt(s.df) / (s.df + t * t) / half"
+    )
+    step = sql_let(
+        "p",
+        f"{_tail_mass_sql('t', 's.df')} / half",
+        f"t * exp((ln(p) - {math.log(alpha)!r}D) * p / (t * {density}))",
+    )
+    solved = sql_let(
+        "half",
+        _half_mass_sql("s.df"),
+        f"aggregate(sequence(1, {_NEWTON_STEPS}), {start}, (t, i) -> {step})",
+    )
+    return bind(
+        f"CASE WHEN s.df > {_LARGE_DF} THEN {start} WHEN s.df > 0 THEN {solved} END",
+        df=df.cast("double"),
+    )
 
 
 def chi_square_tail(x: Column, df: Column) -> Column:
     """P(X > x) of a chi-square with integer df: closed finite sums; 1 when df is 0."""
-
-    def tail(s: Column) -> Column:
-        x, df = s["x"], s["df"]
-        odd = df % 2 == 1
-        root = F.sqrt(x)
-        # Terms after the first: odd df (df-3)/2, even df (df-2)/2.
-        count = F.floor((df - F.when(odd, 3).otherwise(2)) / 2).cast("int")
-        lead = F.when(odd, root * math.sqrt(2 / math.pi)).otherwise(F.lit(1.0)) * F.exp(-x / 2)
-        # Odd df: terms x^r / (1 3 .. 2r+1) behind the normal tail. Even: (x/2)^r / r!.
-        steps = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(
-            F.array().cast("array<int>")
-        )
-        series = F.aggregate(
-            steps,
-            F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
-            lambda a, r: let(
-                lambda b: F.struct(b["term"].alias("term"), (b["total"] + b["term"]).alias("total")),
-                term=a["term"] * x / F.when(odd, 2 * r + 1).otherwise(2 * r),
-                total=a["total"],
-            ),
-            lambda a: a["total"],
-        )
-        return (
-            F.when(df <= 0, F.lit(1.0))
-            .when(df == 1, normal_two_sided(root))
-            .when(odd, normal_two_sided(root) + lead * series)
-            .otherwise(lead * series)
-        )
-
-    return F.when(x.isNotNull(), let(tail, x=x.cast("double"), df=df.cast("int")))
+    # After the leading term: odd df have (df-3)/2 terms x^r / (3 5 .. 2r+1), even df
+    # (df-2)/2 terms (x/2)^r / r!. Odd df also carry the normal tail.
+    count = "CAST(floor((s.df - 2 - s.df % 2) / 2) AS INT)"
+    steps = f"CASE WHEN {count} > 0 THEN sequence(1, {count}) ELSE CAST(array() AS ARRAY<INT>) END"
+    next_term = sql_let(
+        "term",
+        "a.term * s.x / (2 * r + s.df % 2)",
+        "named_struct('term', term, 'total', a.total + term)",
+    )
+    series = (
+        f"aggregate({steps}, named_struct('term', 1D, 'total', 1D), "
+        f"(a, r) -> {next_term}, a -> a.total)"
+    )
+    normal = sql_let("z", "sqrt(s.x)", _normal_sql("z"))
+    return bind(
+        f"CASE WHEN s.x IS NULL THEN NULL WHEN s.df <= 0 THEN 1D WHEN s.df = 1 THEN {normal} "
+        f"WHEN s.df % 2 = 1 THEN {normal} "
+        f"+ sqrt(s.x) * {math.sqrt(2 / math.pi)!r}D * exp(-s.x / 2) * {series} "
+        f"ELSE exp(-s.x / 2) * {series} END",
+        x=x.cast("double"), df=df.cast("int"),
+    )

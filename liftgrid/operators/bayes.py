@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from liftgrid.functions.binding import integrate, let
+from liftgrid.functions.binding import bind, sql_integral, sql_let
 
 DENSITY_POINTS = 300
 DENSITY_MARGIN = 0.005
@@ -41,118 +41,93 @@ def posterior_params(
     )
 
 
-def _posterior(alpha: Column, beta: Column) -> Column:
+def _posterior_sql(a: str, b: str) -> str:
     """Shape, mode, spread and a range that holds all but e^-40 of the mass."""
+    sd = f"sqrt({a} * {b} / (({a} + {b}) * ({a} + {b}) * ({a} + {b} + 1)))"
+    mean = f"{a} / ({a} + {b})"
+    return (
+        f"named_struct('a', {a}, 'b', {b}, "
+        f"'mode', CASE WHEN {a} + {b} > 2 THEN ({a} - 1) / ({a} + {b} - 2) ELSE 0.5D END, "
+        f"'mean', {mean}, 'sd', {sd}, "
+        f"'low', greatest(0D, {mean} - {sd} * (9 + 40 / sqrt({b}))), "
+        f"'high', least(1D, {mean} + {sd} * (9 + 40 / sqrt({a}))))"
+    )
 
-    def describe(s: Column) -> Column:
-        a, b = s["a"], s["b"]
-        n = a + b
-        mean = a / n
-        sd = F.sqrt(a * b / (n * n * (n + 1)))
-        return F.struct(
-            a.alias("a"),
-            b.alias("b"),
-            F.when(n > 2, (a - 1) / (n - 2)).otherwise(F.lit(0.5)).alias("mode"),
-            mean.alias("mean"),
-            sd.alias("sd"),
-            F.greatest(F.lit(0.0), mean - sd * (9 + 40 / F.sqrt(b))).alias("low"),
-            F.least(F.lit(1.0), mean + sd * (9 + 40 / F.sqrt(a))).alias("high"),
-        )
 
-    return let(describe, a=alpha, b=beta)
+def _density_sql(arm: str, x: str) -> str:
+    """Density up to a constant, 1 at the mode; log1p keeps it exact for huge counts."""
+    shift = f"({x} - {arm}.mode)"
+    return (
+        f"CASE WHEN {x} > 0 AND {x} < 1 THEN exp("
+        f"CASE WHEN {arm}.a > 1 THEN ({arm}.a - 1) * log1p({shift} / {arm}.mode) ELSE 0D END + "
+        f"CASE WHEN {arm}.b > 1 THEN ({arm}.b - 1) * log1p(-{shift} / (1 - {arm}.mode)) ELSE 0D END"
+        f") ELSE 0D END"
+    )
 
 
-def _density(arm: Column, x: Column) -> Column:
-    """Density up to a constant, 1 at the mode; log1p keeps it exact for huge counts."""
-    shift = x - arm["mode"]
-    rising = F.when(arm["a"] > 1, (arm["a"] - 1) * F.log1p(shift / arm["mode"]))
-    falling = F.when(arm["b"] > 1, (arm["b"] - 1) * F.log1p(-shift / (1 - arm["mode"])))
-    inside = (x > 0) & (x < 1)
-    value = F.exp(F.coalesce(rising, F.lit(0.0)) + F.coalesce(falling, F.lit(0.0)))
-    return F.when(inside, value).otherwise(F.lit(0.0))
+def _mass_sql(arm: str) -> str:
+    position = f"({arm}.low + ({arm}.high - {arm}.low) * <m>)"
+    return f"(({arm}.high - {arm}.low) * {sql_integral('m', _density_sql(arm, position))})"
 
 
-def _mass(arm: Column) -> Column:
-    width = arm["high"] - arm["low"]
-    return width * integrate(lambda u: _density(arm, arm["low"] + width * u))
+def _with_arms(body: str) -> Column:
+    """``body`` with the posteriors of both arms bound as ``c`` and ``t``."""
+    arms = sql_let(
+        "c",
+        _posterior_sql("s.ca", "s.cb"),
+        sql_let("t", _posterior_sql("s.ta", "s.tb"), body),
+    )
+    return bind(
+        arms,
+        ca=F.col("control_alpha"), cb=F.col("control_beta"),
+        ta=F.col("treatment_alpha"), tb=F.col("treatment_beta"),
+    )
 
 
-def _expect_control_ahead(
-    control: Column, treatment: Column, margin: float, weigh_by_gap: bool
-) -> Column:
+def _control_ahead_sql(margin: float, weigh_by_gap: bool) -> str:
     """E[1 or (c - t - margin)] over the region c - t > margin.
 
-    The outer integral runs over the narrower posterior, where the inner one, over the
-    wider posterior, is smooth; so arms of very different size lose no accuracy.
+    The outer integral runs over the narrower posterior ``x``, where the inner one, over
+    the wider posterior ``y``, is smooth; so arms of very different size lose no accuracy.
+    ``sign`` is 1 when the control arm is the narrower one.
     """
-
-    def outer(s: Column) -> Column:
-        x_arm, y_arm, sign = s["x"], s["y"], s["sign"]
-        x_width = x_arm["high"] - x_arm["low"]
-
-        def at(x: Column) -> Column:
-            def inner(b: Column) -> Column:
-                width = b["to"] - b["from"]
-
-                def weight(y: Column) -> Column:
-                    if not weigh_by_gap:
-                        return _density(y_arm, y)
-                    return (sign * (b["x"] - y) - margin) * _density(y_arm, y)
-
-                return _density(x_arm, b["x"]) * width * integrate(
-                    lambda u: weight(b["from"] + width * u)
-                )
-
-            def clip(edge: Column) -> Column:
-                return F.least(F.greatest(edge, y_arm["low"]), y_arm["high"])
-
-            return let(
-                inner,
-                x=x,
-                **{
-                    "from": F.when(sign > 0, y_arm["low"]).otherwise(clip(x + margin)),
-                    "to": F.when(sign > 0, clip(x - margin)).otherwise(y_arm["high"]),
-                },
-            )
-
-        return x_width * integrate(lambda u: at(x_arm["low"] + x_width * u)) / (
-            s["x_mass"] * s["y_mass"]
-        )
-
-    def order(s: Column) -> Column:
-        control_narrower = s["c"]["sd"] <= s["t"]["sd"]
-        x = F.when(control_narrower, s["c"]).otherwise(s["t"])
-        y = F.when(control_narrower, s["t"]).otherwise(s["c"])
-        return let(
-            outer,
-            x=x,
-            y=y,
-            sign=F.when(control_narrower, F.lit(1.0)).otherwise(F.lit(-1.0)),
-            x_mass=let(lambda b: _mass(b["arm"]), arm=x),
-            y_mass=let(lambda b: _mass(b["arm"]), arm=y),
-        )
-
-    return let(order, c=control, t=treatment)
-
-
-def _arms() -> tuple[Column, Column]:
-    return tuple(
-        _posterior(F.col(f"{arm}_alpha"), F.col(f"{arm}_beta")) for arm in ("control", "treatment")
+    margin_sql = f"{float(margin)!r}D"
+    position = "(edge.start + (edge.stop - edge.start) * <v>)"
+    inner = _density_sql("o.y", position)
+    if weigh_by_gap:
+        inner = f"(o.sign * (x - {position}) - {margin_sql}) * ({inner})"
+
+    def clip(edge: str) -> str:
+        return f"least(greatest({edge}, o.y.low), o.y.high)"
+
+    edges = (
+        f"named_struct("
+        f"'start', CASE WHEN o.sign > 0 THEN o.y.low ELSE {clip(f'x + {margin_sql}')} END, "
+        f"'stop', CASE WHEN o.sign > 0 THEN {clip(f'x - {margin_sql}')} ELSE o.y.high END)"
+    )
+    at_x = (
+        f"({_density_sql('o.x', 'x')}) * "
+        + sql_let("edge", edges, f"(edge.stop - edge.start) * {sql_integral('v', inner)}")
+    )
+    outer = sql_integral("u", sql_let("x", "o.x.low + (o.x.high - o.x.low) * <u>", at_x))
+    order = (
+        "CASE WHEN c.sd <= t.sd THEN named_struct('x', c, 'y', t, 'sign', 1D) "
+        "ELSE named_struct('x', t, 'y', c, 'sign', -1D) END"
+    )
+    return sql_let(
+        "o", order, f"(o.x.high - o.x.low) * {outer} / ({_mass_sql('o.x')} * {_mass_sql('o.y')})"
     )
 
 
 def probability_treatment_better() -> Column:
     """P(treatment rate > control rate) from the posterior parameter columns."""
-    control, treatment = _arms()
-    ahead = _expect_control_ahead(control, treatment, 0.0, weigh_by_gap=False)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - ahead))
+    ahead = _control_ahead_sql(0.0, weigh_by_gap=False)
+    return _with_arms(f"least(1D, greatest(0D, 1 - {ahead}))")
 
 
 def expected_loss(threshold: float = 0.0) -> Column:
     """E[max(control - treatment, threshold)]: the rate lost by a wrong switch."""
-    control, treatment = _arms()
-    excess = _expect_control_ahead(control, treatment, threshold, weigh_by_gap=True)
-    return threshold + excess
+    return _with_arms(f"{float(threshold)!r}D + {_control_ahead_sql(threshold, weigh_by_gap=True)}")
 
 
 def compare_posteriors(params: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -169,24 +144,23 @@ def posterior_density(params: DataFrame, by: Sequence[str] = ("experiment_id", "
 
     The grid spans four standard deviations around both means plus a fixed margin.
     """
-    low = F.least(*[F.col(arm)["mean"] - 4 * F.col(arm)["sd"] for arm in ("c", "t")])
-    high = F.greatest(*[F.col(arm)["mean"] + 4 * F.col(arm)["sd"] for arm in ("c", "t")])
-    control, treatment = _arms()
-    points = (
-        params.select(*by, control.alias("c"), treatment.alias("t"))
-        .withColumn("c_mass", let(lambda b: _mass(b["arm"]), arm=F.col("c")))
-        .withColumn("t_mass", let(lambda b: _mass(b["arm"]), arm=F.col("t")))
-        .withColumn("x_min", low - DENSITY_MARGIN)
-        .withColumn("x_max", high + DENSITY_MARGIN)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(DENSITY_POINTS - 1))))
+    low = "least(c.mean - 4 * c.sd, t.mean - 4 * t.sd)"
+    high = "greatest(c.mean + 4 * c.sd, t.mean + 4 * t.sd)"
+    grid = _with_arms(
+        f"named_struct('c', c, 't', t, 'c_mass', {_mass_sql('c')}, 't_mass', {_mass_sql('t')}, "
+        f"'low', {low} - {DENSITY_MARGIN}D, 'high', {high} + {DENSITY_MARGIN}D)"
     )
-    x = F.col("x_min") + (F.col("x_max") - F.col("x_min")) * F.col("point") / (DENSITY_POINTS - 1)
-    return points.withColumn("x", x).select(
-        *by,
-        "point",
-        "x",
-        (_density(F.col("c"), F.col("x")) / F.col("c_mass")).alias("control_density"),
-        (_density(F.col("t"), F.col("x")) / F.col("t_mass")).alias("treatment_density"),
+    return (
+        params.select(*by, grid.alias("g"))
+        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(DENSITY_POINTS - 1))))
+        .withColumn("x", F.expr(f"g.low + (g.high - g.low) * point / {DENSITY_POINTS - 1}"))
+        .select(
+            *by,
+            "point",
+            "x",
+            F.expr(f"({_density_sql('g.c', 'x')}) / g.c_mass").alias("control_density"),
+            F.expr(f"({_density_sql('g.t', 'x')}) / g.t_mass").alias("treatment_density"),
+        )
     )
 
 

@@ -24,7 +24,7 @@ from liftgrid.schemas import (
     TEST_RESULT,
     VARIANT_METRICS,
 )
-from liftgrid.session import materialize
+from liftgrid.session import materialize_small
 
 KEY = "experiment_id"
 
@@ -57,7 +57,7 @@ def analyze(
     sizing. ``propensity`` and ``daily`` add the optional parts. With ``block_on_srm``
     experiments with a broken split keep only the split check and the cards.
     """
-    stats = materialize(stats, "arm-stats")
+    stats = materialize_small(stats, "arm-stats")
     srm = srm_from_counts(stats.select(KEY, "variant", "n_users"))
     pairs = pair_with_control(stats)
     if block_on_srm:

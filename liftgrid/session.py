@@ -72,6 +72,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_small(df: DataFrame, label: str, max_rows: int = 500) -> DataFrame:
+    """``materialize``; a table of at most ``max_rows`` rows comes back as one partition.
+
+    The handful of arm rows of usual runs then needs no further shuffle, however many
+    operators group or rank it. A larger table keeps its partitions.
+    """
+    table = materialize(df, label)
+    return table.coalesce(1) if table.count() <= max_rows else table
+
+
 def lookup_join(large: DataFrame, small: DataFrame, on: list[str], max_rows: int = 200_000) -> DataFrame:
     """Inner join with a table of offsets or centres that is meant to be small.
 
