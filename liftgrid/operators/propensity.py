@@ -10,7 +10,13 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    FeatureHasher,
+    OneHotEncoder,
+    StandardScaler,
+    StringIndexer,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +42,10 @@ BOOSTING = {
 IMBALANCE_AUC = 0.6
 FOLDS = 5
 
+# Up to this many categories get a column each, more are hashed.
+MAX_CATEGORIES = 10_000
+HASHED_CATEGORIES = 4096
+
 _HASH_CELLS = 4096
 
 
@@ -64,21 +74,37 @@ def training_set(
     )
 
 
-def feature_pipeline(classifier: str = "boosted", **settings) -> Pipeline:
-    """Scaled numbers, one-hot category (unseen values allowed), and the classifier."""
+def feature_pipeline(
+    classifier: str = "boosted", hash_categories: bool = False, **settings
+) -> Pipeline:
+    """Scaled numbers, one-hot category (unseen values allowed), and the classifier.
+
+    ``hash_categories`` replaces the category dictionary, which the driver would have to
+    hold, by hashed indicator columns.
+    """
+    category = CATEGORICAL_FEATURES[0]
     stages = [
         VectorAssembler(inputCols=list(NUMERIC_FEATURES), outputCol="numbers"),
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
-        StringIndexer(
-            inputCols=list(CATEGORICAL_FEATURES), outputCols=["category_index"],
-            handleInvalid="keep",
-        ),
-        OneHotEncoder(
-            inputCols=["category_index"], outputCols=["category_onehot"],
-            dropLast=False, handleInvalid="keep",
-        ),
-        VectorAssembler(inputCols=["scaled", "category_onehot"], outputCol="inputs"),
     ]
+    if hash_categories:
+        stages.append(
+            FeatureHasher(
+                inputCols=[category], outputCol="category_onehot",
+                categoricalCols=[category], numFeatures=HASHED_CATEGORIES,
+            )
+        )
+    else:
+        stages += [
+            StringIndexer(
+                inputCols=[category], outputCols=["category_index"], handleInvalid="keep"
+            ),
+            OneHotEncoder(
+                inputCols=["category_index"], outputCols=["category_onehot"],
+                dropLast=False, handleInvalid="keep",
+            ),
+        ]
+    stages.append(VectorAssembler(inputCols=["scaled", "category_onehot"], outputCol="inputs"))
     common = {"featuresCol": "inputs", "labelCol": "treatment"}
     if classifier == "boosted":
         stages.append(GBTClassifier(**common, checkpointInterval=10, **{**BOOSTING, **settings}))
@@ -89,6 +115,12 @@ def feature_pipeline(classifier: str = "boosted", **settings) -> Pipeline:
     return Pipeline(stages=stages)
 
 
+def too_many_categories(data: DataFrame, limit: int | None = None) -> bool:
+    """Whether a dictionary of the categories would outgrow the driver."""
+    estimate = data.agg(F.approx_count_distinct(CATEGORICAL_FEATURES[0])).first()[0]
+    return estimate > (MAX_CATEGORIES if limit is None else limit)
+
+
 def stratified_folds(
     data: DataFrame, folds: int = FOLDS, strata: Sequence[str] = ("treatment",),
     key: str = "user_id",
@@ -183,9 +215,6 @@ class PropensityModel:
         self.model: PipelineModel | None = None
         self.cv_auc: float | None = None
 
-    def _fit(self, data: DataFrame) -> PipelineModel:
-        return feature_pipeline(self.classifier, **self.settings).fit(data)
-
     def train(self, data: DataFrame, folds: int = FOLDS) -> float:
         """Fit on all rows of a ``training_set`` of one experiment; returns the mean AUC.
 
@@ -194,9 +223,12 @@ class PropensityModel:
         """
         ensure_checkpoint_dir(data.sparkSession)
         data = materialize(stratified_folds(data, folds), "propensity-training")
+        pipeline = feature_pipeline(
+            self.classifier, hash_categories=too_many_categories(data), **self.settings
+        )
         fold = F.col("fold")
         samples = [data.filter(fold != k) for k in range(folds)] + [data]
-        fit = inheritable_thread_target(data.sparkSession)(self._fit)
+        fit = inheritable_thread_target(data.sparkSession)(pipeline.fit)
         with ThreadPool(max(1, self.parallelism)) as pool:
             *fold_models, self.model = pool.map(fit, samples)
         held_out = [

@@ -1,8 +1,8 @@
-"""Views over results: latest rows, display table, verdicts."""
+"""Views over results: display table and verdicts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftgrid.functions.display import (
@@ -18,18 +18,6 @@ from liftgrid.functions.display import (
 ADJUSTMENT_LIMIT = 0.01
 
 
-def latest_results(results: DataFrame) -> DataFrame:
-    """Newest row per experiment, variant and metric of the append-only result table."""
-    newest = Window.partitionBy("experiment_id", "variant_id", "metric_name").orderBy(
-        F.desc("computed_at"), F.desc("value")
-    )
-    return (
-        results.withColumn("_age", F.row_number().over(newest))
-        .filter(F.col("_age") == 1)
-        .drop("_age")
-    )
-
-
 def decision_view(
     tests: DataFrame, srm: DataFrame, method: str = "benjamini_hochberg"
 ) -> DataFrame:

@@ -40,6 +40,18 @@ def newest_versions(rows: DataFrame) -> DataFrame:
     )
 
 
+def newest_results(results: DataFrame) -> DataFrame:
+    """Newest row per experiment, variant and metric of the append-only result table."""
+    newest = Window.partitionBy("experiment_id", "variant_id", "metric_name").orderBy(
+        F.desc("computed_at"), F.desc("value")
+    )
+    return (
+        results.withColumn("_age", F.row_number().over(newest))
+        .filter(F.col("_age") == 1)
+        .drop("_age")
+    )
+
+
 def stopped(experiments: DataFrame, experiment_id: str) -> DataFrame:
     """Experiments with one of them stopped now."""
     hit = F.col("experiment_id") == experiment_id
@@ -172,3 +184,11 @@ class ControlTables:
         self._append(
             "experiment_results", stamped.withColumn("computed_at", F.current_timestamp())
         )
+
+    def latest_results(self, experiment_id: str) -> DataFrame:
+        """Newest stored rows of one experiment; raises before its first analysis."""
+        self.experiment(experiment_id)
+        rows = self.read("experiment_results").filter(F.col("experiment_id") == experiment_id)
+        if rows.isEmpty():
+            raise LookupError(f"No results found for experiment {experiment_id!r}")
+        return newest_results(rows)

@@ -10,9 +10,12 @@ from liftgrid.operators.balance import covariate_balance
 from liftgrid.operators.propensity import (
     NUMERIC_FEATURES,
     PropensityModel,
+    feature_pipeline,
     propensity_analysis,
     rank_auc,
+    score_propensity,
     stratified_folds,
+    too_many_categories,
     training_set,
 )
 from tests.conftest import one
@@ -176,6 +179,15 @@ def test_adjustment_size(spark, fitted, name, check):
     assert check(one(ipw.adjusted_conversion_rate(scored)).adjustment_magnitude)
 
 
+def test_many_categories_are_hashed(spark, fitted):
+    _, data, _, _ = fitted["balanced"]
+    assert too_many_categories(data, 2) and not too_many_categories(data)
+    model = feature_pipeline("logistic", hash_categories=True, maxIter=2).fit(data)
+    assert score_propensity(model, data).filter("propensity > 0 AND propensity < 1").count() == 600
+    with pytest.raises(ValueError, match="Unknown classifier"):
+        feature_pipeline("forest")
+
+
 def test_untrained_model_refuses(spark, tmp_path):
     with pytest.raises(RuntimeError, match="not trained"):
         PropensityModel().predict_propensity(spark.range(1))

@@ -9,6 +9,7 @@ from liftgrid.operators.assignment import srm_from_counts
 from liftgrid.operators.metrics import pair_with_control
 from liftgrid.plans import analysis, report
 from liftgrid.plans.testing import run_tests
+from liftgrid.sources.control_tables import newest_results
 from tests.conftest import one
 
 ARM = (
@@ -161,7 +162,7 @@ def test_latest_results_and_views(spark, arms):
         [("e", "v", "m", 1.0, dt.datetime(2024, 1, 1)), ("e", "v", "m", 2.0, dt.datetime(2024, 1, 2)), ("e", "w", "m", 3.0, dt.datetime(2023, 1, 1))],
         "experiment_id string, variant_id string, metric_name string, value double, computed_at timestamp",
     )
-    assert {r.value for r in report.latest_results(runs).collect()} == {2.0, 3.0}
+    assert {r.value for r in newest_results(runs).collect()} == {2.0, 3.0}
     view = report.decision_view(run_tests(pair_with_control(arms)), srm_from_counts(arms.select("experiment_id", "variant", "n_users")))
     row = view.filter("experiment_id = 'e1' AND metric = 'conversion_rate'").first()
     assert (row.p_value_text, row.absolute_lift_text, row.relative_lift_text) == ("p < 0.001", "+3.0%", "+60.0%")

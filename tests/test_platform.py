@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from liftgrid.operators.assignment import Experiment, experiments_frame, variants_frame
 from liftgrid.plans.pipeline import analyze_and_store, build_tables, enroll
-from liftgrid.plans.report import latest_results
 from liftgrid.schemas import CLEAN_EVENTS, USER_FEATURES
-from liftgrid.sources.control_tables import ControlTables
+from liftgrid.sources.control_tables import ControlTables, newest_results
 from liftgrid.sources.events import read_events, read_features
 from liftgrid.streaming.ingest import ingest_events, raw_event_stream
 from tests.test_cleaning import write_csv
@@ -89,16 +88,19 @@ def test_from_raw_files_to_stored_results(spark, tables, tmp_path):
     assert {len(d.frequentist) for d in documents} == {2}
     results = tables.read("experiment_results")
     assert results.count() == 6 + 12
-    newest = latest_results(results).collect()
+    newest = newest_results(results).collect()
     assert len(newest) == 12 and {r.variant_id for r in newest} == {
         "exp_A_control", "exp_A_treatment", "exp_B_control", "exp_B_treatment"
     }
     with pytest.raises(LookupError):
         analyze_and_store(tables, events, "exp_Z")
+    assert tables.latest_results("exp_B").count() == 6
 
 
 def test_experiment_without_users_is_refused(spark, tables):
     tables.add_experiments(experiments_frame(spark, EXPERIMENTS))
+    with pytest.raises(LookupError, match="No results"):
+        tables.latest_results("exp_A")
     with pytest.raises(ValueError, match="No user assignments"):
         analyze_and_store(tables, spark.createDataFrame([], CLEAN_EVENTS), "exp_A")
 

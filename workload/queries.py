@@ -25,7 +25,7 @@ from liftgrid.plans import analysis, report
 from liftgrid.plans.testing import run_tests
 from liftgrid.session import materialize, prepare, scratch_root
 from liftgrid.sources import adapters
-from liftgrid.sources.control_tables import absent_rows, resolve_variants, stopped
+from liftgrid.sources.control_tables import absent_rows, newest_results, resolve_variants, stopped
 from liftgrid.sources.events import read_events, register_events, write_events
 
 EXPERIMENTS = (
@@ -608,7 +608,7 @@ def q_latest_results(spark, sf_dir):
         F.col("conversion_rate").alias("value"),
         F.col("date").alias("computed_at"),
     )
-    return rounded(report.latest_results(runs), value=8)
+    return rounded(newest_results(runs), value=8)
 
 
 def q_result_rows(spark, sf_dir):
