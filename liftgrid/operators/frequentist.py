@@ -244,7 +244,8 @@ def novelty_effect_test(
         ]
 
     stats = (
-        daily.filter(F.col("variant") != control)
+        daily.withColumn("_control", control)
+        .filter(F.col("variant") != F.col("_control"))
         .withColumn("day", F.row_number().over(order))
         .groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n_days"), *part("early", early), *part("post", ~early))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -46,6 +47,8 @@ FOLDS = 5
 MAX_CATEGORIES = 10_000
 HASHED_CATEGORIES = 4096
 
+ROWS_PER_PARTITION = 50_000
+
 _HASH_CELLS = 4096
 
 
@@ -223,6 +226,8 @@ class PropensityModel:
         """
         ensure_checkpoint_dir(data.sparkSession)
         data = materialize(stratified_folds(data, folds), "propensity-training")
+        # Every tree level is a job over all partitions; tiny ones cost more than they save.
+        data = data.coalesce(math.ceil(data.count() / ROWS_PER_PARTITION) or 1)
         pipeline = feature_pipeline(
             self.classifier, hash_categories=too_many_categories(data), **self.settings
         )

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from liftgrid.operators.assignment import srm_from_counts
 from liftgrid.operators.bayes import fit_conversion
 from liftgrid.operators.frequentist import novelty_effect_test
-from liftgrid.operators.metrics import METRICS, compute_all_metrics, pair_with_control
+from liftgrid.operators.metrics import (
+    METRICS,
+    compute_all_metrics,
+    control_of,
+    pair_with_control,
+)
 from liftgrid.operators.planning import sample_size_block
 from liftgrid.plans.testing import run_tests
 from liftgrid.schemas import (
@@ -54,7 +59,8 @@ def analyze(
 
     ``stats`` (a few rows per experiment, from ``arm_stats``) is computed once and feeds
     the split check, the variant cards, all tests, the posterior comparison and the
-    sizing. ``propensity`` and ``daily`` add the optional parts. With ``block_on_srm``
+    sizing. ``propensity`` and ``daily`` add the optional parts. An ``is_control`` column in
+    either table names the control arm. With ``block_on_srm``
     experiments with a broken split keep only the split check and the cards.
     """
     stats = materialize_small(stats, "arm-stats")
@@ -75,7 +81,9 @@ def analyze(
     if propensity is not None:
         parts.append(_document(propensity, PROPENSITY_RESULT, "propensity"))
     if daily is not None:
-        parts.append(_documents(novelty_effect_test(daily), NOVELTY_RESULT, "novelty_check"))
+        controls = stats.select(KEY, control_of(stats).alias("control")).distinct()
+        novelty = novelty_effect_test(daily.join(controls, KEY), control=F.col("control"))
+        parts.append(_documents(novelty, NOVELTY_RESULT, "novelty_check"))
     result = experiments.select(KEY, "name", "status").join(parts[0], KEY)
     for part in parts[1:]:
         result = result.join(part, KEY, "left")

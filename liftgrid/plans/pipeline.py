@@ -70,6 +70,10 @@ def analyze_and_store(
     stats = materialize(compute_all_metrics(events, assignments, start, end), "arm-stats")
     if experiment_id is not None and stats.isEmpty():
         raise ValueError(f"No user assignments found for experiment {experiment_id!r}")
+    flags = tables.read("variants").select(
+        "experiment_id", F.col("name").alias("variant"), "is_control"
+    )
+    stats = stats.join(flags, ["experiment_id", "variant"], "left")
     tests = run_tests(pair_with_control(stats), metrics, method)
     tables.add_results(result_rows(stats, tests))
     return analyze(stats, tables.experiments(), metrics, method, **parts)

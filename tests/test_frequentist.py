@@ -163,6 +163,14 @@ def test_novelty_golden_and_short_series(spark):
     assert rows["flat"].p_value == 0.0 and rows["flat"].novelty_detected
 
 
+def test_novelty_follows_the_chosen_control(spark):
+    from liftgrid.operators.metrics import control_of
+
+    frame = daily(spark, [0.2] * 9, "a").unionByName(daily(spark, [0.2] * 9, "b"))
+    got = fq.novelty_effect_test(frame, control=control_of(frame)).collect()
+    assert [r.variant for r in got] == ["b"]
+
+
 def p_values(spark, ps, experiment="e"):
     return spark.createDataFrame(
         [(experiment, f"m{i:02d}", "t", p) for i, p in enumerate(ps)],

@@ -116,6 +116,16 @@ def test_assigned_users_without_events_have_undefined_tests(spark, tables):
     assert document.bayesian[0].probability_treatment_better == pytest.approx(0.5, abs=1e-9)
 
 
+def test_flagged_control_arm_is_used(spark, tables):
+    experiment = Experiment("exp_F", ("new", "old"), control="old")
+    tables.add_experiments(experiments_frame(spark, [experiment]))
+    tables.add_variants(variants_frame(spark, [experiment]))
+    users = [(f"u{i}", "exp_F", f"exp_F_{'old' if i % 2 else 'new'}") for i in range(40)]
+    tables.add_assignments(spark.createDataFrame(users, "user_id string, experiment_id string, variant_id string"), ["exp_F"])
+    document = analyze_and_store(tables, spark.createDataFrame([], CLEAN_EVENTS)).first()
+    assert {t.variant for t in document.frequentist} == {"new"}
+
+
 def test_stream_ingests_each_file_once(spark, tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()

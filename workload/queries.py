@@ -29,10 +29,10 @@ from liftgrid.sources.control_tables import absent_rows, newest_results, resolve
 from liftgrid.sources.events import read_events, register_events, write_events
 
 EXPERIMENTS = (
-    Experiment("exp_A", name="New Product Page Layout"),
-    Experiment("exp_B", name="Discount Banner"),
-    Experiment("exp_C", ("control", "layout_a", "layout_b"), name="Checkout Layouts"),
-    Experiment("exp_D", traffic_pct=0.57, name="Partial Rollout"),
+    Experiment("exp_A", name="Page layout"),
+    Experiment("exp_B", name="Banner"),
+    Experiment("exp_C", ("control", "layout_a", "layout_b"), name="Checkout layouts"),
+    Experiment("exp_D", traffic_pct=0.57, name="Partial rollout"),
 )
 # Metric windows: over a whole log every user converts and no test is defined.
 START, END = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3)
