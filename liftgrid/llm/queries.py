@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liftgrid.llm import suffix_dedup
+from liftgrid.llm import ngram_join, suffix_dedup
 from liftgrid.llm.common import read_table
 from liftgrid.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(read_table(prepare(spark), sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(prepare(spark), sf_dir, "documents")
     return suffix_dedup.remove_repeats(docs).drop("kept")
