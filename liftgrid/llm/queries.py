@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liftgrid.llm import ngram_join, suffix_dedup
+from liftgrid.llm import ngram_join, suffix_dedup, toxicity
 from liftgrid.llm.common import read_table
 from liftgrid.session import prepare
 
@@ -22,6 +22,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs).drop("kept")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(prepare(spark), sf_dir, "documents")
+    machine = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, machine)
+
+
 def all_queries() -> dict[str, Query]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 

@@ -8,7 +8,8 @@
   described by its words' greatest kernel value at each landmark, mapped by the Nystroem
   transform K_mm ** -1/2, and scored by a linear machine trained on labelled sentences:
   of class 0 all sentences are negative, of class 1 the sentence with the strongest word is
-  positive. A text's margin is that of its worst sentence; Platt's sigmoid makes it a score.
+  positive. A text's score is a sigmoid of its worst sentence's margin and of the number of
+  sentences on the positive side (Platt scaling with two inputs).
 * Triples of a string are looked up in a table of the landmarks' triples, so a string costs
   the same however many landmarks share it; strings seen before in a task are not redone.
 
@@ -213,23 +214,29 @@ class Machine:
     landmarks: tuple[str, ...]
     weights: np.ndarray
     bias: float
-    slope: float
+    slopes: tuple[float, float]
     offset: float
 
     def scorer(self):
         describer = Describer(Landmarks.of(list(self.landmarks)))
         weights = describer.landmarks.whiten @ self.weights
 
-        def margins(flat, at) -> np.ndarray:
-            margin = np.full(len(at) - 1, self.bias)
+        def evidence(flat, at) -> np.ndarray:
             row, vector = describer.sentences(flat, at)
-            np.maximum.at(margin, row, vector @ weights + self.bias)
-            return margin
+            return document_evidence(row, vector @ weights + self.bias, len(at) - 1, self.bias)
 
-        return margins
+        return evidence
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(np.clip(-(self.slope * margin + self.offset), -700, 700)))
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(np.clip(-(evidence @ self.slopes + self.offset), -700, 700)))
+
+
+def document_evidence(row, margin, rows: int, bias: float) -> np.ndarray:
+    """Per text: the greatest margin of a sentence, log(1 + sentences with a positive one)."""
+    most, count = np.full(rows, bias), np.zeros(rows)
+    np.maximum.at(most, row, margin)
+    np.add.at(count, row, margin > 0)
+    return np.column_stack([most, np.log1p(count)])
 
 
 # Fitting --------------------------------------------------------------------------------
@@ -274,17 +281,17 @@ def hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, s
     return w
 
 
-def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of the sigmoid by Newton steps, with Platt's smoothed targets."""
+def platt(inputs: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Slopes and, last, offset of the sigmoid by Newton steps, with Platt's smoothed targets."""
     pos, neg = (y > 0).sum(), (y <= 0).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x = np.column_stack([margin, np.ones(len(margin))])
-    w = np.array([1.0, np.log((pos + 1) / (neg + 1))])
+    x = np.column_stack([inputs, np.ones(len(inputs))])
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
-        w = w - np.linalg.solve(hessian, x.T @ (p - target) + 1e-4 * (w - [1, 0]))
-    return float(w[0]), float(w[1])
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        w = w - np.linalg.solve(hessian, x.T @ (p - target) + 0.1 * w)
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, sample: int = 3000,
@@ -298,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
         F.col("doc_id").cast("long").alias("doc"), F.col(label).cast("int").alias("label")).distinct()
     shares = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     everyone = sum(shares.values())
-    base = Machine((), np.zeros(0), 0.0, 0.0, float(np.log((shares.get(1, 0) + 1) / (shares.get(0, 0) + 1))))
+    base = Machine((), np.zeros(0), 0.0, (0.0, 0.0), float(np.log((shares.get(1, 0) + 1) / (shares.get(0, 0) + 1))))
     if len(shares) < 2 or not everyone:
         return base
     chosen = [usable.where(F.col("label") == k).orderBy(F.xxhash64("doc"), "doc").limit(sample) for k in (0, 1)]
@@ -314,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
         counts = seen.groupBy("word").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("all"))
         rate = (F.col("p") + 0.1) / (n[1] + 1)
         other = (F.col("all") - F.col("p") + 0.5) / (n[0] + 1)
-        told = counts.where("p >= 3").withColumn("told", F.col("p") * F.log(rate / other)).where(rate > 6 * other)
+        told = counts.where("p >= 3").withColumn("told", F.col("p") * F.log(rate / other)).where(rate > 12 * other)
         strings = [r["word"] for r in told.orderBy(F.desc("told"), "word").limit(landmarks).collect()]
         if not strings:
             return base
@@ -326,6 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     x = np.vstack([*bags.vector, np.zeros(len(strings))])  # the last: a sentence like no landmark
     doc, y = np.append(bags.doc.to_numpy(), -1), np.append(bags.label.to_numpy(), 0) * 2 - 1
     rank = np.lexsort((*x.T, doc))
+    blank = int(np.flatnonzero(rank == len(rank) - 1)[0])
     x, doc, y = x[rank] @ Landmarks.of(strings).whiten, doc[rank], y[rank]
     w, picked = None, None
     for _ in range(4):
@@ -340,27 +348,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
         picked = use
         cost = np.where(y[use] > 0, 1 / max(1, (y[use] > 0).sum()), 1 / (y[use] < 0).sum())
         w = hinge(x[use], y[use], cost)
-    margin = dict.fromkeys(labelled.doc, float(w[-1]))
-    for d, m in zip(doc, x @ w[:-1] + w[-1]):
-        if d in margin:
-            margin[d] = max(margin[d], float(m))
-    values = np.array([margin[d] for d in labelled.doc])
-    truth = labelled.label.to_numpy() * 2 - 1
-    slope, offset = platt(values, truth)
+    ids = labelled.doc.to_numpy()
+    real = np.arange(len(x)) != blank
+    evidence = document_evidence(np.searchsorted(ids, doc[real]), (x @ w[:-1] + w[-1])[real], len(ids), float(w[-1]))
+    *slopes, offset = platt(evidence, labelled.label.to_numpy() * 2 - 1)
     # the classes were sampled apart: back to their shares among the labelled rows
     offset += float(np.log(shares[1] / shares[0]) - np.log(n[1] / n[0]))
-    return Machine(tuple(strings), w[:-1], float(w[-1]), slope, offset)
+    return Machine(tuple(strings), w[:-1], float(w[-1]), tuple(map(float, slopes)), float(offset))
 
 
 def _scored(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margins = machine.scorer() if machine.landmarks else None
+        evidence = machine.scorer() if machine.landmarks else None
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 flat, at = utf8(batch.column("text"))
-                margin = margins(flat, at) if margins else np.zeros(batch.num_rows)
+                found = evidence(flat, at) if evidence else np.zeros((batch.num_rows, 2))
                 rest = batch.drop_columns(["text"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(machine.score(margin))], [*rest.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(machine.score(found))], [*rest.schema.names, "score"])
     return run
 
 
