@@ -5,14 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from liftgrid.llm import ngram_join, suffix_dedup, toxicity
-from liftgrid.llm.common import read_table
+from liftgrid.llm import ngram_join, suffix_dedup, toxicity, warc
+from liftgrid.llm.common import read_table, scratch_path
 from liftgrid.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(prepare(spark), sf_dir, "pages")
+    folder = scratch_path(spark, "warc")
+    records = warc.read_records(warc.write_archives(pages, folder), folder, blocks=False)
+    return warc.with_targets(warc.assemble(records)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri",
+        F.col("request").isNotNull().alias("has_request"), F.col("metadata").isNotNull().alias("has_metadata"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(read_table(prepare(spark), sf_dir, "documents"))
 
