@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import ngram_join, suffix_dedup, toxicity, warc
+from liftgrid.llm import ngram_join, sentence_pieces, suffix_dedup, toxicity, warc
 from liftgrid.llm.common import read_table, scratch_path
 from liftgrid.session import prepare
 
+#: Folder of the public tokenizer files; an environment variable of the same name overrides it.
+TOKENIZERS = os.environ.get("LIFTGRID_TOKENIZERS", "/opt/tokenizers")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -38,6 +42,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine)
 
 
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, decoded again: the ids, their number and score, and whether the text came back."""
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    docs = read_table(prepare(spark), sf_dir, "documents")
+    coded = sentence_pieces.decode(sentence_pieces.encode(docs, model), model)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "score", "ids",
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
