@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import chat, ngram_join, sentence_pieces, suffix_dedup, toxicity, warc
+from liftgrid.llm import chat, ngram_join, quality_classifier, sentence_pieces, suffix_dedup, toxicity, warc
 from liftgrid.llm.common import read_table, scratch_path
 from liftgrid.session import prepare
 
@@ -44,6 +44,11 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(prepare(spark), sf_dir, "documents")
+    return quality_classifier.classify(docs, read_table(spark, sf_dir, "labels"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(prepare(spark), sf_dir, "documents")
     machine = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
