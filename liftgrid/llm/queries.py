@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import chat, ngram_join, quality_classifier, sentence_pieces, suffix_dedup, toxicity, warc
+from liftgrid.llm import chat, ngram_join, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, toxicity, warc
 from liftgrid.llm.common import read_table, scratch_path
 from liftgrid.session import prepare
 
@@ -31,6 +31,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(read_table(prepare(spark), sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(prepare(spark), sf_dir, "documents")
+    return quality_rules.judge(docs, read_table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(prepare(spark), sf_dir, "documents")
     return suffix_dedup.remove_repeats(docs).drop("kept")
