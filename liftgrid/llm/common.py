@@ -149,12 +149,12 @@ class PrefixHash:
         return mix(self.raw(start, end))
 
 
-def words(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word ``[^\\x20\\x09-\\x0D]+`` and the row it is in."""
+def words(flat: np.ndarray, at: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word and the row it is in; ``gaps`` are the bytes between words."""
     if len(flat) == 0:
         none = np.zeros(0, np.int64)
         return none, none, none
-    letter = ~SPACES[flat]
+    letter = ~gaps[flat]
     first = np.zeros(len(flat) + 1, bool)
     first[at[:-1]] = True
     starts = letter.copy()

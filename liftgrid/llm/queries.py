@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import chat, ngram_join, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, toxicity, warc
+from liftgrid.llm import chat, decontamination, ngram_join, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, toxicity, warc
 from liftgrid.llm.common import read_table, scratch_path
 from liftgrid.session import prepare
 
@@ -41,6 +41,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs).drop("kept")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(prepare(spark), sf_dir, "documents")
+    return decontamination.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
