@@ -8,18 +8,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import chat, decontamination, ngram_join, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, toxicity, warc
+from liftgrid.llm import chat, decontamination, language_model, ngram_join, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, toxicity, warc
 from liftgrid.llm.common import read_table, scratch_path
 from liftgrid.session import prepare
 
 #: Folder of the public tokenizer files; an environment variable of the same name overrides it.
 TOKENIZERS = os.environ.get("LIFTGRID_TOKENIZERS", "/opt/tokenizers")
 
+#: Rows that reach Python at once; texts are long, and memory is bounded by their bytes.
+ARROW_ROWS = "1000"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return read_table(spark, sf_dir, name)
+
+
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(prepare(spark), sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages")
     folder = scratch_path(spark, "warc")
     records = warc.read_records(warc.write_archives(pages, folder), folder, blocks=False)
     return warc.with_targets(warc.assemble(records)).select(
@@ -28,26 +36,31 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_copies(read_table(prepare(spark), sf_dir, "documents"))
+    return ngram_join.near_copies(table(spark, sf_dir))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(prepare(spark), sf_dir, "documents")
+    docs = table(spark, sf_dir)
     return quality_rules.judge(docs, read_table(spark, sf_dir, "labels"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(prepare(spark), sf_dir, "documents")
+    docs = table(spark, sf_dir)
     return suffix_dedup.remove_repeats(docs).drop("kept")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(prepare(spark), sf_dir, "documents")
+    docs = table(spark, sf_dir)
     return decontamination.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    return language_model.score(docs, language_model.fit(docs))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read_table(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame(
         [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -55,12 +68,12 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(prepare(spark), sf_dir, "documents")
+    docs = table(spark, sf_dir)
     return quality_classifier.classify(docs, read_table(spark, sf_dir, "labels"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(prepare(spark), sf_dir, "documents")
+    docs = table(spark, sf_dir)
     machine = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.score(docs, machine)
 
@@ -68,7 +81,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, decoded again: the ids, their number and score, and whether the text came back."""
     model = f"{TOKENIZERS}/piece_bpe_32k.model"
-    docs = read_table(prepare(spark), sf_dir, "documents")
+    docs = table(spark, sf_dir)
     coded = sentence_pieces.decode(sentence_pieces.encode(docs, model), model)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "score", "ids",
