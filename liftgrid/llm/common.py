@@ -86,6 +86,13 @@ def row_key(docs: DataFrame, text: str = "text") -> tuple[Column, Column]:
     )
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 # Bytes ----------------------------------------------------------------------------------
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -216,25 +223,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     combination and one join, and its result is a written table. Rounds grow with the
     logarithm of the longest chain.
     """
-    def directed(e: DataFrame) -> DataFrame:
-        return e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    def directed(a: str, b: str) -> list[Column]:
+        return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
-    e = stored(directed(edges), "edges")
-    last = None
+    e = stored(edges.where("a <> b").select(*directed("a", "b")).distinct(), "edges")
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = directed(large)
+        large = both.where("v > u").join(least, "u").where("v <> m").select("v", "m").toDF("u", "v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        e = stored(directed(small), "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.col("v") % 1000003)).first()
-        if now == last:
+        small = large.join(least, "u").where("v <> m").select(*directed("v", "m")).unionByName(least.toDF("u", "v"))
+        e = stored(small.distinct(), "edges")
+        # stars: every node below has one node above, which has none
+        above = e.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        if above.where("n > 1").isEmpty() and e.join(above.select(F.col("u").alias("v")), "v", "leftsemi").isEmpty():
             break
-        last = now
     else:
         raise RuntimeError("components did not settle")
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
