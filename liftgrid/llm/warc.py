@@ -199,7 +199,8 @@ def _read(folder: str, blocks: bool):
 
 def read_records(files: DataFrame, folder: str, blocks: bool = True) -> DataFrame:
     """One row per record of the given archives; without ``blocks`` the block is null."""
-    return files.select("path").repartition("path").mapInArrow(_read(folder, blocks), RECORDS)
+    # a number, so that adaptive execution does not put all files into one task
+    return files.select("path").repartition(max(1, min(files.count(), 20_000))).mapInArrow(_read(folder, blocks), RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
