@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftgrid.llm.common import (
-    U64, PrefixHash, batch_of, ragged, row_key, schema, slices, stored, utf8,
+    U64, PrefixHash, batch_of, fresh, ragged, row_key, schema, slices, stored, utf8,
 )
 
 GRAM = 64
@@ -302,6 +302,21 @@ def _window_counts(length: int):
 
 # 4. The texts that are left -------------------------------------------------------------
 
+def kept_bytes(text: bytes, spans: list) -> tuple[bytes, int, int]:
+    """What is left of ``text`` without the spans; bytes removed; maximal runs removed."""
+    removed, runs, end, kept = 0, 0, -1, []
+    for start, stop in sorted((s["start"], s["stop"]) for s in spans or ()):
+        if start > end:  # adjoining spans are one run
+            kept.append(text[max(end, 0):start])
+            runs += 1
+            removed += stop - start
+            end = stop
+        elif stop > end:
+            removed += stop - end
+            end = stop
+    return b"".join([*kept, text[max(end, 0):]]), removed, runs
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 1 << 23):
@@ -310,22 +325,39 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = ([], [], [], [], [])
             for k, doc_id in enumerate(ids):
                 text = flat[at[k]:at[k + 1]].tobytes()
-                removed, runs, end, kept = 0, 0, -1, []
-                for start, stop in sorted((s["start"], s["stop"]) for s in spans[k] or ()):
-                    if start > end:  # adjoining spans are one run
-                        kept.append(text[max(end, 0):start])
-                        runs += 1
-                        removed += stop - start
-                        end = stop
-                    elif stop > end:
-                        removed += stop - end
-                        end = stop
-                left = b"".join([*kept, text[max(end, 0):]])
+                left, removed, runs = kept_bytes(text, spans[k])
                 for values, value in zip(out, (len(text), removed, runs, hashlib.sha256(left).hexdigest(), left)):
                     values.append(value)
             yield batch_of(RESULT, ids, *out)
 
 
+def _shorten(names: list[str], spans: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for k, own in enumerate(batch.column(spans).to_pylist()):
+                if own:
+                    texts[k] = kept_bytes(texts[k].encode(), own)[0].decode("utf-8", "ignore")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+    return run
+
+
+def without_repeats(docs: DataFrame, length: int = 400, max_bucket: int = 50_000) -> DataFrame:
+    """The rows and columns of ``docs``, the repeated bytes taken out of text.
+
+    A character that a cut splits goes whole. Where there is a column n_chars it is counted
+    anew. Null texts stay null, texts without repeats stay as they are.
+    """
+    spans, doc, txt = (fresh(docs, c) for c in ("spans", "doc", "txt"))
+    found = repeated_spans(docs, length, max_bucket).groupBy(F.col("doc").alias(doc), F.col("txt").alias(txt)).agg(
+        F.collect_list(F.struct("start", "stop")).alias(spans))
+    keys = row_key(docs)
+    rows = docs.select("*", keys[0].alias(doc), keys[1].alias(txt)).join(found, [doc, txt], "left").select(*docs.columns, spans)
+    out = rows.mapInArrow(_shorten(docs.columns, spans), docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, max_bucket: int = 50_000, batch_rows: int = 20_000) -> DataFrame:
     """Spans (doc, txt, start, stop) of repeated bytes; (doc, txt) is ``row_key``.
 
