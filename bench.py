@@ -26,7 +26,8 @@ HEADLINE = [
     "all_metrics", "all_metrics_orders", "segment_metrics", "daily_conversion", "z_test",
     "z_test_orders", "welch_t_test_orders", "novelty", "corrections_bh", "power_analysis",
     "mde_curve", "prob_treatment_better", "expected_loss", "ipw_conversion", "ipw_t_test",
-    "covariate_balance", "rank_auc", "decision_view", "analyze",
+    "covariate_balance", "rank_auc", "propensity_scores", "ipw_end_to_end", "decision_view",
+    "analyze",
 ]
 
 

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from liftgrid.functions.binding import bind, sql_integral, sql_let
 
 _NEGLIGIBLE = "40D"
-# Beyond this many degrees of freedom the t tail is a corrected normal tail.
-_LARGE_DF = "1000000D"
 _NEWTON_STEPS = 10
 
 
@@ -53,11 +51,17 @@ def _normal_sql(z: str) -> str:
     )
 
 
-def _sine_mass_sql(angle: str, df: str, slope: str) -> str:
-    """Integral of sin^(df-1) from 0 to ``angle``; ``slope`` is (df-1) angle cot(angle) + 1."""
-    area = sql_integral(
-        "v", f"exp(({df} - 1) * ln(sin({angle} * exp(-width * <v>))) - width * <v>)"
-    )
+def _sine_mass_sql(angle: str, rest: str, df: str, slope: str) -> str:
+    """Integral of sin^(df-1) from 0 to ``angle``; ``slope`` is (df-1) angle cot(angle) + 1.
+
+    ``rest`` is pi/2 - angle. With many degrees of freedom the mass sits near pi/2, where a
+    sine is 1 but for its last digits; its logarithm is taken from the distance to pi/2,
+    which is known to full relative accuracy.
+    """
+    inner = f"{angle} * exp(-width * <v>)"
+    away = f"({rest} * exp(-width * <v>) - {math.pi / 2!r}D * expm1(-width * <v>))"
+    log_sine = f"if({inner} < 0.8D, ln(sin({inner})), log1p(-sin({away}) * sin({away})) / 2)"
+    area = sql_integral("v", f"exp(({df} - 1) * {log_sine} - width * <v>)")
     return sql_let(
         "width",
         f"least({_NEGLIGIBLE} / ({slope}), {_NEGLIGIBLE} / {df} + 6 / sqrt({df}))",
@@ -66,12 +70,13 @@ def _sine_mass_sql(angle: str, df: str, slope: str) -> str:
 
 
 def _half_mass_sql(df: str) -> str:
-    return _sine_mass_sql(f"{math.pi / 2!r}D", df, "1D")
+    return _sine_mass_sql(f"{math.pi / 2!r}D", "0D", df, "1D")
 
 
 def _tail_mass_sql(t: str, df: str) -> str:
     slope = f"({df} - 1) * angle * {t} / sqrt({df}) + 1"
-    return sql_let("angle", f"atan2(sqrt({df}), {t})", _sine_mass_sql("angle", df, slope))
+    mass = _sine_mass_sql("angle", "rest", df, slope)
+    return sql_let("angle", f"atan2(sqrt({df}), {t})", sql_let("rest", f"atan2({t}, sqrt({df}))", mass))
 
 
 def normal_two_sided(z: Column) -> Column:
@@ -81,11 +86,9 @@ def normal_two_sided(z: Column) -> Column:
 
 def student_two_sided(t: Column, df: Column) -> Column:
     """P(|T| > |t|) of Student's t with a positive, possibly fractional, df."""
-    as_normal = sql_let("z", "s.t * (1 - (s.t * s.t + 1) / (4 * s.df))", _normal_sql("z"))
     exact = f"{_tail_mass_sql('s.t', 's.df')} / {_half_mass_sql('s.df')}"
     return bind(
-        f"CASE WHEN s.t IS NULL OR s.df <= 0 THEN NULL "
-        f"WHEN s.df > {_LARGE_DF} THEN {as_normal} ELSE {exact} END",
+        f"CASE WHEN s.t IS NULL OR s.df <= 0 THEN NULL ELSE {exact} END",
         t=F.abs(t), df=df.cast("double"),
     )
 
@@ -98,7 +101,7 @@ def student_critical(alpha: float, df: Column) -> Column:
         f" + {(5 * z**5 + 16 * z**3 + 3 * z) / 96!r}D / (s.df * s.df))"
     )
     density = (
-        "exp((s.df - 1) * ln(sin(atan2(sqrt(s.df), t)))) * sqrt(s.df) / (s.df + t * t) / half"
+        "exp(-(s.df - 1) / 2 * log1p(t * t / s.df)) * sqrt(s.df) / (s.df + t * t) / half"
     )
     step = sql_let(
         "p",
@@ -111,8 +114,7 @@ def student_critical(alpha: float, df: Column) -> Column:
         f"aggregate(sequence(1, {_NEWTON_STEPS}), {start}, (t, i) -> {step})",
     )
     return bind(
-        f"CASE WHEN s.df > {_LARGE_DF} THEN {start} WHEN s.df > 0 THEN {solved} END",
-        df=df.cast("double"),
+        f"CASE WHEN s.df > 0 THEN {solved} END", df=df.cast("double"),
     )
 
 

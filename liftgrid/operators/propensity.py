@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
 from collections.abc import Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -43,11 +42,9 @@ BOOSTING = {
 IMBALANCE_AUC = 0.6
 FOLDS = 5
 
-# Up to this many categories get a column each, more are hashed.
-MAX_CATEGORIES = 10_000
-HASHED_CATEGORIES = 4096
-
-ROWS_PER_PARTITION = 50_000
+# Training rows are dealt to so many partitions by user. The boosting bag is drawn per
+# partition, so this number is a setting of the model, never taken from the data.
+TRAINING_PARTITIONS = 8
 
 _HASH_CELLS = 4096
 
@@ -78,23 +75,24 @@ def training_set(
 
 
 def feature_pipeline(
-    classifier: str = "boosted", hash_categories: bool = False, **settings
+    classifier: str = "boosted", hash_categories: int | None = None, **settings
 ) -> Pipeline:
     """Scaled numbers, one-hot category (unseen values allowed), and the classifier.
 
-    ``hash_categories`` replaces the category dictionary, which the driver would have to
-    hold, by hashed indicator columns.
+    By default every category has its own column; the driver holds their dictionary.
+    ``hash_categories``, where asked for, is a number of hashed columns instead: categories
+    may then share one. The data never decides between the two.
     """
     category = CATEGORICAL_FEATURES[0]
     stages = [
         VectorAssembler(inputCols=list(NUMERIC_FEATURES), outputCol="numbers"),
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
     ]
-    if hash_categories:
+    if hash_categories is not None:
         stages.append(
             FeatureHasher(
                 inputCols=[category], outputCol="category_onehot",
-                categoricalCols=[category], numFeatures=HASHED_CATEGORIES,
+                categoricalCols=[category], numFeatures=hash_categories,
             )
         )
     else:
@@ -118,12 +116,6 @@ def feature_pipeline(
     return Pipeline(stages=stages)
 
 
-def too_many_categories(data: DataFrame, limit: int | None = None) -> bool:
-    """Whether a dictionary of the categories would outgrow the driver."""
-    estimate = data.agg(F.approx_count_distinct(CATEGORICAL_FEATURES[0])).first()[0]
-    return estimate > (MAX_CATEGORIES if limit is None else limit)
-
-
 def stratified_folds(
     data: DataFrame, folds: int = FOLDS, strata: Sequence[str] = ("treatment",),
     key: str = "user_id",
@@ -211,9 +203,14 @@ def score_propensity(model: PipelineModel, features: DataFrame) -> DataFrame:
 class PropensityModel:
     """Classifier of one experiment with its cross-validated AUC."""
 
-    def __init__(self, classifier: str = "boosted", parallelism: int = FOLDS, **settings):
+    def __init__(
+        self, classifier: str = "boosted", parallelism: int = FOLDS,
+        partitions: int = TRAINING_PARTITIONS, hash_categories: int | None = None, **settings,
+    ):
         self.classifier = classifier
         self.parallelism = parallelism
+        self.partitions = partitions
+        self.hash_categories = hash_categories
         self.settings = settings
         self.model: PipelineModel | None = None
         self.cv_auc: float | None = None
@@ -226,11 +223,9 @@ class PropensityModel:
         """
         ensure_checkpoint_dir(data.sparkSession)
         data = materialize(stratified_folds(data, folds), "propensity-training")
-        # Every tree level is a job over all partitions; tiny ones cost more than they save.
-        data = data.coalesce(math.ceil(data.count() / ROWS_PER_PARTITION) or 1)
-        pipeline = feature_pipeline(
-            self.classifier, hash_categories=too_many_categories(data), **self.settings
-        )
+        # One layout whatever the input's was: the same rows give the same model.
+        data = data.repartition(self.partitions, "user_id").sortWithinPartitions("user_id")
+        pipeline = feature_pipeline(self.classifier, self.hash_categories, **self.settings)
         fold = F.col("fold")
         samples = [data.filter(fold != k) for k in range(folds)] + [data]
         fit = inheritable_thread_target(data.sparkSession)(pipeline.fit)
@@ -240,7 +235,9 @@ class PropensityModel:
             score_propensity(model, data.filter(fold == k)) for k, model in enumerate(fold_models)
         ]
         aucs = rank_auc(reduce(DataFrame.unionByName, held_out), by=("fold",))
-        self.cv_auc = aucs.agg(F.avg("auc")).first()[0]
+        self.cv_auc, ranked = aucs.agg(F.avg("auc"), F.count("auc")).first()
+        if ranked < folds:
+            raise ValueError(f"{folds - ranked} of {folds} folds hold one class only")
         return self.cv_auc
 
     def predict_propensity(self, features: DataFrame) -> DataFrame:
@@ -297,6 +294,10 @@ def propensity_analysis(
         row.experiment_id: row.control
         for row in controls.filter(F.col("experiment_id").isin(*experiment_ids)).collect()
     }
+    # Read once for each experiment, computed once for all of them.
+    wanted = F.col("experiment_id").isin(*experiment_ids)
+    assignments = materialize(assignments.filter(wanted), "propensity-assignments")
+    features, outcomes = materialize(features, "propensity-features"), materialize(outcomes, "propensity-outcomes")
     results = []
     for experiment_id in experiment_ids:
         rows = assignments.filter(F.col("experiment_id") == experiment_id)

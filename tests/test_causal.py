@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from liftgrid.operators import ipw
@@ -15,7 +15,6 @@ from liftgrid.operators.propensity import (
     rank_auc,
     score_propensity,
     stratified_folds,
-    too_many_categories,
     training_set,
 )
 from tests.conftest import one
@@ -179,10 +178,9 @@ def test_adjustment_size(spark, fitted, name, check):
     assert check(one(ipw.adjusted_conversion_rate(scored)).adjustment_magnitude)
 
 
-def test_many_categories_are_hashed(spark, fitted):
+def test_hashed_categories_are_an_explicit_choice(spark, fitted):
     _, data, _, _ = fitted["balanced"]
-    assert too_many_categories(data, 2) and not too_many_categories(data)
-    model = feature_pipeline("logistic", hash_categories=True, maxIter=2).fit(data)
+    model = feature_pipeline("logistic", hash_categories=64, maxIter=2).fit(data)
     assert score_propensity(model, data).filter("propensity > 0 AND propensity < 1").count() == 600
     with pytest.raises(ValueError, match="Unknown classifier"):
         feature_pipeline("forest")
@@ -211,3 +209,30 @@ def test_end_to_end_step(spark):
     row = one(propensity_analysis(features, assignments, outcomes, ["exp_test"], "logistic", maxIter=5))
     assert row.imbalance_detected and row.cv_auc > 0.6
     assert row.adjustment_magnitude == pytest.approx(abs(row.adjusted_lift - row.unadjusted_lift))
+
+
+def test_every_category_keeps_its_own_column(spark):
+    rows = spark.range(10_001).select(
+        F.col("id").cast("string").alias("user_id"), (F.col("id") % 2).cast("int").alias("treatment"),
+        F.concat(F.lit("c"), "id").alias("favorite_category"), *(F.lit(1.0).alias(c) for c in NUMERIC_FEATURES))
+    stages = feature_pipeline("logistic", maxIter=1).getStages()[:-1]
+    coded = Pipeline(stages=stages).fit(rows).transform(rows)
+    assert coded.select(F.col("category_onehot").cast("string")).distinct().count() == 10_001
+
+
+def test_input_layout_does_not_move_a_score(spark, fitted):
+    _, data, _, _ = fitted["imbalanced"]
+    scores = []
+    for partitions in (1, 6, 20):
+        model = PropensityModel(maxIter=3, maxDepth=2)
+        model.train(data.repartition(partitions), folds=2)
+        rows = model.predict_propensity(data).select("user_id", "propensity").collect()
+        scores.append({r.user_id: r.propensity for r in rows})
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_a_fold_of_one_class_is_an_error(spark, fitted):
+    _, data, _, _ = fitted["balanced"]
+    few = data.filter("treatment = 0").limit(30).unionByName(data.filter("treatment = 1").limit(3))
+    with pytest.raises(ValueError, match="one class"):
+        PropensityModel("logistic", maxIter=2).train(few)

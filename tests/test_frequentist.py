@@ -197,3 +197,20 @@ def test_step_up_rejects_ranks_below_a_passing_one_and_never_nulls(spark):
     rows = corrections.benjamini_hochberg(p_values(spark, [0.03, 0.04, 0.049])).collect()
     assert all(r.significant_corrected for r in rows)
     assert not any(r.significant_corrected for r in corrections.bonferroni(p_values(spark, [None, 0.03])).collect())
+
+
+def test_t_tail_falls_with_df_without_a_jump(spark):
+    """Near and far beyond a million degrees of freedom, against the normal tail and its first terms."""
+    import math
+
+    for t in (1.5, 8.0, 20.0, 37.0):
+        previous = None
+        for df in (9.99e5, 1e6 - 1, 1e6 + 1, 1.001e6, 1e8, 1e10):
+            p = value(spark, dist.student_two_sided(F.lit(t), F.lit(df)))
+            # log of the ratio to the normal tail, to first order in 1 / df, over t = 1.5 only
+            if t == 1.5:
+                phi = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+                first = math.erfc(t / math.sqrt(2)) + 2 * phi * t * (t * t + 1) / (4 * df)
+                assert p == pytest.approx(first, rel=1e-9)
+            assert previous is None or p <= previous * (1 + 1e-10)
+            previous = p

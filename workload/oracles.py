@@ -174,6 +174,8 @@ def arms_ctes(clean: str = CLEAN, start=START, end=END) -> str:
 
 
 ARMS = arms_ctes()
+WHOLE_ARMS = arms_ctes(CLEAN, "1900-01-01", "2200-01-01")
+WHOLE_ORDER_ARMS = arms_ctes(CLEAN_ORDERS, "1900-01-01", "2200-01-01")
 ORDER_ARMS = arms_ctes(CLEAN_ORDERS, ORDERS_START, ORDERS_END)
 
 DAILY = f"""WITH {CLEAN}, {ASSIGNED},
@@ -187,28 +189,29 @@ daily AS (SELECT experiment_id, variant, date, count(*) AS n_active,
 # Queries --------------------------------------------------------------------------------
 
 def features_sql(clean: str, condition: str = "TRUE") -> str:
+    """Sessions first: a session of n events counts n times in the event-weighted length, so
+    that is the sum of squares over the sum. Days and views are rolled up on their own."""
+    when = lambda kind, value: f"sum(CASE WHEN event_type = '{kind}' THEN {value} END)"
     return f"""WITH {clean},
-src AS (SELECT * FROM ev WHERE {condition}),
-sized AS (SELECT *, count(*) OVER (PARTITION BY user_id, user_session) AS session_events FROM src),
-fav AS (
-  SELECT user_id, category_code FROM (
-    SELECT user_id, category_code,
-           row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, category_code) AS rn
-    FROM src WHERE event_type = 'view' AND category_code IS NOT NULL AND category_code <> ''
-    GROUP BY user_id, category_code) WHERE rn = 1),
-agg AS (
-  SELECT user_id, count(DISTINCT user_session) AS total_sessions,
-         count(*) FILTER (WHERE event_type = 'view') AS total_views,
-         count(*) FILTER (WHERE event_type = 'cart') AS total_carts,
-         count(*) FILTER (WHERE event_type = 'purchase') AS total_purchases,
-         coalesce(sum(price) FILTER (WHERE event_type = 'purchase'), 0.0) AS total_revenue,
-         count(*) / count(DISTINCT user_session) AS avg_session_length,
-         count(DISTINCT date) AS days_active,
-         min(event_time) AS first_seen, max(event_time) AS last_seen,
-         coalesce(avg(price) FILTER (WHERE event_type = 'view'), 0.0) AS avg_price_viewed,
-         avg(session_events) AS avg_session_length_event_weighted
-  FROM sized GROUP BY user_id),
-feat AS (SELECT agg.*, fav.category_code AS favorite_category FROM agg LEFT JOIN fav USING (user_id))"""
+used AS (SELECT * FROM ev WHERE {condition}),
+visits AS (SELECT user_id, user_session, count(*) AS n, min(event_time) AS began, max(event_time) AS ended,
+                  coalesce({when('view', 1)}, 0) AS views, coalesce({when('cart', 1)}, 0) AS carts,
+                  coalesce({when('purchase', 1)}, 0) AS purchases, coalesce({when('purchase', 'price')}, 0) AS paid,
+                  {when('view', 'price')} AS seen_price, {when('view', '(price IS NOT NULL)::INTEGER')} AS priced
+           FROM used GROUP BY user_id, user_session),
+people AS (SELECT user_id, count(user_session) AS total_sessions, sum(views)::BIGINT AS total_views,
+                  sum(carts)::BIGINT AS total_carts, sum(purchases)::BIGINT AS total_purchases,
+                  sum(paid) AS total_revenue, sum(n) / count(user_session) AS avg_session_length,
+                  sum(n * n) / sum(n) AS avg_session_length_event_weighted,
+                  coalesce(sum(seen_price) / sum(priced), 0.0) AS avg_price_viewed,
+                  min(began) AS first_seen, max(ended) AS last_seen
+           FROM visits GROUP BY user_id),
+calendar AS (SELECT user_id, count(DISTINCT date) AS days_active FROM used GROUP BY user_id),
+liked AS (SELECT user_id, category_code, count(*) AS n FROM used
+          WHERE event_type = 'view' AND category_code <> '' GROUP BY user_id, category_code),
+most AS (SELECT user_id, max(n) AS n FROM liked GROUP BY user_id),
+tastes AS (SELECT user_id, min(category_code) AS favorite_category FROM liked JOIN most USING (user_id, n) GROUP BY user_id),
+feat AS (SELECT * FROM people JOIN calendar USING (user_id) LEFT JOIN tastes USING (user_id))"""
 
 
 FEATURES_SELECT = """
@@ -458,10 +461,10 @@ def all_oracles() -> dict[str, str]:
             FROM u WHERE k NOT IN (SELECT k FROM o)""",
         "conversion_rate": f"""{ARMS} SELECT experiment_id, variant, n_users, n_converters,
             round(n_converters::DOUBLE / n_users, 8) AS conversion_rate FROM arms""",
-        "revenue_per_user": f"""{ARMS} SELECT experiment_id, variant, n_users,
+        "revenue_per_user": f"""{WHOLE_ARMS} SELECT experiment_id, variant, n_users,
             round(mean_revenue, 6) AS mean_revenue,
             round(coalesce(sqrt(var_revenue), 0.0), 6) AS std_revenue FROM arms""",
-        "add_to_cart_rate": f"""{ARMS} SELECT experiment_id, variant, n_users, n_carted,
+        "add_to_cart_rate": f"""{WHOLE_ARMS} SELECT experiment_id, variant, n_users, n_carted,
             round(n_carted::DOUBLE / n_users, 8) AS add_to_cart_rate FROM arms""",
         "all_metrics": f"{ARMS} {cards.format(digits=6)}",
         "all_metrics_orders": f"{ORDER_ARMS} {cards.format(digits=4)}",
@@ -471,7 +474,7 @@ def all_oracles() -> dict[str, str]:
                    round(avg(revenue), 4) AS mean_revenue
             FROM asg JOIN out USING (user_id) JOIN customer ON c_custkey::VARCHAR = user_id
             GROUP BY ALL""",
-        "arm_sufficient_stats": f"""{ARMS} SELECT experiment_id, control, variant,
+        "arm_sufficient_stats": f"""{WHOLE_ARMS} SELECT experiment_id, control, variant,
             n_c AS control_n_users, x_c AS control_n_converters, round(m_c, 6) AS control_mean_revenue,
             round(v_c, 4) AS control_var_revenue, n_t AS treatment_n_users,
             x_t AS treatment_n_converters, round(m_t, 6) AS treatment_mean_revenue,
@@ -480,8 +483,8 @@ def all_oracles() -> dict[str, str]:
             round(conversion_rate, 8) AS conversion_rate FROM daily""",
         "z_test": z_sql(ARMS),
         "z_test_orders": z_sql(ORDER_ARMS),
-        "welch_t_test": t_sql(ARMS),
-        "welch_t_test_orders": t_sql(ORDER_ARMS),
+        "welch_t_test": t_sql(WHOLE_ARMS),
+        "welch_t_test_orders": t_sql(WHOLE_ORDER_ARMS),
         "novelty": f"""{DAILY},
             num AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, variant ORDER BY date) AS d
                     FROM daily WHERE variant <> 'control'),
