@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 
 from liftgrid.llm.common import U64, PrefixHash, batch_of, bucket_of, ragged, schema, slices, utf8, words
 
-SPAN, DECAY, SHARPNESS, FLOOR = 9, 0.7, 8.0, 0.1
-SLICE = 1 << 21
+SPAN, DECAY, SHARPNESS, FLOOR = 8, 0.7, 8.0, 0.1
+SLICE = 1 << 20
 #: Strings remembered by a task before it forgets them.
 REMEMBERED = 400_000
 LETTERS = 32
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 SEEN = schema("doc bigint, word string")
-SCORES = schema("score double")
+SCORED = schema("doc_id bigint, score double")
 BAGS = schema("doc bigint, label int, vector array<double>")
 
 
@@ -64,11 +64,15 @@ def units(flat: np.ndarray, at: np.ndarray):
     start, end, row = words(flat, at)
     if not len(start):
         return start, end, row, start
+    full = end
+    for _ in range(4):  # marks around a word are not part of it
+        end = end - ((end - start > 1) & (CLASS[flat[end - 1]] == 0))
+        start = start + ((end - start > 1) & (flat[start] < 0x80) & (CLASS[flat[start]] == 0))
     # a sentence ends with a mark or a line end between two words, or with the text
     marks = np.concatenate([[0], np.cumsum(BREAK[flat])])
     stop = np.zeros(len(start), bool)
     stop[1:] = (row[1:] != row[:-1]) | (
-        (marks[start[1:]] - marks[end[:-1] - 1] > 0) & (end[:-1] - start[:-1] > 1))
+        (marks[start[1:]] - marks[end[:-1]] > 0) & (full[:-1] - start[:-1] > 1))
     sentence = np.cumsum(stop)
     single = end - start == 1
     single &= CLASS[flat[start]] > 0
@@ -141,6 +145,11 @@ class Landmarks:
 
     def kernel(self, flat, start, end) -> tuple[np.ndarray, np.ndarray]:
         """Strings near a landmark and their kernel values; all others are below FLOOR."""
+        parts = [self._kernel(flat, start[a:a + 4096], end[a:a + 4096]) for a in range(0, len(start), 4096)]
+        who = np.concatenate([w + 4096 * k for k, (w, _) in enumerate(parts)]) if parts else np.zeros(0, np.int64)
+        return who, np.concatenate([v for _, v in parts]) if parts else np.zeros((0, self.table.shape[1]), np.float32)
+
+    def _kernel(self, flat, start, end) -> tuple[np.ndarray, np.ndarray]:
         who, what, value = features(flat, start, end)
         hit = self.used[what]
         who, what, value = who[hit], what[hit], value[hit]
@@ -156,8 +165,8 @@ class Landmarks:
             return none
         first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
         near = np.empty((len(first), self.table.shape[1]), np.float32)
-        for a in range(0, len(first), 20_000):  # bounds the gathered rows
-            b = min(a + 20_000, len(first))
+        for a in range(0, len(first), 256):  # bounds the gathered rows
+            b = min(a + 256, len(first))
             lo, hi = first[a], first[b] if b < len(first) else len(who)
             near[a:b] = np.add.reduceat(self.table[what[lo:hi]] * value[lo:hi, None], first[a:b] - lo, axis=0)
         values = np.exp(-SHARPNESS * (1 - near))
@@ -364,20 +373,33 @@ def _scored(machine: Machine):
             for batch in slices(whole, "text", SLICE):
                 flat, at = utf8(batch.column("text"))
                 found = evidence(flat, at) if evidence else np.zeros((batch.num_rows, 2))
-                rest = batch.drop_columns(["text"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(machine.score(found))], [*rest.schema.names, "score"])
+                yield batch_of(SCORED, batch.column("doc_id"), machine.score(found))
+    return run
+
+
+def _clean(machine: Machine, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = machine.scorer() if machine.landmarks else None
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                found = evidence(*utf8(batch.column("text"))) if evidence else np.zeros((batch.num_rows, 2))
+                yield batch.filter(pa.array(machine.score(found) < threshold))
     return run
 
 
+def keep_clean(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below ``threshold``."""
+    return docs.mapInArrow(_clean(machine, threshold), docs.schema)
+
+
 def score(docs: DataFrame, machine: Machine, folds: int = 5, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text).
 
     Null and empty texts get the score of a text with no string near a landmark; null ids
     keep their rows; repeated rows score alike; other columns are not read.
     """
-    spec = schema("doc_id bigint, score double")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = rows.mapInArrow(_scored(machine), spec)
+    scored = rows.mapInArrow(_scored(machine), SCORED)
     return scored.select(
         "doc_id", (bucket_of(F.col("doc_id"), folds) == 0).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
