@@ -80,6 +80,9 @@ class Lattice:
         keys = self.hashes(sums, at, at + sizes)
         rank = np.argsort(keys)
         self.keys, self.ids = keys[rank], np.array(ids)[rank]
+        # most strings are no piece; their leading bits tell without a search
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[keys >> U64(44)] = True
         score = np.array([vocabulary.scores[i] for i in ids], np.float64)
         self.scores = score[rank]
         self.unknown_score = score.min() - UNKNOWN_PENALTY
@@ -107,7 +110,7 @@ class Lattice:
 
     @staticmethod
     def hashes(sums, start, end):
-        return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
+        return (sums[end] - sums[start]) * powers(len(sums))[1][start]
 
     def edges(self, sums, start, size: int, limit) -> tuple[np.ndarray, np.ndarray]:
         """Score and id of the piece of ``size`` characters at each start; LOW and -1 for none."""
@@ -115,9 +118,11 @@ class Lattice:
         inside = np.flatnonzero(start + size <= limit)
         if len(inside):
             key = self.hashes(sums, start[inside], start[inside] + size)
+            maybe = np.flatnonzero(self.seen[key >> U64(44)])
+            key, maybe = key[maybe], inside[maybe]
             spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[spot] == key
-            score[inside[hit]], ids[inside[hit]] = self.scores[spot[hit]], self.ids[spot[hit]]
+            score[maybe[hit]], ids[maybe[hit]] = self.scores[spot[hit]], self.ids[spot[hit]]
         if size == 1:
             none = inside[ids[inside] < 0]
             score[none] = self.unknown_score  # id -1: its bytes
@@ -133,7 +138,7 @@ class Lattice:
         for group in np.unique(np.ceil(np.log2(np.maximum(length, 4))).astype(int)):
             units = np.flatnonzero(np.ceil(np.log2(np.maximum(length, 4))).astype(int) == group)
             width = int(length[units].max())
-            step = max(1, (1 << 21) // (width * min(width, self.longest)))
+            step = max(1, (1 << 20) // (width * min(width, self.longest)))
             for a in range(0, len(units), step):
                 out.append(self._tile(sums, units[a:a + step], start, end, totals))
         if not out:
@@ -150,13 +155,12 @@ class Lattice:
         best = np.full((width + 1, n), LOW)
         best[0] = 0
         back, piece = np.zeros((width + 1, n), np.int16 if most < 32_000 else np.int64), np.zeros((width + 1, n), np.int32)
-        found = {}
-        for at in range(width):
-            found[at] = [self.edges(sums, begin + at, size, stop) for size in range(1, min(most, width - at) + 1)]
-            found.pop(at - most, None)
-            target = at + 1
+        starts = (np.arange(width)[:, None] + begin).ravel()
+        limits = np.broadcast_to(stop, (width, n)).ravel()
+        found = [tuple(x.reshape(width, n) for x in self.edges(sums, starts, size, limits)) for size in range(1, most + 1)]
+        for target in range(1, width + 1):
             for size in range(min(most, target), 0, -1):  # of equal sums the longest piece stays
-                score, ids = found[target - size][size - 1]
+                score, ids = (x[target - size] for x in found[size - 1])
                 sum_ = best[target - size] + score
                 better = sum_ > best[target]
                 best[target][better] = sum_[better]
@@ -360,9 +364,10 @@ def _lists(ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 def _encode(key: _Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(_lattice(key))
+        encoder = None
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
+                encoder = encoder or _Encoder(_lattice(key))
                 ids, cuts, score = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("text"), pa.array(score), _lists(ids, cuts)],
@@ -403,8 +408,8 @@ def _groups(batch: pa.RecordBatch, characters: int = 1 << 17):
 
 def _transfer(key: _Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(key)
         for batch in batches:
+            lattice = _lattice(key)
             for rows in _groups(batch):
                 matrices = lattice.transfer([_points(r) for r in rows], [len(r["body"]) for r in rows])
                 yield batch_of(MATRICES, [r["row"] for r in rows], [r["chunk"] for r in rows], [m.ravel() for m in matrices])
@@ -422,8 +427,8 @@ def _scan(frame):
 
 def _trace(key: _Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(key)
         for batch in batches:
+            lattice = _lattice(key)
             for rows in _groups(batch):
                 points = [_points(r) for r in rows]
                 traced = lattice.trace(points, [len(r["body"]) for r in rows], [r["entry"] for r in rows], [r["exit"] for r in rows])
@@ -461,8 +466,8 @@ def encode(docs: DataFrame, model_file: str, giant: int = GIANT, chunk: int = CH
 
 def _decode(key: _Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(key)
         for batch in batches:
+            lattice = _lattice(key)
             lists = batch.column("ids").fill_null([]) if batch.column("ids").null_count else batch.column("ids")
             cuts = lists.offsets.to_numpy().astype(np.int64)
             step = 2000
