@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Columns of the feature table (fixed values).
 FEATURE_COLUMNS = (
     "user_id", "total_sessions", "total_views", "total_carts", "total_purchases",
     "total_revenue", "avg_session_length", "days_active", "first_seen", "last_seen",
@@ -75,11 +76,14 @@ def favorite_category(events: DataFrame) -> DataFrame:
         .groupBy("user_id", "category_code")
         .agg(F.count(F.lit(1)).alias("n_views"))
     )
-    ranked = Window.partitionBy("user_id").orderBy(F.desc("n_views"), "category_code")
+    first = F.min(F.struct((-F.col("n_views")).alias("n"), "category_code"))
     return (
-        counts.withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") == 1)
-        .select("user_id", F.col("category_code").alias("favorite_category"), "n_views")
+        counts.groupBy("user_id")
+        .agg(first.alias("first"))
+        .select(
+            "user_id", F.col("first.category_code").alias("favorite_category"),
+            (-F.col("first.n")).alias("n_views"),
+        )
     )
 
 

@@ -153,14 +153,28 @@ def daily_conversion(
 
     This definition is ours; the novelty check only needs one rate per day.
     """
-    user_days = (
+    days = user_days(events, start, end)
+    return daily_rates(days.join(assignments.select("user_id", *ARM), "user_id"))
+
+
+def user_days(
+    events: DataFrame, start: dt.datetime | None = None, end: dt.datetime | None = None
+) -> DataFrame:
+    """Active days of each user, and whether the user bought on them.
+
+    With ``assign_all_users`` on top, the log is read once and nothing is joined.
+    """
+    return (
         events.filter(F.col("date").isNotNull() & window_predicate(start, end))
         .groupBy("user_id", "date")
         .agg(F.max((F.col("event_type") == "purchase").cast("int")).alias("bought"))
     )
+
+
+def daily_rates(assigned_days: DataFrame) -> DataFrame:
+    """Rates per experiment, variant and day of assigned ``user_days``."""
     return (
-        user_days.join(assignments.select("user_id", *ARM), "user_id")
-        .groupBy(*ARM, "date")
+        assigned_days.groupBy(*ARM, "date")
         .agg(
             F.count(F.lit(1)).alias("n_active"),
             F.sum("bought").alias("n_purchasers"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from liftgrid.operators.assignment import (
     Experiment,
     assign_all_users,
     assignment_summary,
+    check_srm,
     distinct_users,
     experiments_frame,
     variants_frame,
@@ -39,11 +41,18 @@ def build_tables(spark: SparkSession, raw_dir: str, events_path: str, features_p
 
 
 def enroll(tables: ControlTables, features: DataFrame, experiments: Sequence[Experiment]) -> DataFrame:
-    """Register experiments and variants, assign all users, return the summary."""
+    """Register experiments and variants, assign all users, return the summary.
+
+    The split is checked before anything of the assignment is stored; a mismatch is
+    reported, as a wrong split is a finding and no reason to lose the assignment.
+    """
     spark = tables.spark
     tables.add_experiments(experiments_frame(spark, experiments))
     tables.add_variants(variants_frame(spark, experiments))
     assigned = assign_all_users(distinct_users(features), experiments)
+    uneven = [r.experiment_id for r in check_srm(assigned).filter("srm_detected").collect()]
+    if uneven:
+        logging.getLogger(__name__).warning("sample ratio mismatch in %s", ", ".join(sorted(uneven)))
     tables.add_assignments(
         assigned.withColumn("variant_id", F.concat_ws("_", "experiment_id", "variant")),
         [e.experiment_id for e in experiments],

@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftgrid.schemas import EXPERIMENT_RESULTS, EXPERIMENTS, USER_ASSIGNMENTS, VARIANTS
 
+# Names of the platform's tables (fixed values).
 _TABLES = {
     "experiments": (EXPERIMENTS, None),
     "variants": (VARIANTS, None),
@@ -24,31 +25,35 @@ _TABLES = {
 
 
 def absent_rows(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not in ``existing``, one per key."""
-    return new.dropDuplicates(list(keys)).join(
-        existing.select(*keys), list(keys), "left_anti"
-    )
+    """Rows of ``new`` whose key is not in ``existing``, one per key.
+
+    Of several new rows of a key the least one stays, so the choice does not depend on the
+    order of rows. Two jobs that insert at once would both find a key absent: one writer
+    at a time is assumed.
+    """
+    rest = [c for c in new.columns if c not in keys]
+    chosen = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")) if rest else new.distinct()
+    chosen = chosen.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in new.columns])
+    return chosen.join(existing.select(*keys), list(keys), "left_anti")
 
 
 def newest_versions(rows: DataFrame) -> DataFrame:
     """Current row per experiment: the last version appended."""
-    versions = Window.partitionBy("experiment_id").orderBy(F.desc("updated_at"))
-    return (
-        rows.withColumn("_version", F.row_number().over(versions))
-        .filter(F.col("_version") == 1)
-        .drop("_version", "updated_at")
+    rest = [c for c in rows.columns if c not in ("experiment_id", "updated_at")]
+    newest = F.max(F.struct("updated_at", *rest))  # of one time the greatest row
+    return rows.groupBy("experiment_id").agg(newest.alias("_row")).select(
+        *["experiment_id" if c == "experiment_id" else F.col("_row")[c].alias(c)
+          for c in rows.columns if c != "updated_at"]
     )
 
 
 def newest_results(results: DataFrame) -> DataFrame:
     """Newest row per experiment, variant and metric of the append-only result table."""
-    newest = Window.partitionBy("experiment_id", "variant_id", "metric_name").orderBy(
-        F.desc("computed_at"), F.desc("value")
-    )
-    return (
-        results.withColumn("_age", F.row_number().over(newest))
-        .filter(F.col("_age") == 1)
-        .drop("_age")
+    keys = ["experiment_id", "variant_id", "metric_name"]
+    rest = [c for c in results.columns if c not in (*keys, "computed_at", "value")]
+    newest = F.max(F.struct("computed_at", "value", *rest))
+    return results.groupBy(*keys).agg(newest.alias("_row")).select(
+        *[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in results.columns]
     )
 
 

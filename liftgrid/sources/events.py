@@ -28,10 +28,13 @@ def blank_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def read_raw_events(spark: SparkSession, directory: str) -> DataFrame:
-    """All ``*.csv`` files of a directory as text columns; fails when there is none."""
+def read_raw_events(spark: SparkSession, directory: str, multi_line: bool = False) -> DataFrame:
+    """All ``*.csv`` files of a directory as text columns; fails when there is none.
+
+    ``multi_line`` reads quoted cells that hold line breaks; a file is then one task.
+    """
     files = f"{directory.rstrip('/')}/*.csv"
-    reader = spark.read.options(**CSV_OPTIONS)
+    reader = spark.read.options(**CSV_OPTIONS, multiLine=multi_line)
     header = reader.csv(files).schema  # one line of the first file, nothing is inferred
     needed = [c for c in RAW_EVENTS.names if c not in ("category_id", "category_code", "brand")]
     absent = [c for c in needed if c not in header.names]

@@ -142,6 +142,7 @@ def daily(spark, rates, variant="treatment", experiment="e"):
 
 
 def test_novelty_golden_and_short_series(spark):
+    # A decaying series (fixed values).
     early = [0.15, 0.14, 0.15, 0.13, 0.14, 0.15, 0.14]
     frames = [
         daily(spark, early + [0.06] * 14), daily(spark, [0.2] * 21, "control"),
@@ -178,6 +179,7 @@ def p_values(spark, ps, experiment="e"):
     )
 
 
+# Two lists of p-values (fixed values).
 FIRST = [0.001, 0.003, 0.01, 0.08, 0.12, 0.25, 0.40, 0.55, 0.70, 0.90]
 SECOND = [0.001, 0.01, 0.03, 0.04, 0.06, 0.10, 0.20, 0.40, 0.60, 0.80]
 

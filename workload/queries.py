@@ -88,6 +88,11 @@ def order_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.arm_stats(asg.assign_all_users(outcomes, EXPERIMENTS))
 
 
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rates; users are assigned on top of their days, so the log is read once."""
+    return metrics.daily_rates(asg.assign_all_users(metrics.user_days(clean(spark, sf_dir)), EXPERIMENTS))
+
+
 def whole_arms(spark: SparkSession, sf_dir: str, log=clean) -> DataFrame:
     """Arm statistics over the whole log: for money and carts, which need no window."""
     return metrics.arm_stats(asg.assign_all_users(metrics.all_user_outcomes(log(spark, sf_dir)), EXPERIMENTS))
@@ -287,7 +292,7 @@ def q_add_to_cart_rate(spark, sf_dir):
 
 def q_all_metrics(spark, sf_dir):
     return rounded(
-        metrics.variant_cards(_all_metrics(spark, sf_dir)),
+        metrics.variant_cards(arms(spark, sf_dir)),
         conversion_rate=8, mean_revenue=6, add_to_cart_rate=8,
     )
 
@@ -328,7 +333,7 @@ def q_arm_sufficient_stats(spark, sf_dir):
 
 def q_daily_conversion(spark, sf_dir):
     return rounded(
-        metrics.daily_conversion(clean(spark, sf_dir), assignments(spark, sf_dir)),
+        daily(spark, sf_dir),
         conversion_rate=8,
     )
 
@@ -371,9 +376,9 @@ def q_welch_t_test_orders(spark, sf_dir):
 
 
 def q_novelty(spark, sf_dir):
-    daily = metrics.daily_conversion(clean(spark, sf_dir), assignments(spark, sf_dir))
+    rates = daily(spark, sf_dir)
     return rounded(
-        frequentist.novelty_effect_test(daily),
+        frequentist.novelty_effect_test(rates),
         p_value=6, early_mean=8, post_early_mean=8, t_stat=6,
     )
 
@@ -400,10 +405,10 @@ def q_corrections_bonferroni(spark, sf_dir):
 
 def q_corrections_daily(spark, sf_dir):
     """One family per day: is the daily rate of any arm off 50 percent?"""
-    daily = metrics.daily_conversion(clean(spark, sf_dir), assignments(spark, sf_dir))
+    rates = daily(spark, sf_dir)
     n = F.col("n_active")
     z = (F.col("n_purchasers") - n / 2) / F.sqrt(n / 4)
-    tests = daily.select(
+    tests = rates.select(
         "date", "experiment_id", "variant",
         frequentist.normal_two_sided(z).alias("p_value"),
     )
@@ -638,8 +643,8 @@ def q_decision_view(spark, sf_dir):
 
 def q_analyze(spark, sf_dir):
     experiments, _ = experiment_dims(prepare(spark))
-    daily = metrics.daily_conversion(clean(spark, sf_dir), assignments(spark, sf_dir))
-    return analysis.analyze(arms(spark, sf_dir), experiments, daily=daily)
+    rates = daily(spark, sf_dir)
+    return analysis.analyze(arms(spark, sf_dir), experiments, daily=rates)
 
 
 def q_analyze_tests(spark, sf_dir):
