@@ -7,6 +7,7 @@ Text reaches Python as Arrow batches. A batch is cut into slices of bounded size
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -69,6 +70,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps whose tables are written.
+
+    Spark deletes them when the plans that made them are collected as garbage, which on a
+    driver with little to do comes late; a job of many steps would keep them all.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
