@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,41 @@ def test_near_copies_that_only_a_chain_links(spark):
     assert found(ngram_join.near_copies(df)) == jaccard(rows, 3, 90)
 
 
+def test_near_copies_in_another_slice_than_their_hub(spark):
+    """h alone in a slice; s < x in another one share the parts of h and x, but s is not similar to x."""
+    by_fragment = defaultdict(list)
+    for k in range(200):
+        gram, _ = ngram_join.sets_of(pa.array([f"w{k}"]), 1)
+        by_fragment[int(gram[0]) >> 62].append(f"w{k}")
+    same = by_fragment[2][:2] + by_fragment[3][:2]
+    p, others = (by_fragment[0] + by_fragment[1])[:5], by_fragment[1][10:14]
+    sets = {"h": same + p + others[:1], "s": same + p[:3] + others[1:], "x": same + p + others[1:2]}
+    texts = {k: " ".join(v) for k, v in sets.items()}
+    ids = spark.range(60).withColumn("name", F.explode(F.array(*map(F.lit, sets)))).withColumn(
+        "text", F.create_map(*[F.lit(v) for kv in texts.items() for v in kv])[F.col("name")]).withColumn("doc_id", F.col("id"))
+    node = {(r.name, r.doc_id): r.node for r in ids.select("name", "doc_id", F.xxhash64(*ngram_join.row_key(ids)).alias("node")).collect()}
+    rank = lambda name: sorted(range(60), key=lambda i: node[name, i])
+    h, x = rank("h")[0], rank("x")[-1]
+    s = next(i for i in rank("s")[20:] if i not in (h, x))
+    assert node["h", h] < node["s", s] < node["x", x] and len({h, s, x}) == 3
+    rows = [(h, texts["h"]), (s, texts["s"]), (x, texts["x"])]
+    df = spark.createDataFrame(rows[:1], "doc_id long, text string").coalesce(1).union(
+        spark.createDataFrame(rows[1:], "doc_id long, text string").coalesce(1))
+    assert found(ngram_join.near_copies(df, 1, 80)) == jaccard(rows, 1, 80)
+    assert sum(r.n_links for r in ngram_join.near_copies(df, 1, 80).collect()) == 2
+
+
+def test_near_copies_of_long_texts_at_the_threshold(spark):
+    """Pairs one n-gram to either side of the threshold, large enough to be counted by whole hashes."""
+    rows = []
+    for k, other in enumerate((47, 48, 49, 50)):
+        words = [f"t{k}w{i}" for i in range(900)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:900 - other] + [f"t{k}x{i}" for i in range(other)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = found(ngram_join.near_copies(df, 1, 90))
+    assert got == jaccard(rows, 1, 90) and len({c for _, _, c in got}) == 7
+
+
 def test_near_copies_of_odd_texts(odd, empty):
     assert found(ngram_join.near_copies(odd)) == jaccard(ODD, 3, 90)
     assert ngram_join.near_copies(empty).count() == 0
