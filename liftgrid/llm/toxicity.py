@@ -3,7 +3,10 @@
 * Kernel. k(u, v) sums, over all letter triples that both strings hold in order inside
   ``SPAN`` characters, decay ** (their extents); it is normalised, and sharpened to
   exp(-sharpness * (1 - k)), which is again a kernel. Inserted characters only lengthen the
-  extents ("id-iot", "i d i o t"); runs of one-letter words count as one string.
+  extents ("id-iot", "i d i o t"); runs of one-letter words count as one string. A letter
+  put inside ("idxiot") also adds triples of its own, which the sharpening would not forgive:
+  a string between ``LEAST`` and ``ALIKE`` is taken without the inner letters, at most
+  ``INSERTED`` of them, whose loss brings it nearest to a landmark.
 * Landmarks are words that labelled texts of class 1 use and others do not. A sentence is
   described by its words' greatest kernel value at each landmark, mapped by the Nystroem
   transform K_mm ** -1/2, and scored by a linear machine trained on labelled sentences:
@@ -29,7 +32,12 @@ from pyspark.sql import functions as F
 
 from liftgrid.llm.common import U64, PrefixHash, batch_of, bucket_of, ragged, schema, slices, utf8, words
 
-SPAN, DECAY, SHARPNESS, FLOOR = 8, 0.7, 8.0, 0.1
+SPAN, DECAY, SHARPNESS, FLOOR = 9, 0.7, 8.0, 0.1
+#: Kernel values before sharpening: of a near string, and of a four-letter word with a letter put inside.
+NEAR, LEAST = 1 + np.log(FLOOR) / SHARPNESS, 0.48
+#: From here on a string is taken as it is.
+ALIKE = 0.97
+INSERTED, LONGEST = 2, 24
 SLICE = 1 << 20
 #: Strings remembered by a task before it forgets them.
 REMEMBERED = 400_000
@@ -150,29 +158,63 @@ class Landmarks:
         return who, np.concatenate([v for _, v in parts]) if parts else np.zeros((0, self.table.shape[1]), np.float32)
 
     def _kernel(self, flat, start, end) -> tuple[np.ndarray, np.ndarray]:
+        who, near = self._near(flat, start, end)
+        top, size = near.max(axis=1, initial=0), (end - start)[who]
+        some = np.flatnonzero((top >= LEAST) & (top < ALIKE) & (size > 4) & (size <= LONGEST))
+        for a in range(0, len(some), 128):  # bounds the versions
+            own = some[a:a + 128]
+            near[own] = self._without_inserted(flat, start[who[own]], end[who[own]], near[own])
+        keep = near.max(axis=1, initial=0) >= NEAR
+        values = np.exp(-SHARPNESS * (1 - near[keep]))
+        values[values < FLOOR] = 0
+        return who[keep], values
+
+    def _near(self, flat, start, end) -> tuple[np.ndarray, np.ndarray]:
+        """Strings that may reach LEAST, with their kernel values before sharpening."""
         who, what, value = features(flat, start, end)
         hit = self.used[what]
         who, what, value = who[hit], what[hit], value[hit]
-        none = np.zeros(0, np.int64), np.zeros((0, self.table.shape[1]), np.float32)
-        if not len(who):
-            return none
         # only strings that share enough weight with any landmark can be near one
-        mass = np.bincount(who, value.astype(np.float64) ** 2)
-        live = np.sqrt(mass) >= 1 + np.log(FLOOR) / SHARPNESS
-        hit = live[who]
+        mass = np.bincount(who, value.astype(np.float64) ** 2, minlength=1)
+        hit = np.sqrt(mass)[who] >= LEAST
         who, what, value = who[hit], what[hit], value[hit]
         if not len(who):
-            return none
+            return np.zeros(0, np.int64), np.zeros((0, self.table.shape[1]), np.float32)
         first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
         near = np.empty((len(first), self.table.shape[1]), np.float32)
         for a in range(0, len(first), 256):  # bounds the gathered rows
             b = min(a + 256, len(first))
             lo, hi = first[a], first[b] if b < len(first) else len(who)
             near[a:b] = np.add.reduceat(self.table[what[lo:hi]] * value[lo:hi, None], first[a:b] - lo, axis=0)
-        values = np.exp(-SHARPNESS * (1 - near))
-        keep = values.max(axis=1) >= FLOOR
-        values[values < FLOOR] = 0
-        return who[first[keep]], values[keep]
+        return who[first], near
+
+    def _without_inserted(self, flat, start, end, near) -> np.ndarray:
+        """Kernel values of the strings without the inner letters that keep them from a landmark."""
+        near, own = near.copy(), np.arange(len(start))
+        for _ in range(INSERTED):
+            size = end - start
+            count = size - 2
+            string = np.repeat(np.arange(len(own)), count)
+            gone = ragged(np.ones(len(own), np.int64), count)
+            place = ragged(np.zeros(len(string), np.int64), size[string])
+            keep = place != np.repeat(gone, size[string])
+            flat = flat[(np.repeat(start[string], size[string]) + place)[keep]]
+            edge = np.concatenate([[0], np.cumsum(size[string] - 1)])
+            version, values = self._near(flat, edge[:-1], edge[1:])
+            # the best version of each string, the first one of equals
+            order = np.lexsort((version, -values.max(axis=1, initial=0), string[version]))
+            head = np.ones(len(order), bool)
+            head[1:] = string[version][order][1:] != string[version][order][:-1]
+            best = order[head]
+            better = values[best].max(axis=1, initial=0) > near[own[string[version[best]]]].max(axis=1, initial=0)
+            best = best[better]
+            which = own[string[version[best]]]
+            near[which] = values[best]
+            more = (values[best].max(axis=1, initial=0) < ALIKE) & (size[string[version[best]]] > 5)
+            own, start, end = which[more], edge[version[best]][more], edge[version[best] + 1][more]
+            if not len(own):
+                break
+        return near
 
 
 class Describer:

@@ -342,6 +342,25 @@ def test_toxicity_tolerates_gaps_and_inserted_characters(spark, machine):
     assert [got[k] for k in range(8)] == [1, 1, 1, 1, 1, 0, 0, 0]
 
 
+def test_toxicity_tolerates_inserted_letters(spark, machine):
+    _, _, fitted = machine
+    kind = passage(4, 30)
+    texts = ["idiiot", "idxiot", "morxon", "worthxless", "worthxlxess", "id-xiot", "indoor", "morning", "nevertheless", "worthy"]
+    df = spark.createDataFrame([(k, f"{kind}. you {t}. {kind}.") for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, fitted).collect()}
+    assert [got[k] for k in range(len(texts))] == [1] * 6 + [0] * 4
+
+
+def test_letters_inside_other_words():
+    """Four and six letters, and one letter more; words that only share a part are near nothing."""
+    marks = toxicity.Landmarks.of(["stupid", "scum", "idiot", "worthless"])
+    texts = ["stuxpid", "scxum", "idxiot", "worthxlxess", "student", "sum", "audit", "nevertheless", ""]
+    flat = np.frombuffer("".join(texts).encode(), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    who, values = marks.kernel(flat, end - [len(t) for t in texts], end)
+    assert who.tolist() == [0, 1, 2, 3] and values.max(axis=1).min() > 0.9 and values.argmax(axis=1).tolist() == [0, 1, 2, 3]
+
+
 def test_toxicity_of_odd_texts(odd, empty, machine, labels):
     docs, marks, fitted = machine
     rows = toxicity.score(odd, fitted).collect()
