@@ -426,6 +426,22 @@ def test_leaks_of_odd_tables(spark, odd, empty):
     assert not any(r.contaminated for r in decontamination.contaminated(odd, items.limit(0)).collect())
 
 
+def test_verbatim_leaks_of_small_tables(spark, odd, small):
+    items = spark.createDataFrame([(1, passage(1, 40)), (2, None), (3, ""), (None, passage(2, 50))], "item_id long, text string")
+    rows = decontamination.contaminated(odd, items).collect()
+    assert {(r.doc_id, *r.item_ids) for r in rows if r.contaminated} >= {(9, 1), (10, 1), (12, 1), (None, 1)}
+    assert {r.doc_id for r in rows if r.contaminated} == {9, 10, 12, 15, None}
+
+
+def test_verbatim_leaks_whatever_their_direction():
+    """An index whose directions tell nothing apart finds them still."""
+    index = decontamination.Index(np.zeros((decontamination.FEATURES + 1, decontamination.RANK), np.float32), np.ones(decontamination.FEATURES, bool))
+    items = decontamination.Items.of([(1, passage(1, 40)), (2, passage(2, 150))], index, 0.3, 0.7)
+    search = decontamination._searcher(index, items, 0.7, 0.5)
+    texts = [f"{passage(5, 33)} {passage(1, 40)} {passage(6, 50)}", passage(7), passage(2, 150), passage(1, 39), None]
+    assert search(pa.array(texts, pa.string())) == [(0, 1), (2, 2)]
+
+
 @pytest.mark.parametrize("a, b, n", [("abcde", "xaxcxe", 3), ("", "a", 0), ("aa", "a", 1)])
 def test_common_subsequence(a, b, n):
     assert decontamination.common_subsequence(list(a), list(b)) == n
