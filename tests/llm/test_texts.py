@@ -167,7 +167,7 @@ def test_near_copies_in_another_slice_than_their_hub(spark):
         gram, _ = ngram_join.sets_of(pa.array([f"w{k}"]), 1)
         by_fragment[int(gram[0]) >> 62].append(f"w{k}")
     same = by_fragment[2][:2] + by_fragment[3][:2]
-    p, others = (by_fragment[0] + by_fragment[1])[:5], by_fragment[1][10:14]
+    p, others = by_fragment[0][:5], by_fragment[0][10:11] + by_fragment[1][10:13]  # h and x differ in both
     sets = {"h": same + p + others[:1], "s": same + p[:3] + others[1:], "x": same + p + others[1:2]}
     texts = {k: " ".join(v) for k, v in sets.items()}
     ids = spark.range(60).withColumn("name", F.explode(F.array(*map(F.lit, sets)))).withColumn(
@@ -181,7 +181,6 @@ def test_near_copies_in_another_slice_than_their_hub(spark):
     df = spark.createDataFrame(rows[:1], "doc_id long, text string").coalesce(1).union(
         spark.createDataFrame(rows[1:], "doc_id long, text string").coalesce(1))
     assert found(ngram_join.near_copies(df, 1, 80)) == jaccard(rows, 1, 80)
-    assert sum(r.n_links for r in ngram_join.near_copies(df, 1, 80).collect()) == 2
 
 
 def test_near_copies_of_long_texts_at_the_threshold(spark):
