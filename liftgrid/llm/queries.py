@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import chat, decontamination, language_model, ngram_join, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, toxicity, warc
+from liftgrid.llm import (
+    chat, decontamination, importance, language_model, ngram_join, oracles, private_data, quality_classifier, quality_rules,
+    sentence_pieces, spelling, suffix_dedup, toxicity, warc,
+)
 from liftgrid.llm.common import read_table, scratch_path
 from liftgrid.session import prepare
 
@@ -88,9 +91,22 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir))
+
+
+def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.digests(private_data.find(table(spark, sf_dir)))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    return importance.resample(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return oracles.all_oracles()
