@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liftgrid.operators.ipw import adjusted_conversion_rate, compute_weights
+from liftgrid.operators.logistic import score_categories, score_logistic
 from liftgrid.operators.metrics import control_of
 from liftgrid.schemas import MODEL_RUNS
 from liftgrid.session import ensure_checkpoint_dir, lookup_join, materialize
@@ -46,7 +47,7 @@ FOLDS = 5
 # partition, so this number is a setting of the model, never taken from the data.
 TRAINING_PARTITIONS = 8
 
-_HASH_CELLS = 4096
+_CELL_BITS = 12
 
 
 def fill_features(features: DataFrame) -> DataFrame:
@@ -122,11 +123,13 @@ def stratified_folds(
 ) -> DataFrame:
     """Fold number per row, the rows of each stratum dealt out evenly in hash order.
 
-    A row's global position in its stratum is the number of rows in earlier hash cells
-    plus its position inside its own cell, so no task ever orders a whole stratum.
+    The hash is the first 60 bits of the key's md5, so other engines deal alike. A row's
+    global position in its stratum is the number of rows in earlier hash cells plus its
+    position inside its own cell, so no task ever orders a whole stratum.
     """
-    hashed = data.withColumn("_hash", F.xxhash64(key)).withColumn(
-        "_cell", F.pmod(F.shiftright("_hash", 20), F.lit(_HASH_CELLS)).cast("int")
+    digits = F.substring(F.md5(F.col(key).cast("string")), 1, 15)
+    hashed = data.withColumn("_hash", F.conv(digits, 16, 10).cast("bigint")).withColumn(
+        "_cell", F.shiftright("_hash", 60 - _CELL_BITS).cast("int")
     )
     cells = hashed.groupBy(*strata, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     earlier = (
@@ -262,19 +265,76 @@ def imbalance_detected(cv_auc: Column) -> Column:
     return cv_auc > IMBALANCE_AUC
 
 
-def weighted_users(model: PropensityModel, data: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Scored training rows with weight and conversion; users without outcomes did not convert."""
-    scored = model.predict_propensity(data)
+def with_outcomes(weighted: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Weighted rows with conversion and revenue; users without outcomes did not convert."""
     converted = outcomes.select(
         "user_id", (F.col("n_purchases") > 0).cast("int").alias("converted"), "revenue"
     )
-    return (
-        scored.withColumn("weight", compute_weights(F.col("propensity"), F.col("treatment")))
-        .join(converted, "user_id", "left")
-        .fillna(0, ["converted", "revenue"])
+    return weighted.join(converted, "user_id", "left").fillna(0, ["converted", "revenue"])
+
+
+def labelled_rows(features: DataFrame, assignments: DataFrame) -> DataFrame:
+    """``training_set`` of all experiments, each against its own control arm."""
+    variants = assignments.select("experiment_id", "variant").distinct()
+    controls = variants.select("experiment_id", control_of(variants).alias("control")).distinct()
+    return training_set(features, lookup_join(assignments, controls, ["experiment_id"]), F.col("control"))
+
+
+def score_all(
+    features: DataFrame, assignments: DataFrame, classifier: str = "logistic", folds: int = FOLDS,
+    maxIter: int = 40,
+) -> DataFrame:
+    """Training rows of all experiments with ``fold``, ``propensity`` and ``held_out``.
+
+    ``logistic`` models numbers and category in at most ``maxIter`` Newton steps, ``category``
+    the category alone; either fits every experiment and fold in the same jobs.
+    """
+    rows = stratified_folds(labelled_rows(features, assignments), folds, ("experiment_id", "treatment"))
+    rows = materialize(rows, "propensity-training")
+    if classifier == "logistic":
+        return score_logistic(rows, NUMERIC_FEATURES, CATEGORICAL_FEATURES[0], folds, max_steps=maxIter)
+    if classifier == "category":
+        return score_categories(rows, CATEGORICAL_FEATURES[0])
+    raise ValueError(f"Unknown classifier: {classifier!r}")
+
+
+def cross_validation(scored: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Mean AUC of the folds per experiment; NULL where a fold holds one class only."""
+    aucs = rank_auc(scored, "held_out", by=("experiment_id", "fold"))
+    return aucs.groupBy("experiment_id").agg(
+        F.when(F.count("auc") == folds, F.avg("auc")).alias("cv_auc")
     )
 
 
+def adjusted_by_scores(scored: DataFrame, outcomes: DataFrame, cv: DataFrame) -> DataFrame:
+    """Weights from ``propensity``, raw and adjusted lift, and the mean AUC per experiment."""
+    weighted = with_outcomes(
+        scored.withColumn("weight", compute_weights(F.col("propensity"), F.col("treatment"))), outcomes
+    )
+    return adjusted_conversion_rate(weighted).join(cv, "experiment_id", "left").select(
+        "experiment_id", "cv_auc",
+        F.coalesce(imbalance_detected(F.col("cv_auc")), F.lit(False)).alias("imbalance_detected"),
+        "adjustment_magnitude", "unadjusted_lift", "adjusted_lift",
+    )
+
+
+def boosted_scores(rows: DataFrame, folds: int = FOLDS, **settings) -> tuple[DataFrame, DataFrame]:
+    """Scored rows of boosted trees and the mean AUC per experiment.
+
+    Each experiment is a distributed fit with its own category dictionary, one after the
+    other; the per-user tables never leave the executors.
+    """
+    rows = materialize(rows, "propensity-rows")
+    scored, aucs = [], []
+    for row in rows.select("experiment_id").distinct().orderBy("experiment_id").collect():
+        own = rows.filter(F.col("experiment_id") == row.experiment_id)
+        model = PropensityModel("boosted", **settings)
+        aucs.append((row.experiment_id, model.train(own, folds)))
+        scored.append(model.predict_propensity(own))
+    cv = rows.sparkSession.createDataFrame(aucs, "experiment_id string, cv_auc double")
+    return reduce(DataFrame.unionByName, scored), cv
+
+
 def propensity_analysis(
     features: DataFrame,
     assignments: DataFrame,
@@ -285,32 +345,15 @@ def propensity_analysis(
 ) -> DataFrame:
     """Train, score, weight and adjust, one row per experiment.
 
-    Fits are distributed jobs run one experiment after the other; the per-user tables
-    never leave the executors.
+    ``logistic`` and ``category`` fit all experiments and folds in common jobs; ``boosted``
+    trains trees for one experiment after the other.
     """
-    variants = assignments.select("experiment_id", "variant").distinct()
-    controls = variants.select("experiment_id", control_of(variants).alias("control")).distinct()
-    control_by_id = {
-        row.experiment_id: row.control
-        for row in controls.filter(F.col("experiment_id").isin(*experiment_ids)).collect()
-    }
-    # Read once for each experiment, computed once for all of them.
-    wanted = F.col("experiment_id").isin(*experiment_ids)
-    assignments = materialize(assignments.filter(wanted), "propensity-assignments")
-    features, outcomes = materialize(features, "propensity-features"), materialize(outcomes, "propensity-outcomes")
-    results = []
-    for experiment_id in experiment_ids:
-        rows = assignments.filter(F.col("experiment_id") == experiment_id)
-        data = training_set(features, rows, control_by_id[experiment_id])
-        data = materialize(data, "propensity-rows")
-        model = PropensityModel(classifier, **settings)
-        cv_auc = model.train(data)
-        results.append(
-            adjusted_conversion_rate(weighted_users(model, data, outcomes)).select(
-                "experiment_id",
-                F.lit(cv_auc).alias("cv_auc"),
-                imbalance_detected(F.lit(cv_auc)).alias("imbalance_detected"),
-                "adjustment_magnitude", "unadjusted_lift", "adjusted_lift",
-            )
-        )
-    return reduce(DataFrame.unionByName, results)
+    assignments = materialize(
+        assignments.filter(F.col("experiment_id").isin(*experiment_ids)), "propensity-assignments"
+    )
+    if classifier == "boosted":
+        scored, cv = boosted_scores(labelled_rows(features, assignments), **settings)
+    else:
+        scored = materialize(score_all(features, assignments, classifier, **settings), "propensity-scores")
+        cv = cross_validation(scored, settings.get("folds", FOLDS))
+    return adjusted_by_scores(scored, outcomes, cv)

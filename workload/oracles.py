@@ -376,6 +376,31 @@ mo AS (SELECT t.experiment_id, t.w AS w_t, t.mu AS mu_t, t.s AS s_t, t.s / (t.w
        WHERE t.treatment = 1 AND c.treatment = 0)"""
 
 
+# Folds in md5 order, and the treated share of each category with and without the fold.
+CATEGORY_SCORES = f"""{WEIGHTED},
+dealt AS (SELECT *, (row_number() OVER (PARTITION BY experiment_id, treatment
+                                        ORDER BY ('0x' || substr(md5(user_id), 1, 15))::BIGINT, user_id) - 1) % 5 AS fold FROM wu),
+scored AS (SELECT a.*,
+    (SELECT avg(b.treatment) FROM dealt b WHERE b.experiment_id = a.experiment_id
+       AND b.favorite_category = a.favorite_category) AS chance,
+    coalesce((SELECT avg(b.treatment) FROM dealt b WHERE b.experiment_id = a.experiment_id
+                AND b.favorite_category = a.favorite_category AND b.fold <> a.fold),
+             (SELECT avg(b.treatment) FROM dealt b WHERE b.experiment_id = a.experiment_id AND b.fold <> a.fold)) AS held_out
+    FROM dealt a),
+couples AS (SELECT t.experiment_id, t.fold,
+    avg(CASE WHEN t.held_out > c.held_out THEN 1.0 WHEN t.held_out = c.held_out THEN 0.5 ELSE 0.0 END) AS auc
+    FROM scored t JOIN scored c ON t.experiment_id = c.experiment_id AND t.fold = c.fold
+    WHERE t.treatment = 1 AND c.treatment = 0 GROUP BY ALL),
+cv AS (SELECT experiment_id, CASE WHEN count(*) = 5 THEN avg(auc) END AS cv_auc FROM couples GROUP BY experiment_id),
+shares AS (SELECT *, least(greatest(coalesce(1 / nullif(CASE WHEN treatment = 1 THEN chance ELSE 1 - chance END, 0), 10.0), 0.1), 10.0) AS v
+           FROM scored),
+lifts AS (SELECT experiment_id,
+    sum(v * converted) FILTER (WHERE treatment = 1) / sum(v) FILTER (WHERE treatment = 1)
+    - sum(v * converted) FILTER (WHERE treatment = 0) / sum(v) FILTER (WHERE treatment = 0) AS adjusted,
+    avg(converted) FILTER (WHERE treatment = 1) - avg(converted) FILTER (WHERE treatment = 0) AS raw
+    FROM shares GROUP BY experiment_id)"""
+
+
 def weighted_t_sql(t: str, df: str) -> str:
     return f"""{MOMENTS},
 st AS (SELECT *, mu_t - mu_c AS diff, {t} AS t, {df} AS df,
@@ -610,6 +635,13 @@ def all_oracles() -> dict[str, str]:
                   FROM asg GROUP BY ALL)
             SELECT experiment_id, treatment, f::INTEGER AS fold, ((n + 4 - f) // 5)::BIGINT AS n_rows
             FROM n CROSS JOIN range(0, 5) AS g(f) WHERE (n + 4 - f) // 5 > 0""",
+        "ipw_by_category": f"""{CATEGORY_SCORES}
+            SELECT experiment_id, round(cv_auc, 8) AS cv_auc, coalesce(cv_auc > 0.6, FALSE) AS imbalance_detected,
+                   round(abs(adjusted - raw), 8) AS adjustment_magnitude, round(raw, 8) AS unadjusted_lift,
+                   round(adjusted, 8) AS adjusted_lift FROM lifts JOIN cv USING (experiment_id)""",
+        "propensity_score_equations": f"""{WEIGHTED}
+            SELECT DISTINCT experiment_id, 'category ' || favorite_category AS input, 0.0::DOUBLE AS residual FROM lab
+            UNION ALL SELECT DISTINCT experiment_id, unnest([{', '.join(repr(c) for c in NUMERIC_FEATURES)}]), 0.0::DOUBLE FROM lab""",
         "latest_results": f"""{DAILY},
             o AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, variant ORDER BY date DESC) AS rn
                   FROM daily)

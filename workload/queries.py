@@ -18,11 +18,13 @@ from liftgrid.operators import bayes, cleaning, corrections, features, frequenti
 from liftgrid.operators.assignment import Experiment
 from liftgrid.operators.balance import covariate_balance
 from liftgrid.operators.propensity import (
+    CATEGORICAL_FEATURES,
     NUMERIC_FEATURES,
     PropensityModel,
     imbalance_detected,
     propensity_analysis,
     rank_auc,
+    score_all,
     stratified_folds,
     training_set,
 )
@@ -602,16 +604,42 @@ def q_propensity_scores(spark, sf_dir):
     )
 
 
-def q_ipw_end_to_end(spark, sf_dir):
-    """All experiments, logistic scores fitted to convergence."""
+def _ipw_end_to_end(spark, sf_dir, classifier):
     events = clean(spark, sf_dir)
     return propensity_analysis(
         features.user_features(events),
         assignments(spark, sf_dir),
         metrics.user_outcomes(events, START, END),
         [e.experiment_id for e in EXPERIMENTS],
-        "logistic",
+        classifier,
+    )
+
+
+def q_ipw_end_to_end(spark, sf_dir):
+    """All experiments and folds at once, logistic scores fitted to convergence."""
+    return _ipw_end_to_end(spark, sf_dir, "logistic")
+
+
+def q_ipw_by_category(spark, sf_dir):
+    """The same with the model of category levels, whose folds come by subtraction."""
+    return rounded(
+        _ipw_end_to_end(spark, sf_dir, "category"),
+        cv_auc=8, adjustment_magnitude=8, unadjusted_lift=8, adjusted_lift=8,
+    )
+
+
+def q_propensity_score_equations(spark, sf_dir):
+    """Sums of (treated - chance) times each input: zero at the maximum of the likelihood."""
+    scored = score_all(features.user_features(clean(spark, sf_dir)), assignments(spark, sf_dir))
+    rest = F.col("treatment") - F.col("propensity")
+    category = F.concat(F.lit("category "), F.col(CATEGORICAL_FEATURES[0]))
+    inputs = F.array(
+        F.struct(category.alias("input"), F.lit(1.0).alias("x")),
+        *[F.struct(F.lit(c).alias("input"), F.col(c).alias("x")) for c in NUMERIC_FEATURES],
     )
+    parts = scored.select("experiment_id", rest.alias("rest"), F.inline(inputs))
+    sums = parts.groupBy("experiment_id", "input").agg(F.sum(F.col("rest") * F.col("x")).alias("residual"))
+    return sums.withColumn("residual", F.round("residual", 4) + 0.0)
 
 
 def q_latest_results(spark, sf_dir):
