@@ -141,3 +141,46 @@ def chi_square_tail(x: Column, df: Column) -> Column:
         f"ELSE exp(-s.x / 2) * {series} END",
         x=x.cast("double"), df=df.cast("int"),
     )
+
+
+# Rational approximations of the normal quantile (Wichura's algorithm AS 241; fixed values):
+# numerator and denominator, lowest power first, for the middle, the tails and far tails.
+_QUANTILE = (
+    (
+        (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125,
+         45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+        (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077,
+         21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610),
+    ),
+    (
+        (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504,
+         1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640),
+        (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550,
+         0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 1.05075007164441684324e-9),
+    ),
+    (
+        (6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230,
+         0.0265321895265761230930, 0.00124266094738807843860, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+        (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525,
+         0.000786869131145613259100, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+    ),
+)
+
+
+def _ratio(x: Column, part: int) -> Column:
+    def value(terms: tuple[float, ...]) -> Column:
+        total = F.lit(terms[-1])
+        for term in terms[-2::-1]:
+            total = total * x + term
+        return total
+
+    return value(_QUANTILE[part][0]) / value(_QUANTILE[part][1])
+
+
+def normal_score(p: Column) -> Column:
+    """The normal quantile of a chance in (0, 1); NULL outside."""
+    q = p - 0.5
+    away = F.sqrt(-F.log(F.least(p, 1 - p)))
+    tail = F.when(away <= 5, _ratio(away - 1.6, 1)).otherwise(_ratio(away - 5, 2))
+    score = F.when(F.abs(q) <= 0.425, q * _ratio(0.180625 - q * q, 0)).otherwise(F.signum(q) * tail)
+    return F.when((p > 0) & (p < 1), score)

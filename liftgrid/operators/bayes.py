@@ -1,28 +1,21 @@
 """Beta-Binomial comparison of two conversion rates.
 
 With a uniform prior the posterior of each rate is Beta(1 + converters, 1 + the rest), so
-probabilities and losses are integrals over two known densities; no sampling is needed.
-Draws are offered for what is defined on draws: the highest-density interval of the
-difference and the convergence diagnostic.
+probabilities, losses and the highest-density interval of the difference come from integrals
+over two known densities; no sampling is needed.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from liftgrid.functions.binding import bind, sql_integral, sql_let
 
 DENSITY_POINTS = 300
 DENSITY_MARGIN = 0.005
-RHAT_LIMIT = 1.1
 
 
 def posterior_params(
@@ -130,6 +123,92 @@ def expected_loss(threshold: float = 0.0) -> Column:
     return _with_arms(f"{float(threshold)!r}D + {_control_ahead_sql(threshold, weigh_by_gap=True)}")
 
 
+def _difference_density_sql(d: str) -> str:
+    """Density of treatment - control at ``d``: an integral over the narrower posterior ``o.x``.
+
+    The other rate is x + sign d; the range is where both lie in theirs, so it ends smoothly.
+    """
+    reach = (
+        f"named_struct('from', greatest(o.x.low, o.y.low - o.sign * {d}), "
+        f"'to', least(o.x.high, o.y.high - o.sign * {d}))"
+    )
+    place = "(reach.from + (reach.to - reach.from) * <q>)"
+    both = sql_let(
+        "rate", place, f"({_density_sql('o.x', 'rate')}) * ({_density_sql('o.y', f'(rate + o.sign * {d})')})"
+    )
+    area = f"CASE WHEN reach.to > reach.from THEN (reach.to - reach.from) * {sql_integral('q', both)} ELSE 0D END"
+    return sql_let("reach", reach, area)
+
+
+def _bisected_sql(low: str, high: str, take_low: str, steps: int = 36) -> str:
+    """Middle of the range left after halving; ``take_low`` says of <x> which half stays."""
+    keep = sql_let(
+        "x", "(h.low + h.high) / 2",
+        f"CASE WHEN {take_low.replace('<x>', 'x')} THEN named_struct('low', h.low, 'high', x) "
+        "ELSE named_struct('low', x, 'high', h.high) END",
+    )
+    start = f"named_struct('low', {low}, 'high', {high})"
+    halved = f"aggregate(sequence(1, {steps}), {start}, (h, i) -> {keep})"
+    return sql_let("left", halved, "(left.low + left.high) / 2")
+
+
+def highest_density_interval(alpha: float = 0.05) -> Column:
+    """(lower, upper) of treatment - control: the narrowest interval of mass 1 - alpha.
+
+    Both rates have log-concave densities, so their difference has one mode and the interval
+    is a level set: its ends come by bisection on either side of the mode, and the level by
+    a bracketing secant (Illinois) on the mass between them. Steep edges need no special
+    case; a top that is flat (an arm without users) is taken whole.
+    """
+    wanted = f"({1 - alpha!r}D)"
+    at = _difference_density_sql
+    rising = f"{at('x')} > {sql_let('x', '(x + o.tiny)', at('x'))}"
+    mode = _bisected_sql("o.low", "o.high", rising, 40)
+    ends = (
+        "named_struct("
+        f"'a', {_bisected_sql('o.low', 'top.d', at('x') + ' >= level')}, "
+        f"'b', {_bisected_sql('top.d', 'o.high', at('x') + ' < level')})"
+    )
+    side = lambda v, low, high: f"({high} - {low}) * " + sql_integral(
+        v, sql_let("d1", f"{low} + ({high} - {low}) * <{v}>", at("d1"))
+    )
+    mass = f"({side('v', 'ends.a', 'top.d')} + {side('v', 'top.d', 'ends.b')}) / o.mass - {wanted}"
+    moved = sql_let("ends", ends, sql_let("m", mass, (
+        "CASE WHEN m > 0 THEN named_struct('low', level, 'mlow', m, 'high', k.high, "
+        "'mhigh', CASE WHEN k.last > 0 THEN k.mhigh / 2 ELSE k.mhigh END, 'last', 1D, 'a', ends.a, 'b', ends.b) "
+        "ELSE named_struct('low', k.low, 'mlow', CASE WHEN k.last < 0 THEN k.mlow / 2 ELSE k.mlow END, "
+        "'high', level, 'mhigh', m, 'last', -1D, 'a', ends.a, 'b', ends.b) END"
+    )))
+    secant = "CASE WHEN k.mlow > k.mhigh THEN (k.low * -k.mhigh + k.high * k.mlow) / (k.mlow - k.mhigh) ELSE k.low END"
+    start = (
+        f"named_struct('low', 0D, 'mlow', 1D - {wanted}, 'high', top.f, 'mhigh', -{wanted}, "
+        "'last', 0D, 'a', o.low, 'b', o.high)"
+    )
+    found = f"aggregate(sequence(1, 10), {start}, (k, i) -> {sql_let('level', secant, moved)})"
+    result = sql_let("last", found, "named_struct('lower', last.a, 'upper', last.b)")
+    top = sql_let("d0", mode, f"named_struct('d', d0, 'f', {at('d0')})")
+    order = (
+        "CASE WHEN c.sd <= t.sd THEN named_struct('x', c, 'y', t, 'sign', 1D) "
+        "ELSE named_struct('x', t, 'y', c, 'sign', -1D) END"
+    )
+    shape = (
+        "named_struct('x', w.x, 'y', w.y, 'sign', w.sign, 'low', t.low - c.high, 'high', t.high - c.low, "
+        f"'tiny', w.x.sd / 1000, 'mass', {_mass_sql('w.x')} * {_mass_sql('w.y')})"
+    )
+    return _with_arms(sql_let("w", order, sql_let("o", shape, sql_let("top", top, result))))
+
+
+def credible_intervals(
+    params: DataFrame, alpha: float = 0.05, by: Sequence[str] = ("experiment_id", "variant")
+) -> DataFrame:
+    """Highest-density interval of treatment - control per row of ``posterior_params``."""
+    return params.select(*by, highest_density_interval(alpha).alias("ends")).select(
+        *by,
+        F.col("ends.lower").alias("credible_interval_lower"),
+        F.col("ends.upper").alias("credible_interval_upper"),
+    )
+
+
 def compare_posteriors(params: DataFrame, threshold: float = 0.0) -> DataFrame:
     return params.withColumns(
         {
@@ -164,112 +243,11 @@ def posterior_density(params: DataFrame, by: Sequence[str] = ("experiment_id", "
     )
 
 
-def posterior_draws(
-    params: DataFrame,
-    by: Sequence[str] = ("experiment_id", "variant"),
-    draws: int = 1000,
-    chains: int = 4,
-    seed: int = 42,
-) -> DataFrame:
-    """Independent posterior draws, ``chains`` blocks of ``draws`` per key.
-
-    A block is seeded by its key and number, so results depend neither on partitioning
-    nor on retries after an executor loss.
-    """
-    keys = list(by)
-    shapes = ["control_alpha", "control_beta", "treatment_alpha", "treatment_beta"]
-    blocks = params.select(
-        *keys,
-        *shapes,
-        F.concat_ws("\x1f", *keys).alias("seed_key"),
-        F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"),
-    )
-    schema = T.StructType(
-        [params.schema[k] for k in keys]
-        + [
-            T.StructField("chain", T.IntegerType()),
-            T.StructField("draw", T.IntegerType()),
-            T.StructField("p_control", T.DoubleType()),
-            T.StructField("p_treatment", T.DoubleType()),
-        ]
-    )
-
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                rng = np.random.default_rng([seed, zlib.crc32(row.seed_key.encode()), row.chain])
-                yield pd.DataFrame(
-                    {
-                        **{k: [getattr(row, k)] * draws for k in keys},
-                        "chain": np.full(draws, row.chain, dtype=np.int32),
-                        "draw": np.arange(draws, dtype=np.int32),
-                        "p_control": rng.beta(row.control_alpha, row.control_beta, draws),
-                        "p_treatment": rng.beta(row.treatment_alpha, row.treatment_beta, draws),
-                    }
-                )
-
-    return blocks.mapInPandas(sample, schema)
-
-
-def credible_interval(
-    draws: DataFrame,
-    n_draws: int,
-    alpha: float = 0.05,
-    by: Sequence[str] = ("experiment_id", "variant"),
-) -> DataFrame:
-    """Highest-density interval of treatment - control: the narrowest run of sorted draws.
-
-    ``n_draws`` is the number of draws per key, which also bounds each window.
-    """
-    sorted_draws = Window.partitionBy(*by).orderBy("delta")
-    span = math.floor((1 - alpha) * n_draws)
-    return (
-        draws.withColumn("delta", F.col("p_treatment") - F.col("p_control"))
-        .withColumn("upper", F.lead("delta", span).over(sorted_draws))
-        .filter(F.col("upper").isNotNull())
-        .groupBy(*by)
-        .agg(F.min(F.struct(F.col("upper") - F.col("delta"), "delta", "upper")).alias("best"))
-        .select(
-            *by,
-            F.col("best")["delta"].alias("credible_interval_lower"),
-            F.col("best")["upper"].alias("credible_interval_upper"),
-        )
-    )
-
-
-def convergence(
-    draws: DataFrame, n_draws: int, by: Sequence[str] = ("experiment_id", "variant")
-) -> DataFrame:
-    """Split R-hat of both rates over ``n_draws`` draws per chain; below 1.1 is converged."""
-    half = n_draws // 2
-    halves = (
-        draws.filter(F.col("draw") < 2 * half)
-        .groupBy(*by, "chain", (F.col("draw") >= half).alias("second"))
-        .agg(
-            *[F.avg(p).alias(f"{p}_mean") for p in ("p_control", "p_treatment")],
-            *[F.var_samp(p).alias(f"{p}_var") for p in ("p_control", "p_treatment")],
-        )
-    )
-    within = {p: F.avg(f"{p}_var") for p in ("p_control", "p_treatment")}
-    rhat = {
-        p: F.sqrt(
-            (half - 1) / half + F.try_divide(F.var_samp(f"{p}_mean"), within[p])
-        ).alias(f"rhat_{p[2:]}")
-        for p in within
-    }
-    summary = halves.groupBy(*by).agg(*rhat.values())
-    return summary.withColumn(
-        "converged", F.greatest("rhat_control", "rhat_treatment") < RHAT_LIMIT
-    )
-
-
-def fit_conversion(pairs: DataFrame, draws: int = 1000, chains: int = 4, alpha: float = 0.05) -> DataFrame:
-    """Probability, loss and credible interval per treatment arm in one table."""
+def fit_conversion(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Probability, loss and credible interval per treatment arm, each exact, in one pass."""
     by = ("experiment_id", "variant")
-    params = posterior_params(pairs)
-    interval = credible_interval(
-        posterior_draws(params, by, draws, chains), draws * chains, alpha, by
+    ends = F.col("ends")
+    return compare_posteriors(posterior_params(pairs)).withColumn("ends", highest_density_interval(alpha)).select(
+        *by, "probability_treatment_better", "expected_loss",
+        ends["lower"].alias("credible_interval_lower"), ends["upper"].alias("credible_interval_upper"),
     )
-    return compare_posteriors(params).select(
-        *by, "probability_treatment_better", "expected_loss"
-    ).join(interval, list(by))

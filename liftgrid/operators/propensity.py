@@ -18,12 +18,13 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftgrid.operators.ipw import adjusted_conversion_rate, compute_weights
 from liftgrid.operators.logistic import score_categories, score_logistic
 from liftgrid.operators.metrics import control_of
+from liftgrid.operators.ordering import dealt, running_below
 from liftgrid.schemas import MODEL_RUNS
 from liftgrid.session import ensure_checkpoint_dir, lookup_join, materialize
 
@@ -47,8 +48,6 @@ FOLDS = 5
 # partition, so this number is a setting of the model, never taken from the data.
 TRAINING_PARTITIONS = 8
 
-_CELL_BITS = 12
-
 
 def fill_features(features: DataFrame) -> DataFrame:
     """Missing numbers become 0, a missing category becomes its own value."""
@@ -121,31 +120,8 @@ def stratified_folds(
     data: DataFrame, folds: int = FOLDS, strata: Sequence[str] = ("treatment",),
     key: str = "user_id",
 ) -> DataFrame:
-    """Fold number per row, the rows of each stratum dealt out evenly in hash order.
-
-    The hash is the first 60 bits of the key's md5, so other engines deal alike. A row's
-    global position in its stratum is the number of rows in earlier hash cells plus its
-    position inside its own cell, so no task ever orders a whole stratum.
-    """
-    digits = F.substring(F.md5(F.col(key).cast("string")), 1, 15)
-    hashed = data.withColumn("_hash", F.conv(digits, 16, 10).cast("bigint")).withColumn(
-        "_cell", F.shiftright("_hash", 60 - _CELL_BITS).cast("int")
-    )
-    cells = hashed.groupBy(*strata, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = (
-        Window.partitionBy(*strata).orderBy("_cell")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = cells.select(
-        *strata, "_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy(*strata, "_cell").orderBy("_hash", key)
-    return (
-        lookup_join(hashed, offsets, [*strata, "_cell"])
-        .withColumn("fold", (F.col("_offset") + F.row_number().over(inside) - 1) % folds)
-        .withColumn("fold", F.col("fold").cast("int"))
-        .drop("_hash", "_cell", "_offset")
-    )
+    """Fold number per row, the rows of each stratum dealt out evenly in hash order."""
+    return dealt(data, strata, key).withColumn("fold", (F.col("position") % folds).cast("int")).drop("position")
 
 
 def rank_auc(
@@ -154,37 +130,16 @@ def rank_auc(
 ) -> DataFrame:
     """Area under the ROC curve per group: share of (treated, control) pairs in order.
 
-    Rows are counted per distinct score, range-partitioned by score, and each range adds
-    the number of controls in the ranges below it; no group is ordered in one task. A
-    score shared by many rows is one counted row.
+    Rows are counted per distinct score, and each score adds the controls below it; no group
+    is ordered in one task.
     """
     counts = scored.groupBy(*by, F.col(score).alias("_score")).agg(
         F.count_if(F.col(label) == 1).cast("double").alias("n1"),
         F.count_if(F.col(label) == 0).cast("double").alias("n0"),
     )
-    # Written out, so the sampled range bounds are the same for both uses below.
-    ranges = materialize(
-        counts.repartitionByRange(*by, "_score").withColumn("_range", F.spark_partition_id()),
-        "auc",
-    )
-    lower_ranges = (
-        Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        ranges.groupBy(*by, "_range")
-        .agg(F.sum("n0").alias("_n0"))
-        .select(
-            *by, "_range", F.coalesce(F.sum("_n0").over(lower_ranges), F.lit(0.0)).alias("_offset")
-        )
-    )
-    lower_scores = (
-        Window.partitionBy(*by, "_range").orderBy("_score")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    below = F.col("_offset") + F.coalesce(F.sum("n0").over(lower_scores), F.lit(0.0))
     return (
-        lookup_join(ranges, offsets, [*by, "_range"])
-        .withColumn("_ordered", F.col("n1") * (below + F.col("n0") / 2))
+        running_below(counts, by, "_score", "n0")
+        .withColumn("_ordered", F.col("n1") * (F.col("below") + F.col("n0") / 2))
         .groupBy(*by)
         .agg(
             F.try_divide(F.sum("_ordered"), F.sum("n1") * F.sum("n0")).alias("auc"),

@@ -596,6 +596,57 @@ def all_oracles() -> dict[str, str]:
             SELECT experiment_id, variant, point, round(x, 8) AS x,
                    round({density('x', 'a_c', 'b_c')}, 5) AS control_density,
                    round({density('x', 'a_t', 'b_t')}, 5) AS treatment_density FROM pts""",
+        # The difference's density at many points d by a midpoint sum over the control's rate; the
+        # interval of equal density at both ends that holds 95 percent, by interpolation.
+        "hdi": f"""{POSTERIOR},
+            xs AS (SELECT *, mc - 12 * sc + 24 * sc * (i + 0.5) / 400 AS x FROM mom CROSS JOIN range(0, 400) AS g(i)),
+            wc AS (SELECT *, {density('x', 'a_c', 'b_c')} AS fc FROM xs),
+            ds AS (SELECT *, mt - mc + 16 * sqrt(sc * sc + st * st) * (j / 6000.0::DOUBLE - 0.5) AS d
+                   FROM wc CROSS JOIN range(0, 6001) AS g(j)),
+            fd AS (SELECT experiment_id, variant, j, any_value(d) AS d, sum(fc * {density('(x + d)', 'a_t', 'b_t')}) AS f
+                   FROM ds GROUP BY experiment_id, variant, j),
+            cum AS (SELECT *, (sum(f) OVER w - f / 2) / sum(f) OVER (PARTITION BY experiment_id, variant) AS c
+                    FROM fd WINDOW w AS (PARTITION BY experiment_id, variant ORDER BY j)),
+            ups AS (SELECT *, lead(d) OVER w AS d2, lead(f) OVER w AS f2, lead(c) OVER w AS c2
+                    FROM cum WINDOW w AS (PARTITION BY experiment_id, variant ORDER BY j)),
+            runs AS (SELECT a.experiment_id, a.variant, a.j, a.d, a.f,
+                            b.d + (b.d2 - b.d) * (a.c + 0.95 - b.c) / (b.c2 - b.c) AS up,
+                            b.f + (b.f2 - b.f) * (a.c + 0.95 - b.c) / (b.c2 - b.c) AS fu
+                     FROM (SELECT * FROM ups WHERE c < 0.05) a JOIN ups b
+                       ON a.experiment_id = b.experiment_id AND a.variant = b.variant
+                      AND a.c + 0.95 >= b.c AND a.c + 0.95 < b.c2),
+            turn AS (SELECT *, f - fu AS g, lead(f - fu) OVER w AS g2, lead(d) OVER w AS d2, lead(up) OVER w AS up2
+                     FROM runs WINDOW w AS (PARTITION BY experiment_id, variant ORDER BY j))
+            SELECT experiment_id, variant, round(d + (d2 - d) * g / (g - g2), 4) AS credible_interval_lower,
+                   round(up + (up2 - up) * g / (g - g2), 4) AS credible_interval_upper
+            FROM turn WHERE g < 0 AND g2 >= 0""",
+        # Normal scores from a fine table of the normal distribution, one Newton step from its entries.
+        "rhat": f"""{WHOLE_ARMS},
+            norm AS (SELECT i, -7 + i / 10000.0::DOUBLE AS x, exp(-pow(-7 + i / 10000.0::DOUBLE, 2) / 2) / sqrt(2 * pi()) AS f
+                     FROM range(0, 140001) AS g(i)),
+            cdf AS (SELECT x, f, (sum(f) OVER (ORDER BY i) - f / 2) / 10000 + 1.279812544e-12 AS c FROM norm),
+            users AS (SELECT experiment_id, variant, user_id, revenue FROM asg JOIN out USING (user_id)),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, variant
+                                   ORDER BY ('0x' || substr(md5(user_id), 1, 15))::BIGINT, user_id) - 1 AS pos,
+                              rank() OVER (PARTITION BY experiment_id, variant ORDER BY revenue)
+                              + (count(*) OVER (PARTITION BY experiment_id, variant, revenue) - 1) / 2.0::DOUBLE AS rk,
+                              count(*) OVER (PARTITION BY experiment_id, variant) AS n FROM users),
+            chance AS (SELECT *, (rk - 0.375) / (n + 0.25) AS p, pos % 4 AS chain, pos // 4 AS draw, n // 4 // 2 AS half FROM placed),
+            scored AS (SELECT t.*, x + (p - c) / f AS z FROM chance t ASOF JOIN cdf ON t.p >= cdf.c),
+            kept AS (SELECT *, draw >= half AS second, draw % half AS place, floor(sqrt(half))::BIGINT AS width
+                     FROM scored WHERE draw < 2 * half),
+            halves AS (SELECT experiment_id, variant, any_value(half) AS half, avg(z) AS m, var_samp(z) AS v
+                       FROM kept GROUP BY experiment_id, variant, chain, second),
+            whole AS (SELECT experiment_id, variant, any_value(half) AS half, (any_value(half) * count(*))::BIGINT AS n,
+                             avg(v) AS w, (any_value(half) - 1) / any_value(half) * avg(v) + var_samp(m) AS pooled
+                      FROM halves GROUP BY experiment_id, variant),
+            blocks AS (SELECT experiment_id, variant, avg(z) AS m, count(*) AS k, any_value(width) AS width
+                       FROM kept GROUP BY experiment_id, variant, chain, second, place // width),
+            spread AS (SELECT experiment_id, variant, var_samp(m) * any_value(width) AS s FROM blocks
+                       WHERE k = width GROUP BY experiment_id, variant)
+            SELECT experiment_id, variant, n AS n_draws, round(sqrt(pooled / w), 6) AS rhat,
+                   round(n * pooled / s, 4) AS effective_size, sqrt(pooled / w) < 1.1 AS converged
+            FROM whole JOIN spread USING (experiment_id, variant)""",
         "propensity_training_set": f"""{WEIGHTED} SELECT experiment_id, user_id, treatment,
             total_sessions, round(total_revenue, 4) AS total_revenue, days_active,
             round(avg_price_viewed + 1e-8, 5) AS avg_price_viewed, total_views, total_carts, total_purchases,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftgrid.operators import assignment as asg
-from liftgrid.operators import bayes, cleaning, corrections, features, frequentist, ipw, metrics, planning
+from liftgrid.operators import bayes, cleaning, convergence, corrections, features, frequentist, ipw, metrics, planning
 from liftgrid.operators.assignment import Experiment
 from liftgrid.operators.balance import covariate_balance
 from liftgrid.operators.propensity import (
@@ -512,12 +512,17 @@ def q_posterior_density(spark, sf_dir):
 
 
 def q_hdi(spark, sf_dir):
-    params = _params(spark, sf_dir)
-    return bayes.credible_interval(bayes.posterior_draws(params), 4000)
+    return rounded(
+        bayes.credible_intervals(_params(spark, sf_dir)),
+        credible_interval_lower=4, credible_interval_upper=4,
+    )
 
 
 def q_rhat(spark, sf_dir):
-    return bayes.convergence(bayes.posterior_draws(_params(spark, sf_dir)), 1000)
+    """Whole-log revenue of each arm's users, dealt into four chains by hash."""
+    users = asg.assign_all_users(metrics.all_user_outcomes(clean(spark, sf_dir)), EXPERIMENTS)
+    chains = convergence.deal_chains(users.select(*metrics.ARM, "user_id", "revenue"), metrics.ARM)
+    return rounded(convergence.convergence(chains, metrics.ARM, "revenue"), rhat=6, effective_size=4)
 
 
 def q_propensity_training_set(spark, sf_dir):
