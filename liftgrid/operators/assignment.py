@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,7 +18,10 @@ SRM_ALPHA = 0.01
 
 @dataclass(frozen=True)
 class Experiment:
-    """Definition of one experiment; ``variants`` are names in assignment order."""
+    """Definition of one experiment; ``variants`` are names in assignment order.
+
+    ``start`` and ``end`` bound its metrics, half-open; without them the log does.
+    """
 
     experiment_id: str
     variants: tuple[str, ...] = ("control", "treatment")
@@ -25,6 +29,8 @@ class Experiment:
     name: str | None = None
     description: str | None = None
     control: str = "control"
+    start: dt.datetime | None = None
+    end: dt.datetime | None = None
 
     @property
     def threshold(self) -> int:

@@ -20,51 +20,6 @@ def before(events: DataFrame, as_of: dt.date | None) -> DataFrame:
     return events if as_of is None else events.filter(F.col("date") < F.lit(as_of))
 
 
-def session_rollup(events: DataFrame) -> DataFrame:
-    """One row per user from the user x session grouping.
-
-    Grouping by session first spreads a hot user over the cluster, lets the map side
-    combine, and turns the distinct count of sessions into a count of rows.
-    """
-    view = F.col("event_type") == "view"
-    purchase = F.col("event_type") == "purchase"
-    sessions = events.groupBy("user_id", "user_session").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.count_if(view).alias("views"),
-        F.count_if(F.col("event_type") == "cart").alias("carts"),
-        F.count_if(purchase).alias("purchases"),
-        F.sum(F.when(purchase, F.col("price"))).alias("revenue"),
-        F.sum(F.when(view, F.col("price"))).alias("viewed_price"),
-        F.min("event_time").alias("first_seen"),
-        F.max("event_time").alias("last_seen"),
-    )
-    return sessions.groupBy("user_id").agg(
-        F.count("user_session").alias("total_sessions"),
-        F.sum("views").alias("total_views"),
-        F.sum("carts").alias("total_carts"),
-        F.sum("purchases").alias("total_purchases"),
-        F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("total_revenue"),
-        F.avg("n").alias("avg_session_length"),
-        (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("avg_session_length_event_weighted"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        F.coalesce(
-            F.try_divide(F.sum("viewed_price"), F.sum("views")), F.lit(0.0)
-        ).alias("avg_price_viewed"),
-    )
-
-
-def active_days(events: DataFrame) -> DataFrame:
-    """Distinct calendar days per user."""
-    return (
-        events.filter(F.col("date").isNotNull())
-        .select("user_id", "date")
-        .distinct()
-        .groupBy("user_id")
-        .agg(F.count(F.lit(1)).alias("days_active"))
-    )
-
-
 def favorite_category(events: DataFrame) -> DataFrame:
     """Most viewed category per user; ties go to the alphabetically first."""
     counts = (
@@ -87,22 +42,68 @@ def favorite_category(events: DataFrame) -> DataFrame:
     )
 
 
-def user_features(events: DataFrame, as_of: dt.date | None = None) -> DataFrame:
-    """All per-user features.
+# grouping_id of (user_id, user_session, date, liked): a bit is set where a column is left out.
+_BY_SESSION, _BY_DAY, _BY_CATEGORY = 0b0011, 0b0101, 0b0110
+
+
+def _cells(events: DataFrame) -> DataFrame:
+    """One row per user and session, user and day, user and viewed category, from one scan.
+
+    The three groupings share an aggregate and a shuffle. Each is finer than the user, so a
+    hot user is spread over the cluster, the map side combines, and distinct counts of
+    sessions and days become counts of rows. A bitmap of days would need no rows of its own
+    but takes 4 KB per user and session; a row per day takes a few bytes.
+    """
+    view = F.col("event_type") == "view"
+    purchase = F.col("event_type") == "purchase"
+    liked = F.when(view & (F.col("category_code") != ""), F.col("category_code"))
+    columns = ["user_id", "user_session", "date", "liked"]
+    return events.select(
+        *columns[:3], liked.alias("liked"), "event_type", "price", "event_time"
+    ).groupingSets(
+        [["user_id", c] for c in columns[1:]], *columns
+    ).agg(
+        F.grouping_id().alias("grouping"),
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.count_if(view).alias("views"),
+        F.count_if(F.col("event_type") == "cart").alias("carts"),
+        F.count_if(purchase).alias("purchases"),
+        F.sum(F.when(purchase, F.col("price"))).alias("revenue"),
+        F.sum(F.when(view, F.col("price"))).alias("viewed_price"),
+        F.min("event_time").alias("first_seen"),
+        F.max("event_time").alias("last_seen"),
+    )
+
 
-    Three column-pruned rollups (sessions, days, categories), each grouped on a finer key
-    than the user before the user. All end hash-partitioned by user, so joining them moves
-    no further rows.
+def user_features(events: DataFrame, as_of: dt.date | None = None) -> DataFrame:
+    """All per-user features: one scan, one shuffle of cells, one of users, no join.
 
     ``avg_session_length`` averages over sessions; the ``_event_weighted`` column
     averages over events, so long sessions count more. Events without a session form
     one group for the lengths but are no session in ``total_sessions``.
     """
-    events = before(events, as_of)
+    session = F.col("grouping") == _BY_SESSION
+    day = (F.col("grouping") == _BY_DAY) & F.col("date").isNotNull()
+    category = (F.col("grouping") == _BY_CATEGORY) & F.col("liked").isNotNull()
+    of_sessions = lambda value: F.when(session, value)
+    total = lambda name: F.sum(of_sessions(F.col(name)))
+    favorite = F.min(F.when(category, F.struct((-F.col("views")).alias("n"), F.col("liked").alias("category"))))
     return (
-        session_rollup(events)
-        .join(active_days(events), "user_id", "left")
-        .join(favorite_category(events).drop("n_views"), "user_id", "left")
-        .withColumn("days_active", F.coalesce("days_active", F.lit(0)))
+        _cells(before(events, as_of))
+        .groupBy("user_id")
+        .agg(
+            F.count(of_sessions(F.col("user_session"))).alias("total_sessions"),
+            total("views").alias("total_views"),
+            total("carts").alias("total_carts"),
+            total("purchases").alias("total_purchases"),
+            F.coalesce(total("revenue"), F.lit(0.0)).alias("total_revenue"),
+            F.avg(of_sessions(F.col("n"))).alias("avg_session_length"),
+            (F.sum(of_sessions(F.col("n") * F.col("n"))) / total("n")).alias("avg_session_length_event_weighted"),
+            F.count_if(day).alias("days_active"),
+            F.min(of_sessions(F.col("first_seen"))).alias("first_seen"),
+            F.max(of_sessions(F.col("last_seen"))).alias("last_seen"),
+            favorite["category"].alias("favorite_category"),
+            F.coalesce(F.try_divide(total("viewed_price"), total("views")), F.lit(0.0)).alias("avg_price_viewed"),
+        )
         .select(*FEATURE_COLUMNS, "avg_session_length_event_weighted")
     )

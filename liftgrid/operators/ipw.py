@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftgrid.functions.distributions import normal_quantile, student_two_sided
 from liftgrid.operators.frequentist import spread_struct
-from liftgrid.session import lookup_join
 
 # Bounds of a weight (fixed values).
 WEIGHT_MIN = 0.1
@@ -51,33 +52,35 @@ def adjusted_conversion_rate(weighted: DataFrame, by: Sequence[str] = EXPERIMENT
 
 
 def weighted_moments(weighted: DataFrame, value: str, by: Sequence[str] = EXPERIMENT) -> DataFrame:
-    """Weight sum, weighted mean and weighted variance (ddof 1) of both arms.
+    """Weight sum, weighted mean and weighted variance (ddof 1) of both arms, in one read.
 
-    Values are centred on the experiment's mean first, so the one-pass sums of squares
-    do not cancel when the mean is large against the spread.
+    Weight, mean and squared deviation are a state that rows update and partial results
+    merge, so nothing cancels when the mean is large against the spread. Rows without a
+    value or weight do not count.
     """
-    centres = weighted.groupBy(*by).agg(F.avg(value).alias("centre"))
-    w = F.col("weight")
-    x = F.col(value) - F.col("centre")
-    sums = [F.max("centre").alias("centre")]
-    for arm, flag in (("c", 0), ("t", 1)):
-        kept = F.col("treatment") == flag
-        sums += [
-            F.sum(F.when(kept, w)).alias(f"{arm}_w"),
-            F.sum(F.when(kept, w * x)).alias(f"{arm}_wx"),
-            F.sum(F.when(kept, w * x * x)).alias(f"{arm}_wxx"),
-        ]
-    moments = lookup_join(weighted, centres, list(by)).groupBy(*by).agg(*sums)
-    columns = {}
-    for arm in ("c", "t"):
-        mean = F.try_divide(F.col(f"{arm}_wx"), F.col(f"{arm}_w"))
-        squares = F.greatest(F.col(f"{arm}_wxx") - F.col(f"{arm}_wx") * mean, F.lit(0.0))
-        columns[f"{arm}_mean"] = F.col("centre") + mean
-        columns[f"{arm}_ss"] = squares
-        columns[f"{arm}_var"] = F.when(
-            F.col(f"{arm}_w") > 1, squares / (F.col(f"{arm}_w") - 1)
-        )
-    return moments.withColumns(columns)
+    x, w = F.col(value).cast("double"), F.col("weight").cast("double")
+    state = Summarizer.metrics("mean", "variance").summary(F.col("_x"), F.col("_w"))
+    arms = (
+        weighted.filter(x.isNotNull() & w.isNotNull())
+        .select(*by, "treatment", array_to_vector(F.array(x)).alias("_x"), w.alias("_w"))
+        .groupBy(*by, "treatment")
+        .agg(state.alias("s"), F.sum("_w").alias("_sum"), F.sum(F.col("_w") * F.col("_w")).alias("_ww"))
+    )
+    # the state's variance is over W - sum(w^2) / W; the squared deviation undoes that
+    weight = F.col("_sum")
+    squares = vector_to_array("s.variance")[0] * (weight - F.col("_ww") / weight)
+    arms = arms.select(
+        *by, "treatment",
+        F.struct(weight.alias("w"), vector_to_array("s.mean")[0].alias("mean"), squares.alias("ss")).alias("arm"),
+    )
+    both = arms.groupBy(*by).agg(
+        *[F.max(F.when(F.col("treatment") == flag, F.col("arm"))).alias(arm) for arm, flag in (("c", 0), ("t", 1))]
+    )
+    columns = {f"{arm}_{name}": F.col(arm)[name] for arm in ("c", "t") for name in ("w", "mean", "ss")}
+    columns |= {
+        f"{arm}_var": F.when(F.col(arm)["w"] > 1, F.col(arm)["ss"] / (F.col(arm)["w"] - 1)) for arm in ("c", "t")
+    }
+    return both.withColumns(columns).drop("c", "t")
 
 
 def adjusted_t_test(

@@ -29,6 +29,8 @@ from liftgrid.session import lookup_join, materialize
 ALL = -1
 #: A step moves no level and no standardised slope by more than this.
 LONGEST_STEP = 4.0
+#: Level of a category whose rows all have one label: its chances are then 0 or 1.
+CERTAIN = 40.0
 #: Rows of the coefficient table that may be broadcast; beyond it the planner shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -80,9 +82,9 @@ def fit_logistic(
     """Levels and slopes (``by``, model, category, level, slopes, n) of every model at once.
 
     ``rows`` hold ``by``, the label, the category, ``fold`` and ``z0`` ... Steps end when the
-    Newton decrement of every model is within ``tolerance``; a category whose rows all have one
-    label has no finite level, its level then grows until it no longer matters. Returns the
-    coefficients and whether all models converged within ``max_steps``.
+    Newton decrement of every model is within ``tolerance``. A category whose rows all have one
+    label has no finite level; the first step, where all chances are even, tells and sets it to
+    ``CERTAIN``. Returns the coefficients and whether all converged within ``max_steps``.
     """
     spark, keys = rows.sparkSession, [*by, "model"]
     numbers = F.array(*[F.lit(m) for m in (ALL, *range(folds))])
@@ -94,7 +96,7 @@ def fit_logistic(
     ])
     slopes: dict[tuple, np.ndarray] = {}
     placed = seen.withColumns({"level": F.lit(0.0), "p": F.lit(0.5)})
-    for _ in range(max_steps):
+    for turn in range(max_steps):
         sums = materialize(
             placed.groupBy(*keys, category).agg(F.first("level").alias("level"), *_sums(k, label)), "newton-sums"
         )
@@ -113,6 +115,8 @@ def fit_logistic(
         moved = sums.join(F.broadcast(spark.createDataFrame(moves, spec)), keys)
         by_slopes = " + ".join(["0D", *[f"h{j} * step[{j}]" for j in range(k)]])
         shift = f"greatest(least(coalesce(try_divide(g - ({by_slopes}), h), 0D), {LONGEST_STEP}D), -{LONGEST_STEP}D)"
+        if turn == 0:
+            shift = f"CASE WHEN abs(g) = n / 2 THEN signum(g) * {CERTAIN}D ELSE {shift} END"
         coefficients = moved.select(*keys, category, F.expr(f"level + {shift}").alias("level"), "slopes", "n")
         if decrement <= tolerance:
             return materialize(coefficients, "newton-coefficients"), True

@@ -8,8 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from liftgrid.operators.assignment import Experiment, assign_all_users
+
 METRICS = ("conversion_rate", "revenue_per_user", "add_to_cart_rate")
 ARM = ("experiment_id", "variant")
+MEASURES = ("n_purchases", "revenue", "n_carts")
+#: What rates are made of; over a long log everybody has some, so rates need a window.
+RATES = ("n_purchases", "n_carts")
 
 
 def window_predicate(start: dt.datetime | None, end: dt.datetime | None) -> Column:
@@ -54,6 +59,50 @@ def all_user_outcomes(
     return _outcomes(events, window_predicate(start, end))
 
 
+def assigned_outcomes(
+    events: DataFrame, experiments: Sequence[Experiment], windowed: Sequence[str] = MEASURES
+) -> DataFrame:
+    """Every enrolled user of the log with its outcomes in each experiment's own dates.
+
+    The starts and ends of all experiments cut time into slots; the log is read once into
+    sums per user and slot, and an experiment adds up its slots. Measures that are not
+    ``windowed`` count the whole log. The cuts travel in the plan as literals.
+    """
+    cuts = sorted({t for e in experiments for t in (e.start, e.end) if t is not None})
+    time = F.col("event_time")
+    begun = F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= time) if cuts else F.array()
+    slot = F.when(time.isNotNull(), F.size(begun)).otherwise(-1)
+    purchase = F.col("event_type") == "purchase"
+    cells = events.groupBy("user_id", slot.alias("slot")).agg(
+        F.count_if(purchase).alias("n_purchases"),
+        F.coalesce(F.sum(F.when(purchase, F.col("price"))), F.lit(0.0)).alias("revenue"),
+        F.count_if(F.col("event_type") == "cart").alias("n_carts"),
+    )
+    users = cells.groupBy("user_id").agg(F.collect_list(F.struct("slot", *MEASURES)).alias("_slots"))
+
+    def reach(e: Experiment) -> tuple[int, int]:
+        """Slots from .. to - 1; -1 holds events without a time, which only a whole log counts."""
+        after = cuts.index(e.start) + 1 if e.start is not None else 0 if e.end is not None else -1
+        return after, cuts.index(e.end) + 1 if e.end is not None else len(cuts) + 1
+
+    spans = {e.experiment_id: reach(e) for e in experiments}
+    span = F.create_map(*[
+        part for i, (a, b) in spans.items()
+        for part in (F.lit(i), F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")))
+    ])[F.col("experiment_id")]
+
+    def total(name: str) -> Column:
+        inside = F.col("_slots")
+        if name in windowed:
+            inside = F.filter(inside, lambda s: (s["slot"] >= F.col("_span.from")) & (s["slot"] < F.col("_span.to")))
+        zero = F.lit(0.0) if name == "revenue" else F.lit(0).cast("bigint")
+        return F.aggregate(inside, zero, lambda sum_, s: sum_ + s[name]).alias(name)
+
+    return assign_all_users(users, experiments).withColumn("_span", span).select(
+        "user_id", *ARM, *map(total, MEASURES)
+    )
+
+
 def attach_outcomes(assignments: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Outcomes of every assigned user; users without any get zeros."""
     return assignments.join(outcomes, "user_id", "left").fillna(

@@ -221,11 +221,15 @@ def imbalance_detected(cv_auc: Column) -> Column:
 
 
 def with_outcomes(weighted: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Weighted rows with conversion and revenue; users without outcomes did not convert."""
+    """Weighted rows with conversion and revenue; users without outcomes did not convert.
+
+    ``outcomes`` hold one row per user, or per user and experiment.
+    """
+    keys = [c for c in ("user_id", "experiment_id") if c in outcomes.columns]
     converted = outcomes.select(
-        "user_id", (F.col("n_purchases") > 0).cast("int").alias("converted"), "revenue"
+        *keys, (F.col("n_purchases") > 0).cast("int").alias("converted"), "revenue"
     )
-    return weighted.join(converted, "user_id", "left").fillna(0, ["converted", "revenue"])
+    return weighted.join(converted, keys, "left").fillna(0, ["converted", "revenue"])
 
 
 def labelled_rows(features: DataFrame, assignments: DataFrame) -> DataFrame:

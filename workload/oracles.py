@@ -11,14 +11,11 @@ from statistics import NormalDist
 
 from workload.queries import (
     DAYS_RUNNING,
-    END,
     EXPERIMENTS,
     LOSS_THRESHOLD,
     MDE,
     NUMERIC_FEATURES,
-    ORDERS_END,
-    ORDERS_START,
-    START,
+    ORDER_EXPERIMENTS,
 )
 
 Z975 = NormalDist().inv_cdf(0.975)
@@ -113,11 +110,20 @@ ev AS (
   WHERE l_returnflag IN ('N', 'A', 'R')
 )"""
 
-EXPS = "exps AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{e.experiment_id}', '{e.name}', {e.threshold}, "
-    f"[{', '.join(repr(v) for v in e.variants)}])"
-    for e in EXPERIMENTS
-) + ") AS t(experiment_id, name, threshold, variants))"
+def moment(t) -> str:
+    return f"TIMESTAMP '{t}'" if t else "NULL::TIMESTAMP"
+
+
+def exps(experiments) -> str:
+    rows = ", ".join(
+        f"('{e.experiment_id}', '{e.name}', {e.threshold}, [{', '.join(repr(v) for v in e.variants)}], "
+        f"{moment(e.start)}, {moment(e.end)})"
+        for e in experiments
+    )
+    return f"exps AS (SELECT * FROM (VALUES {rows}) AS t(experiment_id, name, threshold, variants, starts, ends))"
+
+
+EXPS = exps(EXPERIMENTS)
 
 
 def bucket(user: str, experiment: str) -> str:
@@ -137,15 +143,18 @@ def assign(users: str, name: str = "asg") -> str:
 ASSIGNED = f"{EXPS}, {assign('SELECT DISTINCT user_id FROM ev')}"
 
 
-def outcomes(start, end) -> str:
-    counted = f"event_time >= TIMESTAMP '{start}' AND event_time < TIMESTAMP '{end}'"
+INSIDE = "(starts IS NULL OR event_time >= starts) AND (ends IS NULL OR event_time < ends)"
+
+
+def outcomes(rates: str = INSIDE, money: str = "TRUE") -> str:
+    """Per user and experiment; ``rates`` and ``money`` say which events count."""
     return f"""
 out AS (
-  SELECT user_id,
-         count(*) FILTER (WHERE event_type = 'purchase' AND {counted}) AS n_purchases,
-         coalesce(sum(price) FILTER (WHERE event_type = 'purchase' AND {counted}), 0.0) AS revenue,
-         count(*) FILTER (WHERE event_type = 'cart' AND {counted}) AS n_carts
-  FROM ev GROUP BY user_id
+  SELECT user_id, experiment_id,
+         count(*) FILTER (WHERE event_type = 'purchase' AND {rates}) AS n_purchases,
+         coalesce(sum(price) FILTER (WHERE event_type = 'purchase' AND {money}), 0.0) AS revenue,
+         count(*) FILTER (WHERE event_type = 'cart' AND {rates}) AS n_carts
+  FROM ev CROSS JOIN exps GROUP BY user_id, experiment_id
 )"""
 
 
@@ -154,7 +163,7 @@ ARM_SELECT = """
          count(*) FILTER (WHERE n_purchases > 0) AS n_converters,
          count(*) FILTER (WHERE n_carts > 0) AS n_carted,
          avg(revenue) AS mean_revenue, var_samp(revenue) AS var_revenue
-  FROM asg JOIN out USING (user_id) GROUP BY experiment_id, variant"""
+  FROM asg JOIN out USING (user_id, experiment_id) GROUP BY experiment_id, variant"""
 
 PAIR_SELECT = """
   SELECT t.experiment_id, c.variant AS control, t.variant,
@@ -166,17 +175,17 @@ PAIR_SELECT = """
   WHERE c.variant = 'control' AND t.variant <> 'control'"""
 
 
-def arms_ctes(clean: str = CLEAN, start=START, end=END) -> str:
+def arms_ctes(clean: str = CLEAN, rates: str = INSIDE, experiments: str = EXPS) -> str:
     return (
-        f"WITH {clean}, {ASSIGNED}, {outcomes(start, end)}, "
+        f"WITH {clean}, {experiments}, {assign('SELECT DISTINCT user_id FROM ev')}, {outcomes(rates)}, "
         f"arms AS ({ARM_SELECT}), pairs AS ({PAIR_SELECT})"
     )
 
 
 ARMS = arms_ctes()
-WHOLE_ARMS = arms_ctes(CLEAN, "1900-01-01", "2200-01-01")
-WHOLE_ORDER_ARMS = arms_ctes(CLEAN_ORDERS, "1900-01-01", "2200-01-01")
-ORDER_ARMS = arms_ctes(CLEAN_ORDERS, ORDERS_START, ORDERS_END)
+WHOLE_ARMS = arms_ctes(rates="TRUE")
+WHOLE_ORDER_ARMS = arms_ctes(CLEAN_ORDERS, "TRUE")
+ORDER_ARMS = arms_ctes(CLEAN_ORDERS, experiments=exps(ORDER_EXPERIMENTS))
 
 DAILY = f"""WITH {CLEAN}, {ASSIGNED},
 days AS (SELECT user_id, date, max((event_type = 'purchase')::INTEGER) AS bought
@@ -354,7 +363,7 @@ def density(x: str, a: str, b: str) -> str:
     )
 
 
-WEIGHTED = features_sql(CLEAN) + f""", {ASSIGNED}, {outcomes(START, END)},
+WEIGHTED = features_sql(CLEAN) + f""", {ASSIGNED}, {outcomes()},
 lab AS (SELECT experiment_id, user_id, (variant <> 'control')::INTEGER AS treatment,
                {', '.join(f'{c}::DOUBLE AS {c}' for c in NUMERIC_FEATURES)},
                coalesce(favorite_category, 'unknown') AS favorite_category
@@ -363,7 +372,7 @@ prop AS (SELECT *, (total_carts + 1) / (total_carts + total_views + 2) AS propen
 wu AS (SELECT p.*, least(greatest(1 / CASE WHEN treatment = 1 THEN propensity
                                           ELSE 1 - propensity END, 0.1), 10.0) AS weight,
               (n_purchases > 0)::INTEGER AS converted, revenue
-       FROM prop p JOIN out USING (user_id))"""
+       FROM prop p JOIN out USING (user_id, experiment_id))"""
 
 MOMENTS = f"""{WEIGHTED},
 mean AS (SELECT experiment_id, treatment, sum(weight) AS w,
@@ -491,13 +500,16 @@ def all_oracles() -> dict[str, str]:
             round(coalesce(sqrt(var_revenue), 0.0), 6) AS std_revenue FROM arms""",
         "add_to_cart_rate": f"""{WHOLE_ARMS} SELECT experiment_id, variant, n_users, n_carted,
             round(n_carted::DOUBLE / n_users, 8) AS add_to_cart_rate FROM arms""",
+        "windowed_outcomes": f"""WITH {CLEAN}, {ASSIGNED}, {outcomes(money=INSIDE)}
+            SELECT user_id, experiment_id, variant, n_purchases, round(revenue, 4) AS revenue, n_carts
+            FROM asg JOIN out USING (user_id, experiment_id)""",
         "all_metrics": f"{ARMS} {cards.format(digits=6)}",
         "all_metrics_orders": f"{ORDER_ARMS} {cards.format(digits=4)}",
-        "segment_metrics": f"""WITH {CLEAN_ORDERS}, {ASSIGNED}, {outcomes(ORDERS_START, ORDERS_END)}
+        "segment_metrics": f"""{ORDER_ARMS}
             SELECT c_mktsegment AS segment, experiment_id, variant, count(*) AS n_users,
                    count(*) FILTER (WHERE n_purchases > 0) AS n_converters,
                    round(avg(revenue), 4) AS mean_revenue
-            FROM asg JOIN out USING (user_id) JOIN customer ON c_custkey::VARCHAR = user_id
+            FROM asg JOIN out USING (user_id, experiment_id) JOIN customer ON c_custkey::VARCHAR = user_id
             GROUP BY ALL""",
         "arm_sufficient_stats": f"""{WHOLE_ARMS} SELECT experiment_id, control, variant,
             n_c AS control_n_users, x_c AS control_n_converters, round(m_c, 6) AS control_mean_revenue,
@@ -625,7 +637,7 @@ def all_oracles() -> dict[str, str]:
             norm AS (SELECT i, -7 + i / 10000.0::DOUBLE AS x, exp(-pow(-7 + i / 10000.0::DOUBLE, 2) / 2) / sqrt(2 * pi()) AS f
                      FROM range(0, 140001) AS g(i)),
             cdf AS (SELECT x, f, (sum(f) OVER (ORDER BY i) - f / 2) / 10000 + 1.279812544e-12 AS c FROM norm),
-            users AS (SELECT experiment_id, variant, user_id, revenue FROM asg JOIN out USING (user_id)),
+            users AS (SELECT experiment_id, variant, user_id, revenue FROM asg JOIN out USING (user_id, experiment_id)),
             placed AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, variant
                                    ORDER BY ('0x' || substr(md5(user_id), 1, 15))::BIGINT, user_id) - 1 AS pos,
                               rank() OVER (PARTITION BY experiment_id, variant ORDER BY revenue)

@@ -1,14 +1,14 @@
 """Registered queries over the given tables.
 
-Queries on money and carts read the whole log. Those on conversion use the window START to
-END: over a whole log every user converts and no test is defined; so do queries that show
-money beside conversion.
+Rates (conversion, carts) count the events within each experiment's own dates, as over a whole
+log every user converts and no test is defined; revenue counts the whole log everywhere.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,14 +36,22 @@ from liftgrid.sources.control_tables import absent_rows, newest_results, resolve
 from liftgrid.sources.events import read_events, register_events, write_events
 
 EXPERIMENTS = (
-    Experiment("exp_A", name="Page layout"),
-    Experiment("exp_B", name="Banner"),
-    Experiment("exp_C", ("control", "layout_a", "layout_b"), name="Checkout layouts"),
-    Experiment("exp_D", traffic_pct=0.57, name="Partial rollout"),
+    Experiment("exp_A", name="Page layout", start=dt.datetime(2024, 1, 1), end=dt.datetime(2024, 1, 3)),
+    Experiment("exp_B", name="Banner", start=dt.datetime(2024, 1, 9, 6), end=dt.datetime(2024, 1, 11)),
+    Experiment(
+        "exp_C", ("control", "layout_a", "layout_b"), name="Checkout layouts",
+        start=dt.datetime(2024, 1, 10), end=dt.datetime(2024, 1, 12, 18),
+    ),
+    Experiment("exp_D", traffic_pct=0.57, name="Partial rollout", start=dt.datetime(2024, 1, 29)),
+)
+# The same experiments at the time of the orders.
+ORDER_EXPERIMENTS = tuple(
+    replace(e, start=start, end=end) for e, start, end in zip(
+        EXPERIMENTS,
+        (dt.datetime(1995, 1, 1), dt.datetime(1996, 3, 15), dt.datetime(1996, 6, 1), dt.datetime(2001, 1, 1)),
+        (dt.datetime(1995, 7, 1), dt.datetime(1996, 9, 1), dt.datetime(1996, 12, 1), None),
+    )
 )
-# Metric windows: over a whole log every user converts and no test is defined.
-START, END = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3)
-ORDERS_START, ORDERS_END = dt.datetime(1995, 1, 1), dt.datetime(1995, 7, 1)
 MDE = 0.02
 DAYS_RUNNING = 14
 LOSS_THRESHOLD = 0.01
@@ -76,9 +84,8 @@ def assignment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enrolled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windowed outcomes of every assigned user; no join, see ``all_user_outcomes``."""
-    outcomes = metrics.all_user_outcomes(clean(spark, sf_dir), START, END)
-    return asg.assign_all_users(outcomes, EXPERIMENTS)
+    """Outcomes of every assigned user, rates within the experiment's dates; no join."""
+    return metrics.assigned_outcomes(clean(spark, sf_dir), EXPERIMENTS, metrics.RATES)
 
 
 def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +93,9 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = metrics.all_user_outcomes(clean_orders(spark, sf_dir), ORDERS_START, ORDERS_END)
-    return metrics.arm_stats(asg.assign_all_users(outcomes, EXPERIMENTS))
+    return metrics.arm_stats(
+        metrics.assigned_outcomes(clean_orders(spark, sf_dir), ORDER_EXPERIMENTS, metrics.RATES)
+    )
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,15 +129,14 @@ def given_propensity() -> Column:
 
 
 def weighted_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows with the given propensity, weights and windowed outcomes."""
+    """Training rows with the given propensity, weights and outcomes."""
     events = clean(spark, sf_dir)
     data = training_set(features.user_features(events), assignments(spark, sf_dir))
-    outcomes = metrics.user_outcomes(events, START, END)
+    outcomes = metrics.assigned_outcomes(events, EXPERIMENTS, metrics.RATES).drop("variant")
     return (
         data.withColumn("propensity", given_propensity())
         .withColumn("weight", ipw.compute_weights(F.col("propensity"), F.col("treatment")))
-        .join(outcomes, "user_id", "left")
-        .fillna(0, ["n_purchases", "n_carts", "revenue"])
+        .join(outcomes, ["user_id", "experiment_id"])
         .withColumn("converted", (F.col("n_purchases") > 0).cast("int"))
     )
 
@@ -272,14 +279,13 @@ def q_insert_if_absent(spark, sf_dir):
     return existing.unionByName(fresh)
 
 
-def _all_metrics(spark, sf_dir):
-    return metrics.compute_all_metrics(
-        clean(spark, sf_dir), assignments(spark, sf_dir), START, END
-    )
+def q_conversion_rate(spark, sf_dir):
+    return rounded(metrics.conversion_rate(arms(spark, sf_dir)), conversion_rate=8)
 
 
-def q_conversion_rate(spark, sf_dir):
-    return rounded(metrics.conversion_rate(_all_metrics(spark, sf_dir)), conversion_rate=8)
+def q_windowed_outcomes(spark, sf_dir):
+    """All measures within the experiments' own dates, one row per user and experiment."""
+    return rounded(metrics.assigned_outcomes(clean(spark, sf_dir), EXPERIMENTS), revenue=4)
 
 
 def q_revenue_per_user(spark, sf_dir):
@@ -308,12 +314,11 @@ def q_all_metrics_orders(spark, sf_dir):
 
 def q_segment_metrics(spark, sf_dir):
     """The same statistics split by market segment of the customer."""
-    outcomes = metrics.all_user_outcomes(clean_orders(spark, sf_dir), ORDERS_START, ORDERS_END)
+    outcomes = metrics.assigned_outcomes(clean_orders(spark, sf_dir), ORDER_EXPERIMENTS, metrics.RATES)
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         F.col("c_custkey").cast("string").alias("user_id"), F.col("c_mktsegment").alias("segment")
     )
-    assigned = asg.assign_all_users(outcomes.join(customers, "user_id"), EXPERIMENTS)
-    stats = metrics.arm_stats(assigned, ["segment", "experiment_id", "variant"])
+    stats = metrics.arm_stats(outcomes.join(customers, "user_id"), ["segment", "experiment_id", "variant"])
     return rounded(
         stats.select("segment", "experiment_id", "variant", "n_users", "n_converters", "mean_revenue"),
         mean_revenue=4,
@@ -558,12 +563,12 @@ _IPW_DIGITS = {"t_stat": 6, "p_value": 6, "cohens_d": 6, "ci_lower": 5, "ci_uppe
 
 
 def q_ipw_t_test(spark, sf_dir):
-    users = materialize(weighted_users(spark, sf_dir), "weighted-users")
+    users = weighted_users(spark, sf_dir)
     return rounded(ipw.adjusted_t_test(users, "revenue"), **_IPW_DIGITS)
 
 
 def q_ipw_two_sample_t_test(spark, sf_dir):
-    users = materialize(weighted_users(spark, sf_dir), "weighted-users")
+    users = weighted_users(spark, sf_dir)
     return rounded(ipw.two_sample_adjusted_t_test(users, "revenue"), **_IPW_DIGITS)
 
 
@@ -614,7 +619,7 @@ def _ipw_end_to_end(spark, sf_dir, classifier):
     return propensity_analysis(
         features.user_features(events),
         assignments(spark, sf_dir),
-        metrics.user_outcomes(events, START, END),
+        metrics.assigned_outcomes(events, EXPERIMENTS, metrics.RATES).drop("variant"),
         [e.experiment_id for e in EXPERIMENTS],
         classifier,
     )
