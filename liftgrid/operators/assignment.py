@@ -131,6 +131,36 @@ def variant_counts(assignments: DataFrame, declared: DataFrame | None = None) ->
     ).fillna(0, ["n_users"])
 
 
+def _srm_fields(k: Column, chi2: Column, chi2_gof: Column, counts: Column) -> list[Column]:
+    p_value, p_value_gof = chi_square_tail(chi2, k - 1), chi_square_tail(chi2_gof, k - 1)
+    return [
+        F.coalesce(p_value < SRM_ALPHA, F.lit(False)).alias("srm_detected"),
+        p_value.alias("p_value"),
+        F.try_divide(F.lit(1.0), k).alias("expected_ratio"),
+        F.map_from_entries(F.sort_array(counts)).alias("actual_counts"),
+        chi2.alias("chi2"),
+        F.coalesce(p_value_gof < SRM_ALPHA, F.lit(False)).alias("srm_detected_gof"),
+        p_value_gof.alias("p_value_gof"),
+        chi2_gof.alias("chi2_gof"),
+    ]
+
+
+def _srm_sums() -> dict[str, Column]:
+    observed, expected = F.col("n_users").cast("double"), F.col("_expected")
+    gap = (observed - expected) * (observed - expected)
+    return {
+        "_k": F.count(F.lit(1)),
+        "_chi2": F.sum(F.try_divide(gap, observed + expected)),
+        "_chi2_gof": F.sum(F.try_divide(gap, expected)),
+        "_counts": F.collect_list(F.struct("variant", "n_users")),
+    }
+
+
+def _with_expected(counts: DataFrame) -> DataFrame:
+    everyone = Window.partitionBy("experiment_id")
+    return counts.withColumn("_expected", F.avg(F.col("n_users").cast("double")).over(everyone))
+
+
 def srm_from_counts(counts: DataFrame) -> DataFrame:
     """Sample-ratio check per experiment from (experiment_id, variant, n_users).
 
@@ -138,35 +168,16 @@ def srm_from_counts(counts: DataFrame) -> DataFrame:
     ``p_value_gof`` is the goodness-of-fit test against the same split, which is about
     twice as sensitive. Both have k-1 degrees of freedom.
     """
-    everyone = Window.partitionBy("experiment_id")
-    observed = F.col("n_users").cast("double")
-    expected = F.col("expected")
-    gap = (observed - expected) * (observed - expected)
-    return (
-        counts.withColumn("expected", F.avg(observed).over(everyone))
-        .groupBy("experiment_id")
-        .agg(
-            F.count(F.lit(1)).alias("k"),
-            F.sum(F.try_divide(gap, observed + expected)).alias("chi2"),
-            F.sum(F.try_divide(gap, expected)).alias("chi2_gof"),
-            F.map_from_entries(
-                F.sort_array(F.collect_list(F.struct("variant", "n_users")))
-            ).alias("actual_counts"),
-        )
-        .withColumn("p_value", chi_square_tail(F.col("chi2"), F.col("k") - 1))
-        .withColumn("p_value_gof", chi_square_tail(F.col("chi2_gof"), F.col("k") - 1))
-        .select(
-            "experiment_id",
-            F.coalesce(F.col("p_value") < SRM_ALPHA, F.lit(False)).alias("srm_detected"),
-            "p_value",
-            F.try_divide(F.lit(1.0), F.col("k")).alias("expected_ratio"),
-            "actual_counts",
-            "chi2",
-            F.coalesce(F.col("p_value_gof") < SRM_ALPHA, F.lit(False)).alias("srm_detected_gof"),
-            "p_value_gof",
-            "chi2_gof",
-        )
-    )
+    sums = _srm_sums()
+    checked = _with_expected(counts).groupBy("experiment_id").agg(*[c.alias(n) for n, c in sums.items()])
+    return checked.select("experiment_id", *_srm_fields(*map(F.col, sums)))
+
+
+def with_srm(counts: DataFrame) -> DataFrame:
+    """``counts`` with the same check as a struct ``srm`` beside every arm."""
+    everyone, sums = Window.partitionBy("experiment_id"), _srm_sums()
+    summed = _with_expected(counts).withColumns({n: c.over(everyone) for n, c in sums.items()})
+    return summed.withColumn("srm", F.struct(*_srm_fields(*map(F.col, sums)))).drop("_expected", *sums)
 
 
 def check_srm(assignments: DataFrame, declared: DataFrame | None = None) -> DataFrame:

@@ -59,27 +59,36 @@ def usable_baseline(rate: Column) -> Column:
     return F.when(rate > 0, rate).otherwise(F.lit(DEFAULT_BASELINE))
 
 
-def sample_size_block(pairs: DataFrame) -> DataFrame:
-    """Baseline, arm size, detectable effect and required size per treatment arm."""
-    baseline = usable_baseline(F.col("control_conversion_rate"))
-    sized = pairs.withColumn("baseline_rate", baseline).withColumn(
-        "effect",
+def with_sizing(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with baseline, arm size, detectable effect and required size."""
+    sized = pairs.withColumn(
+        "baseline_rate", usable_baseline(F.col("control_conversion_rate"))
+    ).withColumn(
+        "_effect",
         minimum_detectable_effect(
             F.col("control_n_users"), F.col("treatment_n_users"), F.col("baseline_rate")
         ),
     )
-    mde = F.col("effect")["mde"]
-    return sized.select(
-        "experiment_id",
-        "variant",
-        "baseline_rate",
-        F.floor((F.col("control_n_users") + F.col("treatment_n_users")) / 2)
-        .cast("bigint").alias("current_n_per_variant"),
-        mde.alias("minimum_detectable_effect"),
-        F.col("effect")["mde_capped"].alias("mde_capped"),
-        required_sample_size(
-            F.col("baseline_rate"), F.greatest(mde, F.lit(SMALLEST_MDE))
-        ).alias("required_n_for_80pct_power"),
+    mde = F.col("_effect")["mde"]
+    return sized.withColumns(
+        {
+            "current_n_per_variant": F.floor(
+                (F.col("control_n_users") + F.col("treatment_n_users")) / 2
+            ).cast("bigint"),
+            "minimum_detectable_effect": mde,
+            "mde_capped": F.col("_effect")["mde_capped"],
+            "required_n_for_80pct_power": required_sample_size(
+                F.col("baseline_rate"), F.greatest(mde, F.lit(SMALLEST_MDE))
+            ),
+        }
+    ).drop("_effect")
+
+
+def sample_size_block(pairs: DataFrame) -> DataFrame:
+    """Baseline, arm size, detectable effect and required size per treatment arm."""
+    return with_sizing(pairs).select(
+        "experiment_id", "variant", "baseline_rate", "current_n_per_variant",
+        "minimum_detectable_effect", "mde_capped", "required_n_for_80pct_power",
     )
 
 

@@ -298,18 +298,18 @@ def propensity_analysis(
     features: DataFrame,
     assignments: DataFrame,
     outcomes: DataFrame,
-    experiment_ids: Sequence[str],
+    experiment_ids: Sequence[str] | None = None,
     classifier: str = "boosted",
     **settings,
 ) -> DataFrame:
-    """Train, score, weight and adjust, one row per experiment.
+    """Train, score, weight and adjust, one row per experiment, of those named or all.
 
     ``logistic`` and ``category`` fit all experiments and folds in common jobs; ``boosted``
     trains trees for one experiment after the other.
     """
-    assignments = materialize(
-        assignments.filter(F.col("experiment_id").isin(*experiment_ids)), "propensity-assignments"
-    )
+    if experiment_ids is not None:
+        assignments = assignments.filter(F.col("experiment_id").isin(*experiment_ids))
+    assignments = materialize(assignments, "propensity-assignments")
     if classifier == "boosted":
         scored, cv = boosted_scores(labelled_rows(features, assignments), **settings)
     else:

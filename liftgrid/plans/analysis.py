@@ -4,21 +4,31 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftgrid.operators.assignment import srm_from_counts
-from liftgrid.operators.bayes import fit_conversion
+from liftgrid.operators.assignment import with_srm
+from liftgrid.operators.bayes import (
+    expected_loss,
+    highest_density_interval,
+    posterior_params,
+    probability_treatment_better,
+)
+from liftgrid.operators.corrections import apply_corrections
+from liftgrid.operators.features import user_features
 from liftgrid.operators.frequentist import novelty_effect_test
 from liftgrid.operators.metrics import (
     METRICS,
     compute_all_metrics,
     control_of,
     pair_with_control,
+    user_outcomes,
 )
-from liftgrid.operators.planning import sample_size_block
-from liftgrid.plans.testing import run_tests
+from liftgrid.operators.planning import with_sizing
+from liftgrid.operators.propensity import propensity_analysis
+from liftgrid.plans.testing import metric_tests
 from liftgrid.schemas import (
     BAYESIAN_RESULT,
     EXPERIMENT_RESULT,
@@ -32,17 +42,71 @@ from liftgrid.schemas import (
 from liftgrid.session import materialize_small
 
 KEY = "experiment_id"
+_POSTERIOR = (
+    "struct<probability_treatment_better: double, expected_loss: double, "
+    "ends: struct<lower: double, upper: double>>"
+)
+_TEST = (
+    "struct<metric: string, statistic: double, p_value: double, significant: boolean, "
+    "absolute_lift: double, relative_lift: double, ci_lower: double, ci_upper: double>"
+)
+
 
+# Parts of a document: name, schema, and whether there are several per experiment.
+_PARTS = {
+    "variants": (VARIANT_METRICS, True),
+    "frequentist": (TEST_RESULT, True),
+    "bayesian": (BAYESIAN_RESULT, True),
+    "sample_size_analysis": (SAMPLE_SIZE, True),
+    "novelty_check": (NOVELTY_RESULT, True),
+    "propensity": (PROPENSITY_RESULT, False),
+}
 
-def _document(rows: DataFrame, schema, name: str) -> DataFrame:
-    return rows.select(KEY, F.struct(*schema.names).cast(schema).alias(name))
 
+def _part(rows: DataFrame, name: str, place: Column | None = None, *extra: Column | str) -> DataFrame:
+    """Rows (experiment, part, place, doc) of one part; ``extra`` columns go along."""
+    schema, _ = _PARTS[name]
+    place = F.col("variant") if place is None else place
+    doc = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return rows.select(KEY, place.alias("place"), doc.alias(name), *extra)
 
-def _documents(rows: DataFrame, schema, name: str, order: str = "variant") -> DataFrame:
-    """Rows of each experiment as a sorted list; at most arms x metrics entries."""
-    entry = F.struct(F.col(order).alias("_order"), F.struct(*schema.names).cast(schema).alias("doc"))
-    return rows.groupBy(KEY).agg(
-        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["doc"]).alias(name)
+
+def _arm_parts(pairs: DataFrame, metrics: Sequence[str], method: str) -> DataFrame:
+    """Tests, posterior and sizing of every treatment arm, from one read of the pairs.
+
+    An arm's row explodes into its part rows; the correction ranks the tests alone, as other
+    parts have no family with them.
+    """
+    posterior = F.struct(
+        probability_treatment_better().alias("probability_treatment_better"),
+        expected_loss().alias("expected_loss"), highest_density_interval().alias("ends"),
+    )
+    tests = F.transform(metric_tests(metrics), lambda t: F.struct(
+        F.lit("frequentist").alias("part"), t.alias("test"), F.lit(None).cast(_POSTERIOR).alias("posterior")))
+    nothing = F.lit(None).cast(_TEST)
+    others = F.array(
+        F.struct(F.lit("bayesian").alias("part"), nothing.alias("test"), posterior.alias("posterior")),
+        F.struct(F.lit("sample_size_analysis").alias("part"), nothing.alias("test"), F.lit(None).cast(_POSTERIOR).alias("posterior")),
+    )
+    rows = with_sizing(posterior_params(pairs)).withColumn("_row", F.explode(F.concat(tests, others)))
+    rows = rows.select(
+        KEY, "variant", *[c for c in SAMPLE_SIZE.names if c != "variant"], F.col("_row.part").alias("part"),
+        "_row.test.*", F.col("_row.posterior").alias("posterior"),
+    )
+    rows = apply_corrections(rows, method, (KEY, "part"))
+    rows = rows.withColumns({
+        "probability_treatment_better": F.col("posterior.probability_treatment_better"),
+        "expected_loss": F.col("posterior.expected_loss"),
+        "credible_interval_lower": F.col("posterior.ends.lower"),
+        "credible_interval_upper": F.col("posterior.ends.upper"),
+    })
+    def own(name: str) -> Column:
+        fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in _PARTS[name][0].fields]
+        return F.when(F.col("part") == name, F.struct(*fields)).alias(name)
+
+    return rows.select(
+        KEY, F.concat_ws(" ", "metric", "variant").alias("place"),
+        *map(own, ("frequentist", "bayesian", "sample_size_analysis")),
     )
 
 
@@ -57,39 +121,44 @@ def analyze(
 ) -> DataFrame:
     """Result documents from arm statistics.
 
-    ``stats`` (a few rows per experiment, from ``arm_stats``) is computed once and feeds
-    the split check, the variant cards, all tests, the posterior comparison and the
-    sizing. ``propensity`` and ``daily`` add the optional parts. An ``is_control`` column in
-    either table names the control arm. With ``block_on_srm``
-    experiments with a broken split keep only the split check and the cards.
+    ``stats`` (a few rows per experiment, from ``arm_stats``) is computed once. Every part
+    becomes rows of one long table, and one grouping by experiment assembles the documents.
+    ``propensity`` and ``daily`` add the optional parts. An ``is_control`` column in ``stats``
+    names the control arm. With ``block_on_srm`` experiments with a broken split keep only
+    the split check and the cards.
     """
-    stats = materialize_small(stats, "arm-stats")
-    srm = srm_from_counts(stats.select(KEY, "variant", "n_users"))
-    pairs = pair_with_control(stats)
+    checked = with_srm(materialize_small(stats, "arm-stats"))
+    detected = checked.withColumn("_detected", F.col("srm.srm_detected")).drop("srm")
+    pairs = pair_with_control(detected)
     if block_on_srm:
-        pairs = pairs.join(srm.filter(~F.col("srm_detected")).select(KEY), KEY, "left_semi")
-    tests = run_tests(pairs, metrics, method).withColumn(
-        "place", F.concat_ws(" ", "metric", "variant")
-    )
-    parts = [
-        _document(srm, SRM_RESULT, "srm_check"),
-        _documents(stats, VARIANT_METRICS, "variants"),
-        _documents(tests, TEST_RESULT, "frequentist", "place"),
-        _documents(fit_conversion(pairs), BAYESIAN_RESULT, "bayesian"),
-        _documents(sample_size_block(pairs), SAMPLE_SIZE, "sample_size_analysis"),
-    ]
+        pairs = pairs.filter(~F.col("treatment__detected"))
+    parts = [_part(checked, "variants", None, "srm"), _arm_parts(pairs, metrics, method)]
     if propensity is not None:
-        parts.append(_document(propensity, PROPENSITY_RESULT, "propensity"))
+        parts.append(_part(propensity, "propensity", F.lit("")))
     if daily is not None:
-        controls = stats.select(KEY, control_of(stats).alias("control")).distinct()
+        controls = detected.select(KEY, control_of(detected).alias("control")).distinct()
         novelty = novelty_effect_test(daily.join(controls, KEY), control=F.col("control"))
-        parts.append(_documents(novelty, NOVELTY_RESULT, "novelty_check"))
-    result = experiments.select(KEY, "name", "status").join(parts[0], KEY)
-    for part in parts[1:]:
-        result = result.join(part, KEY, "left")
-    return result.withColumn("computed_at", F.current_timestamp()).select(
+        parts.append(_part(novelty, "novelty_check"))
+    long = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def gathered(name: str) -> Column:
+        schema, several = _PARTS[name]
+        if not several:
+            return F.first(name, ignorenulls=True).alias(name)
+        entries = F.sort_array(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("place", name))))
+        docs = F.transform(entries, lambda e: e[name])
+        return F.when(F.size(docs) > 0, docs).alias(name)
+
+    there = [name for name in _PARTS if name in long.columns]
+    documents = long.groupBy(KEY).agg(
+        F.first("srm", ignorenulls=True).alias("_srm"), *map(gathered, there)
+    ).filter(F.col("_srm").isNotNull())
+    srm = F.struct(*[F.col("_srm")[f.name].cast(f.dataType).alias(f.name) for f in SRM_RESULT.fields])
+    documents = documents.withColumn("srm_check", srm).withColumn("computed_at", F.current_timestamp())
+    result = experiments.select(KEY, "name", "status").join(documents, KEY)
+    return result.select(
         *[
-            F.col(field.name) if field.name in result.columns or field.name == "computed_at"
+            F.col(field.name) if field.name in result.columns
             else F.lit(None).cast(field.dataType).alias(field.name)
             for field in EXPERIMENT_RESULT.fields
         ]
@@ -102,9 +171,17 @@ def analyze_experiments(
     experiments: DataFrame,
     start: dt.datetime | None = None,
     end: dt.datetime | None = None,
+    use_propensity: str | None = None,
     **options,
 ) -> DataFrame:
-    """``analyze`` straight from the event log and an assignment table."""
+    """``analyze`` straight from the event log and an assignment table.
+
+    ``use_propensity`` names the classifier of the propensity part and adds it.
+    """
+    if use_propensity is not None:
+        options["propensity"] = propensity_analysis(
+            user_features(events), assignments, user_outcomes(events, start, end), None, use_propensity
+        )
     return analyze(compute_all_metrics(events, assignments, start, end), experiments, **options)
 
 

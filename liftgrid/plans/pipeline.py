@@ -20,7 +20,8 @@ from liftgrid.operators.assignment import (
 )
 from liftgrid.operators.cleaning import clean_events
 from liftgrid.operators.features import FEATURE_COLUMNS, user_features
-from liftgrid.operators.metrics import METRICS, compute_all_metrics, pair_with_control
+from liftgrid.operators.metrics import METRICS, compute_all_metrics, pair_with_control, user_outcomes
+from liftgrid.operators.propensity import propensity_analysis
 from liftgrid.plans.analysis import analyze, result_rows
 from liftgrid.plans.testing import run_tests
 from liftgrid.session import materialize
@@ -70,9 +71,13 @@ def analyze_and_store(
     end: dt.datetime | None = None,
     metrics: Sequence[str] = METRICS,
     method: str = "benjamini_hochberg",
+    use_propensity: str | None = None,
     **parts,
 ) -> DataFrame:
-    """Analyse one or all experiments of the tables and append their result rows."""
+    """Analyse one or all experiments of the tables and append their result rows.
+
+    ``use_propensity`` names a classifier and adds the propensity part to the documents.
+    """
     if experiment_id is not None:
         tables.experiment(experiment_id)
     assignments = tables.assignments(experiment_id)
@@ -83,6 +88,10 @@ def analyze_and_store(
         "experiment_id", F.col("name").alias("variant"), "is_control"
     )
     stats = stats.join(flags, ["experiment_id", "variant"], "left")
+    if use_propensity is not None:
+        parts["propensity"] = propensity_analysis(
+            user_features(events), assignments, user_outcomes(events, start, end), None, use_propensity
+        )
     tests = run_tests(pair_with_control(stats), metrics, method)
     tables.add_results(result_rows(stats, tests))
     return analyze(stats, tables.experiments(), metrics, method, **parts)

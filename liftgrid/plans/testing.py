@@ -54,6 +54,17 @@ def check_metrics(metrics: Sequence[str]) -> None:
         raise ValueError(f"Unknown metrics: {unknown}")
 
 
+def metric_tests(metrics: Sequence[str] = METRICS, alpha: float = 0.05) -> Column:
+    """The tests of a row of pairs, one struct per metric."""
+    check_metrics(metrics)
+    tests = {
+        "conversion_rate": lambda: _rate_test("conversion_rate", "n_converters", alpha),
+        "revenue_per_user": lambda: _mean_test("revenue_per_user", "revenue", alpha),
+        "add_to_cart_rate": lambda: _rate_test("add_to_cart_rate", "n_carted", alpha),
+    }
+    return F.array(*[tests[m]() for m in metrics])
+
+
 def run_tests(
     pairs: DataFrame,
     metrics: Sequence[str] = METRICS,
@@ -61,14 +72,7 @@ def run_tests(
     alpha: float = 0.05,
 ) -> DataFrame:
     """All tests of all experiments, corrected over each experiment's (metric, arm) rows."""
-    check_metrics(metrics)
-    tests = {
-        "conversion_rate": lambda: _rate_test("conversion_rate", "n_converters", alpha),
-        "revenue_per_user": lambda: _mean_test("revenue_per_user", "revenue", alpha),
-        "add_to_cart_rate": lambda: _rate_test("add_to_cart_rate", "n_carted", alpha),
-    }
     rows = pairs.select(
-        "experiment_id", "control", "variant",
-        F.explode(F.array(*[tests[m]() for m in metrics])).alias("test"),
+        "experiment_id", "control", "variant", F.explode(metric_tests(metrics, alpha)).alias("test")
     ).select("experiment_id", "control", "variant", "test.*")
     return apply_corrections(rows, method)

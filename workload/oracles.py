@@ -441,7 +441,7 @@ def all_oracles() -> dict[str, str]:
         for c in NUMERIC_FEATURES
     )
     variant_rows = "(SELECT experiment_id, name, unnest(variants) AS variant FROM exps)"
-    return {
+    found = {
         "clean_events": f"WITH {CLEAN} SELECT * FROM ev",
         "cleaning_report": """SELECT CASE
               WHEN user_id IS NULL OR json_extract_string(props, '$.k') IS NULL THEN 'missing_key'
@@ -754,3 +754,24 @@ def all_oracles() -> dict[str, str]:
                    ELSE '✅ No Sample Ratio Mismatch — randomization looks correct.' END AS srm_message
             FROM bh JOIN srm USING (experiment_id)""",
     }
+
+    def part(name: str, source: str, numbers: list[str], place: str = "variant") -> str:
+        rows = ", ".join(f"{{'name': '{n}', 'value': {n}::DOUBLE}}" for n in numbers)
+        return (
+            f"SELECT experiment_id, '{name}' AS part, place, n.name AS name, n.value AS value "
+            f"FROM (SELECT experiment_id, {place} AS place, unnest([{rows}]) AS n FROM ({found[source]}))"
+        )
+
+    found["analyze_parts"] = " UNION ALL ".join([
+        part("variants", "all_metrics", ["n_users", "conversion_rate", "mean_revenue", "add_to_cart_rate"]),
+        part("frequentist", "analyze_tests", ["p_value"], "metric || ' ' || variant"),
+        part("bayesian", "prob_treatment_better", ["probability_treatment_better"]),
+        part("bayesian", "expected_loss", ["expected_loss"]),
+        part("bayesian", "hdi", ["credible_interval_lower", "credible_interval_upper"]),
+        part("sample_size_analysis", "sample_size_block",
+             ["baseline_rate", "current_n_per_variant", "minimum_detectable_effect", "required_n_for_80pct_power"]),
+        part("novelty_check", "novelty", ["p_value", "early_mean", "post_early_mean"]),
+        part("propensity", "ipw_by_category", ["cv_auc", "adjustment_magnitude", "unadjusted_lift", "adjusted_lift"], "''"),
+        part("srm_check", "srm_check", ["p_value", "expected_ratio"], "''"),
+    ])
+    return found

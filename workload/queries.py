@@ -685,6 +685,49 @@ def q_analyze(spark, sf_dir):
     return analysis.analyze(arms(spark, sf_dir), experiments, daily=rates)
 
 
+def q_analyze_parts(spark, sf_dir):
+    """Every number of the documents in long form, with the propensity and novelty parts."""
+    experiments, _ = experiment_dims(prepare(spark))
+    documents = analysis.analyze(
+        arms(spark, sf_dir), experiments,
+        propensity=_ipw_end_to_end(spark, sf_dir, "category"), daily=daily(spark, sf_dir),
+    )
+    kept = {
+        "variants": ["n_users", "conversion_rate", "mean_revenue", "add_to_cart_rate"],
+        "frequentist": ["p_value"],
+        "bayesian": ["probability_treatment_better", "expected_loss", "credible_interval_lower", "credible_interval_upper"],
+        "sample_size_analysis": ["baseline_rate", "current_n_per_variant", "minimum_detectable_effect", "required_n_for_80pct_power"],
+        "novelty_check": ["p_value", "early_mean", "post_early_mean"],
+        "propensity": ["cv_auc", "adjustment_magnitude", "unadjusted_lift", "adjusted_lift"],
+        "srm_check": ["p_value", "expected_ratio"],
+    }
+
+    digits = {
+        "mean_revenue": 6, "probability_treatment_better": 6, "expected_loss": 6, "credible_interval_lower": 4,
+        "credible_interval_upper": 4, ("frequentist", "p_value"): 6, ("novelty_check", "p_value"): 6,
+    }
+
+    def numbers(part: str, row: Column) -> Column:
+        place = F.lit("") if part in ("propensity", "srm_check") else row["variant"]
+        if part == "frequentist":
+            place = F.concat_ws(" ", row["metric"], place)
+        return F.array(*[
+            F.struct(
+                F.lit(part).alias("part"), place.alias("place"), F.lit(n).alias("name"),
+                F.round(row[n].cast("double"), digits.get((part, n), digits.get(n, 8))).alias("value"),
+            )
+            for n in kept[part]
+        ])
+
+    def listed(part: str) -> Column:
+        if part in ("propensity", "srm_check"):
+            return numbers(part, F.col(part))
+        return F.flatten(F.transform(part, lambda row: numbers(part, row)))
+
+    lists = [listed(part) for part in kept]
+    return documents.select("experiment_id", F.inline(F.concat(*lists)))
+
+
 def q_analyze_tests(spark, sf_dir):
     """The documents of ``analyze`` laid flat: one row per test with its split check."""
     experiments, _ = experiment_dims(prepare(spark))
