@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 _ORDER = 64
 
 
-@lru_cache(maxsize=2)
-def _nodes(_context: int) -> Column:
+@lru_cache(maxsize=8)
+def _nodes(_context: int, order: int = _ORDER) -> Column:
     """Gauss-Legendre positions and weights on [0, 1] as one literal per context."""
-    nodes, weights = np.polynomial.legendre.leggauss(_ORDER)
+    nodes, weights = np.polynomial.legendre.leggauss(order)
     return F.arrays_zip(F.lit((nodes + 1) / 2), F.lit(weights / 2))
 
 
@@ -34,17 +34,22 @@ def bind(body: str, **values: Column) -> Column:
     )
 
 
+def quadrature(order: int) -> Column:
+    """Nodes of another order, to be bound under a name of their own."""
+    return _nodes(id(SparkContext._active_spark_context), order)
+
+
 def sql_let(name: str, value: str, body: str) -> str:
     """SQL text of ``body`` with ``name`` standing for ``value``."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def sql_integral(variable: str, integrand: str) -> str:
+def sql_integral(variable: str, integrand: str, nodes: str = "nodes") -> str:
     """SQL text of the integral of ``integrand`` over ``variable`` in [0, 1]."""
     total, node = f"{variable}_total", f"{variable}_node"
     at_node = integrand.replace(f"<{variable}>", f"{node}.`0`")
     return (
-        f"aggregate(s.nodes, 0D, ({total}, {node}) -> {total} + {node}.`1` * ({at_node}))"
+        f"aggregate(s.{nodes}, 0D, ({total}, {node}) -> {total} + {node}.`1` * ({at_node}))"
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftgrid.functions.binding import bind, sql_integral, sql_let
+from liftgrid.functions.binding import bind, quadrature, sql_integral, sql_let
 
 DENSITY_POINTS = 300
 DENSITY_MARGIN = 0.005
@@ -63,8 +63,8 @@ def _mass_sql(arm: str) -> str:
     return f"(({arm}.high - {arm}.low) * {sql_integral('m', _density_sql(arm, position))})"
 
 
-def _with_arms(body: str) -> Column:
-    """``body`` with the posteriors of both arms bound as ``c`` and ``t``."""
+def _with_arms(body: str, **values: Column) -> Column:
+    """``body`` with the posteriors of both arms bound as ``c`` and ``t``, others in ``s``."""
     arms = sql_let(
         "c",
         _posterior_sql("s.ca", "s.cb"),
@@ -73,7 +73,7 @@ def _with_arms(body: str) -> Column:
     return bind(
         arms,
         ca=F.col("control_alpha"), cb=F.col("control_beta"),
-        ta=F.col("treatment_alpha"), tb=F.col("treatment_beta"),
+        ta=F.col("treatment_alpha"), tb=F.col("treatment_beta"), **values,
     )
 
 
@@ -136,41 +136,62 @@ def _difference_density_sql(d: str) -> str:
     both = sql_let(
         "rate", place, f"({_density_sql('o.x', 'rate')}) * ({_density_sql('o.y', f'(rate + o.sign * {d})')})"
     )
-    area = f"CASE WHEN reach.to > reach.from THEN (reach.to - reach.from) * {sql_integral('q', both)} ELSE 0D END"
+    area = f"CASE WHEN reach.to > reach.from THEN (reach.to - reach.from) * {sql_integral('q', both, 'many')} ELSE 0D END"
     return sql_let("reach", reach, area)
 
 
-def _bisected_sql(low: str, high: str, take_low: str, steps: int = 36) -> str:
-    """Middle of the range left after halving; ``take_low`` says of <x> which half stays."""
-    keep = sql_let(
-        "x", "(h.low + h.high) / 2",
-        f"CASE WHEN {take_low.replace('<x>', 'x')} THEN named_struct('low', h.low, 'high', x) "
-        "ELSE named_struct('low', x, 'high', h.high) END",
+def _trimmed_sql(arm: str) -> str:
+    """The arm with a range that holds all but e^-20 of its mass: enough for an interval."""
+    low = f"greatest(0D, {arm}.mean - {arm}.sd * (6.5D + 20 / sqrt({arm}.b)))"
+    high = f"least(1D, {arm}.mean + {arm}.sd * (6.5D + 20 / sqrt({arm}.a)))"
+    return (
+        f"named_struct('a', {arm}.a, 'b', {arm}.b, 'mode', {arm}.mode, 'mean', {arm}.mean, "
+        f"'sd', {arm}.sd, 'low', {low}, 'high', {high})"
+    )
+
+
+def _crossing_sql(outer: str, steps: int = 10) -> str:
+    """Where the density passes ``level`` between ``outer`` and the top, by a bracketing secant
+    (Illinois) on its logarithm, which is concave."""
+    log_at = f"greatest(ln({_difference_density_sql('x')} / level), -60D)"
+    at_x = sql_let("v", log_at, (
+        "CASE WHEN v < 0 THEN named_struct('out', x, 'vout', v, 'in', h.in, "
+        "'vin', CASE WHEN h.last < 0 THEN h.vin / 2 ELSE h.vin END, 'last', -1D) "
+        "ELSE named_struct('out', h.out, 'vout', CASE WHEN h.last > 0 THEN h.vout / 2 ELSE h.vout END, "
+        "'in', x, 'vin', v, 'last', 1D) END"
+    ))
+    # far below the level a secant gains nothing on halving
+    place = "CASE WHEN h.vout < -12 THEN (h.out + h.in) / 2 ELSE (h.out * h.vin - h.in * h.vout) / (h.vin - h.vout) END"
+    step = f"CASE WHEN h.vin > h.vout THEN {sql_let('x', place, at_x)} ELSE h END"
+    start = (
+        f"named_struct('out', {outer}, 'vout', -60D, 'in', top.d, 'vin', ln(top.f / level), 'last', 0D)"
     )
-    start = f"named_struct('low', {low}, 'high', {high})"
-    halved = f"aggregate(sequence(1, {steps}), {start}, (h, i) -> {keep})"
-    return sql_let("left", halved, "(left.low + left.high) / 2")
+    return sql_let("done", f"aggregate(sequence(1, {steps}), {start}, (h, i) -> {step})",
+                   "CASE WHEN abs(done.vin) <= abs(done.vout) THEN done.in ELSE done.out END")
 
 
 def highest_density_interval(alpha: float = 0.05) -> Column:
     """(lower, upper) of treatment - control: the narrowest interval of mass 1 - alpha.
 
     Both rates have log-concave densities, so their difference has one mode and the interval
-    is a level set: its ends come by bisection on either side of the mode, and the level by
-    a bracketing secant (Illinois) on the mass between them. Steep edges need no special
-    case; a top that is flat (an arm without users) is taken whole.
+    is a level set: its ends are found on either side of the mode, and the level by a
+    bracketing secant on the mass between them. Steep edges need no special case; a top that
+    is flat (an arm without users) is taken whole.
     """
     wanted = f"({1 - alpha!r}D)"
     at = _difference_density_sql
-    rising = f"{at('x')} > {sql_let('x', '(x + o.tiny)', at('x'))}"
-    mode = _bisected_sql("o.low", "o.high", rising, 40)
-    ends = (
-        "named_struct("
-        f"'a', {_bisected_sql('o.low', 'top.d', at('x') + ' >= level')}, "
-        f"'b', {_bisected_sql('top.d', 'o.high', at('x') + ' < level')})"
+    rising = f"{at('x')} < {sql_let('x', '(x + o.tiny)', at('x'))}"
+    halved = sql_let("x", "(h.low + h.high) / 2", (
+        f"CASE WHEN {rising} THEN named_struct('low', x, 'high', h.high) "
+        "ELSE named_struct('low', h.low, 'high', x) END"
+    ))
+    mode = sql_let(
+        "left", f"aggregate(sequence(1, 18), named_struct('low', o.low, 'high', o.high), (h, i) -> {halved})",
+        "(left.low + left.high) / 2",
     )
+    ends = f"named_struct('a', {_crossing_sql('o.low')}, 'b', {_crossing_sql('o.high')})"
     side = lambda v, low, high: f"({high} - {low}) * " + sql_integral(
-        v, sql_let("d1", f"{low} + ({high} - {low}) * <{v}>", at("d1"))
+        v, sql_let("d1", f"{low} + ({high} - {low}) * <{v}>", at("d1")), "few"
     )
     mass = f"({side('v', 'ends.a', 'top.d')} + {side('v', 'top.d', 'ends.b')}) / o.mass - {wanted}"
     moved = sql_let("ends", ends, sql_let("m", mass, (
@@ -179,23 +200,31 @@ def highest_density_interval(alpha: float = 0.05) -> Column:
         "ELSE named_struct('low', k.low, 'mlow', CASE WHEN k.last < 0 THEN k.mlow / 2 ELSE k.mlow END, "
         "'high', level, 'mhigh', m, 'last', -1D, 'a', ends.a, 'b', ends.b) END"
     )))
-    secant = "CASE WHEN k.mlow > k.mhigh THEN (k.low * -k.mhigh + k.high * k.mlow) / (k.mlow - k.mhigh) ELSE k.low END"
+    level = (
+        "CASE WHEN k.last = 0 THEN top.f * 0.15D "
+        "ELSE (k.low * -k.mhigh + k.high * k.mlow) / (k.mlow - k.mhigh) END"
+    )
     start = (
         f"named_struct('low', 0D, 'mlow', 1D - {wanted}, 'high', top.f, 'mhigh', -{wanted}, "
         "'last', 0D, 'a', o.low, 'b', o.high)"
     )
-    found = f"aggregate(sequence(1, 10), {start}, (k, i) -> {sql_let('level', secant, moved)})"
+    settled = "k.mlow < 1e-10D AND k.last > 0 OR k.mhigh > -1e-10D AND k.last < 0"
+    found = (
+        f"aggregate(sequence(1, 9), {start}, (k, i) -> CASE WHEN {settled} THEN k ELSE {sql_let('level', level, moved)} END)"
+    )
     result = sql_let("last", found, "named_struct('lower', last.a, 'upper', last.b)")
     top = sql_let("d0", mode, f"named_struct('d', d0, 'f', {at('d0')})")
     order = (
-        "CASE WHEN c.sd <= t.sd THEN named_struct('x', c, 'y', t, 'sign', 1D) "
-        "ELSE named_struct('x', t, 'y', c, 'sign', -1D) END"
+        "CASE WHEN c.sd <= t.sd THEN named_struct('x', tc, 'y', tt, 'sign', 1D) "
+        "ELSE named_struct('x', tt, 'y', tc, 'sign', -1D) END"
     )
     shape = (
-        "named_struct('x', w.x, 'y', w.y, 'sign', w.sign, 'low', t.low - c.high, 'high', t.high - c.low, "
+        "named_struct('x', w.x, 'y', w.y, 'sign', w.sign, 'low', tt.low - tc.high, 'high', tt.high - tc.low, "
         f"'tiny', w.x.sd / 1000, 'mass', {_mass_sql('w.x')} * {_mass_sql('w.y')})"
     )
-    return _with_arms(sql_let("w", order, sql_let("o", shape, sql_let("top", top, result))))
+    body = sql_let("w", order, sql_let("o", shape, sql_let("top", top, result)))
+    trimmed = sql_let("tc", _trimmed_sql("c"), sql_let("tt", _trimmed_sql("t"), body))
+    return _with_arms(trimmed, many=quadrature(48), few=quadrature(24))
 
 
 def credible_intervals(

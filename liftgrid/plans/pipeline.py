@@ -59,7 +59,7 @@ def enroll(tables: ControlTables, features: DataFrame, experiments: Sequence[Exp
         [e.experiment_id for e in experiments],
     )
     return assignment_summary(
-        tables.experiments(), tables.read("variants"), tables.read("user_assignments")
+        tables.experiments(), tables.variants(), tables.user_assignments()
     )
 
 
@@ -84,7 +84,7 @@ def analyze_and_store(
     stats = materialize(compute_all_metrics(events, assignments, start, end), "arm-stats")
     if experiment_id is not None and stats.isEmpty():
         raise ValueError(f"No user assignments found for experiment {experiment_id!r}")
-    flags = tables.read("variants").select(
+    flags = tables.variants().select(
         "experiment_id", F.col("name").alias("variant"), "is_control"
     )
     stats = stats.join(flags, ["experiment_id", "variant"], "left")

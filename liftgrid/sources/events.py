@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from liftgrid.schemas import CLEAN_EVENTS, RAW_EVENTS
 
@@ -17,7 +21,7 @@ MISSING_TEXTS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Quotes are escaped by doubling; files whose header differs from the first one are
+# Quotes are escaped by doubling; a file whose header is not the one it is read with is
 # refused instead of being read by position.
 CSV_OPTIONS = {"header": "true", "escape": '"', "enforceSchema": "false"}
 
@@ -28,19 +32,44 @@ def blank_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def file_layouts(spark: SparkSession, files: str) -> list[tuple[list[str], list[str]]]:
+    """The headers found in the files, each with the files that have it.
+
+    The first line of every file is found on the executors; the driver gets one row per
+    header with its paths, which a reader lists anyway.
+    """
+    lines = spark.read.text(files).select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"),
+    )
+    first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [
+        (next(csv.reader([row.header.removeprefix("\ufeff")])), [unquote(p) for p in row.paths])
+        for row in groups.orderBy("header").collect()
+    ]
+
+
 def read_raw_events(spark: SparkSession, directory: str, multi_line: bool = False) -> DataFrame:
     """All ``*.csv`` files of a directory as text columns; fails when there is none.
 
-    ``multi_line`` reads quoted cells that hold line breaks; a file is then one task.
+    Files may differ in their columns and the order of them: those of one header are read
+    together, and a column that a file lacks is NULL there. A column that all files lack is
+    an error if cleaning needs it. ``multi_line`` reads quoted cells that hold line breaks; a
+    file is then one task.
     """
-    files = f"{directory.rstrip('/')}/*.csv"
-    reader = spark.read.options(**CSV_OPTIONS, multiLine=multi_line)
-    header = reader.csv(files).schema  # one line of the first file, nothing is inferred
+    layouts = file_layouts(spark, f"{directory.rstrip('/')}/*.csv")
+    present = {name for names, _ in layouts for name in names}
     needed = [c for c in RAW_EVENTS.names if c not in ("category_id", "category_code", "brand")]
-    absent = [c for c in needed if c not in header.names]
+    absent = [c for c in needed if c not in present]
     if absent:
         raise ValueError(f"raw events in {directory} lack columns {absent}")
-    return blank_to_null(reader.schema(header).csv(files))
+    reader = spark.read.options(**CSV_OPTIONS, multiLine=multi_line)
+    parts = [
+        blank_to_null(reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(paths))
+        for names, paths in layouts
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_events(

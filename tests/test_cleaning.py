@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from liftgrid.operators.cleaning import clean_events, cleaning_report
 from liftgrid.schemas import CLEAN_EVENTS
-from liftgrid.sources.events import read_events, read_raw_events, register_events, write_events
+from liftgrid.sources.events import file_layouts, read_events, read_raw_events, register_events, write_events
 
 HEADER = (
     "event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session"
@@ -57,7 +57,7 @@ def test_all_files_of_a_directory_are_read(spark, tmp_path):
     assert clean_events(read_raw_events(spark, str(tmp_path))).count() == 2
 
 
-def test_missing_files_columns_and_reordered_headers_fail(spark, tmp_path):
+def test_missing_files_and_columns_fail(spark, tmp_path):
     with pytest.raises(AnalysisException):
         read_raw_events(spark, str(tmp_path))
     bad = tmp_path / "bad"
@@ -65,15 +65,29 @@ def test_missing_files_columns_and_reordered_headers_fail(spark, tmp_path):
     write_csv(bad / "a.csv", "x,y", header="event_time,user_id")
     with pytest.raises(ValueError, match="lack columns"):
         read_raw_events(spark, str(bad))
-    mixed = tmp_path / "mixed"
-    mixed.mkdir()
-    write_csv(mixed / "a.csv", "2020-01-01 10:00:00 UTC,view,p1,1,c,b,1,u1,s1")
+
+
+def test_files_of_different_headers_are_read_by_name(spark, tmp_path):
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    write_csv(folder / "a.csv", "2020-01-01 10:00:00 UTC,view,p1,1,c,b,1,u1,s1")
     write_csv(
-        mixed / "b.csv", "view,2020-01-01 10:00:00 UTC,p1,1,c,b,1,u1,s1",
+        folder / "b%20.csv", "view,2020-01-02 10:00:00 UTC,p1,1,c,b,1,u2,s1",
         header=HEADER.replace("event_time,event_type", "event_type,event_time"),
     )
-    with pytest.raises(Exception, match="header|Header"):
-        clean_events(read_raw_events(spark, str(mixed))).collect()
+    write_csv(
+        folder / "c.csv", "u3,2020-01-03 10:00:00 UTC,cart,p1,2.5,s1", "u4,2020-01-03 10:00:00 UTC,cart,p1,2.5,s1",
+        header="user_id,event_time,event_type,product_id,price,user_session",
+    )
+    (folder / "empty.csv").write_text("")
+    write_csv(folder / "d.csv", "2020-01-04 10:00:00 UTC,view,p1,1,c,b,1,u5,s1")
+    layouts = file_layouts(spark, f"{folder}/*.csv")
+    assert sorted(len(paths) for _, paths in layouts) == [1, 1, 2]
+    rows = {r.user_id: r for r in clean_events(read_raw_events(spark, str(folder))).collect()}
+    assert set(rows) == {"u1", "u2", "u3", "u4", "u5"}
+    assert [rows[f"u{k}"].date.day for k in range(1, 6)] == [1, 2, 3, 3, 4]
+    assert rows["u3"].event_type == "cart" and rows["u3"].price == 2.5 and rows["u3"].brand is None
+    assert rows["u2"].event_type == "view" and rows["u2"].brand == "b"
 
 
 def test_event_table_round_trip_prunes_dates(spark, tmp_path):

@@ -1,14 +1,16 @@
 """Control tables, the end-to-end jobs, and incremental ingestion."""
 
 import random
+from multiprocessing.pool import ThreadPool
 
 import pytest
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from liftgrid.operators.assignment import Experiment, experiments_frame, variants_frame
 from liftgrid.plans.pipeline import analyze_and_store, build_tables, enroll
 from liftgrid.schemas import CLEAN_EVENTS, USER_FEATURES
-from liftgrid.sources.control_tables import ControlTables, newest_results
+from liftgrid.sources.control_tables import ControlTables, absent_rows, newest_results
 from liftgrid.sources.events import read_events, read_features
 from liftgrid.streaming.ingest import ingest_events, raw_event_stream
 from tests.test_cleaning import write_csv
@@ -141,3 +143,38 @@ def test_stream_ingests_each_file_once(spark, tmp_path):
     write_csv(raw / "2020-03.csv", "2020-03-01 10:00:00 UTC,view,p1,1,c,b,1,u1,s1", "2020-03-01 10:00:00 UTC,bogus,p1,1,c,b,1,u1,s1")
     again = run()
     assert again.count() == first + 1 and again.filter(F.col("date") == "2020-03-01").count() == 1
+
+
+def test_jobs_that_insert_at_once_leave_one_row_per_key(spark, tables):
+    """Both jobs find every user absent; all readers agree on one variant of each."""
+    tables.add_experiments(experiments_frame(spark, EXPERIMENTS))
+    schema = "user_id string, experiment_id string, variant_id string"
+
+    def job(variant):
+        mine = ControlTables(spark, tables.database, tables.location)
+        mine.add_variants(variants_frame(spark, EXPERIMENTS))
+        rows = [(f"u{i}", e, f"{e}_{variant}") for i in range(200) for e in ("exp_A", "exp_B")]
+        mine._append("user_assignments", absent_rows(
+            spark.createDataFrame(rows, schema), mine.read("user_assignments").filter("false"), ["user_id", "experiment_id"]
+        ).withColumn("assigned_at", F.current_timestamp()))
+
+    with ThreadPool(4) as pool:
+        pool.map(inheritable_thread_target(spark)(job), ["control", "treatment", "control", "treatment"])
+    assert tables.read("user_assignments").count() == 4 * 400
+    first = {(r.user_id, r.experiment_id): r.variant for r in tables.assignments().collect()}
+    assert len(first) == 400 == tables.assignments().count() and tables.variants().count() == 4
+    again = ControlTables(spark, f"{tables.database}_again", tables.location)
+    again.create()
+    assert {(r.user_id, r.experiment_id): r.variant for r in again.assignments().collect()} == first
+    tables.add_assignments(spark.createDataFrame([("u1", "exp_A", "exp_A_treatment"), ("new", "exp_A", "exp_A_control")], schema))
+    assert tables.assignments("exp_A").count() == 201
+
+
+def test_a_batch_is_seen_whole_or_not_at_all(spark, tables):
+    rows = variants_frame(spark, EXPERIMENTS)
+    broken = rows.withColumn("name", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        tables._append("variants", broken)
+    assert tables.read("variants").count() == 0
+    tables.add_variants(rows)
+    assert tables.variants().count() == 4

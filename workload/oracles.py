@@ -451,6 +451,14 @@ def all_oracles() -> dict[str, str]:
         "events_table": f"""WITH {CLEAN} SELECT date, event_type, count(*) AS n_events,
               count(DISTINCT user_id) AS n_users, round(sum(price), 4) AS total_price
             FROM ev GROUP BY date, event_type""",
+        "raw_event_files": f"""WITH {CLEAN}, cells AS (
+              SELECT * REPLACE (CASE WHEN product_id = '17' THEN NULL ELSE event_time END AS event_time,
+                                CASE WHEN product_id = '13' THEN 0.0 ELSE price END AS price,
+                                CASE WHEN product_id = '17' THEN NULL ELSE date END AS date,
+                                CASE WHEN product_id = '17' THEN NULL ELSE hour_of_day END AS hour_of_day) FROM ev)
+            SELECT * FROM cells""",
+        "stored_assignments": f"WITH {CLEAN}, {ASSIGNED} SELECT user_id, experiment_id, variant FROM asg",
+        "stored_features": features_sql(CLEAN_ORDERS) + FEATURES_SELECT,
         "user_features": features_sql(CLEAN) + FEATURES_SELECT,
         "user_features_orders": features_sql(CLEAN_ORDERS) + FEATURES_SELECT,
         "user_features_as_of": features_sql(CLEAN, "date < DATE '2024-01-16'") + FEATURES_SELECT,
@@ -484,15 +492,13 @@ def all_oracles() -> dict[str, str]:
             f"""WITH {EXPS}, {assign("SELECT DISTINCT o_custkey::VARCHAR AS user_id, o_orderpriority FROM orders")},
             seg AS (SELECT experiment_id || '/' || o_orderpriority AS experiment_id, variant FROM asg)""",
             "seg", ""),
-        "insert_if_absent": f"""WITH u AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS user_id,
-              {bucket('c_custkey::VARCHAR', "'exp_A'")} % 2 AS side FROM customer),
-            o AS (SELECT DISTINCT o_custkey AS k FROM orders)
-            SELECT o.k::VARCHAR AS user_id, 'exp_A' AS experiment_id,
-                   CASE WHEN {bucket('o.k::VARCHAR', "'exp_A'")} % 2 = 0
-                        THEN 'control' ELSE 'treatment' END AS variant FROM o
-            UNION ALL
-            SELECT user_id, 'exp_A', CASE WHEN side = 0 THEN 'treatment' ELSE 'control' END
-            FROM u WHERE k NOT IN (SELECT k FROM o)""",
+        "insert_if_absent": f"""WITH {EXPS},
+            u AS (SELECT c_custkey::VARCHAR AS user_id, c_custkey IN (SELECT o_custkey FROM orders) AS known FROM customer
+                  UNION SELECT o_custkey::VARCHAR, TRUE FROM orders),
+            b AS (SELECT *, {bucket('user_id', 'experiment_id')} AS slot FROM u CROSS JOIN exps)
+            SELECT user_id, experiment_id,
+                   variants[CASE WHEN known THEN slot % len(variants) + 1 ELSE len(variants) - slot % len(variants) END::INTEGER] AS variant
+            FROM b WHERE slot < threshold""",
         "conversion_rate": f"""{ARMS} SELECT experiment_id, variant, n_users, n_converters,
             round(n_converters::DOUBLE / n_users, 8) AS conversion_rate FROM arms""",
         "revenue_per_user": f"""{WHOLE_ARMS} SELECT experiment_id, variant, n_users,
@@ -762,6 +768,10 @@ def all_oracles() -> dict[str, str]:
             f"FROM (SELECT experiment_id, {place} AS place, unnest([{rows}]) AS n FROM ({found[source]}))"
         )
 
+    found["stored_results"] = (
+        "SELECT experiment_id, experiment_id || '_' || variant AS variant_id, metric_name, value, ci_lower, ci_upper, p_value "
+        f"FROM ({found['result_rows']})"
+    )
     found["analyze_parts"] = " UNION ALL ".join([
         part("variants", "all_metrics", ["n_users", "conversion_rate", "mean_revenue", "add_to_cart_rate"]),
         part("frequentist", "analyze_tests", ["p_value"], "metric || ' ' || variant"),

@@ -7,6 +7,7 @@ log every user converts and no test is defined; revenue counts the whole log eve
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -32,8 +33,15 @@ from liftgrid.plans import analysis, report
 from liftgrid.plans.testing import run_tests
 from liftgrid.session import materialize, prepare, scratch_root
 from liftgrid.sources import adapters
-from liftgrid.sources.control_tables import absent_rows, newest_results, resolve_variants, stopped
-from liftgrid.sources.events import read_events, register_events, write_events
+from liftgrid.sources.control_tables import ControlTables, absent_rows, newest_results, resolve_variants, stopped
+from liftgrid.sources.events import (
+    read_events,
+    read_features,
+    read_raw_events,
+    register_events,
+    write_events,
+    write_features,
+)
 
 EXPERIMENTS = (
     Experiment("exp_A", name="Page layout", start=dt.datetime(2024, 1, 1), end=dt.datetime(2024, 1, 3)),
@@ -156,13 +164,77 @@ def q_clean_events(spark, sf_dir):
     )
 
 
+def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as cells of raw files, with unreadable times and prices for some products."""
+    events = adapters.events_table(prepare(spark), sf_dir)
+    time = F.concat(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" UTC"))
+    return events.withColumns({
+        "event_time": F.when(F.col("product_id") == "17", "some day").otherwise(time),
+        "price": F.when(F.col("product_id") == "13", "n/a").otherwise(F.col("price").cast("string")),
+    })
+
+
+def q_raw_event_files(spark, sf_dir):
+    """Files of two headers, one with fewer columns in another order, read as one clean log."""
+    folder = f"{scratch_root(prepare(spark))}/liftgrid/raw-{uuid.uuid4().hex}"
+    cells = raw_texts(spark, sf_dir)
+    short = ["user_session", "user_id", "price", "event_type", "event_time", "product_id", "category_code"]
+    odd = F.col("product_id").cast("bigint") % 2 == 1
+    cells.filter(~odd).write.csv(folder, header=True)
+    cells.filter(odd).select(*short).write.mode("append").csv(folder, header=True)
+    return cleaning.clean_events(read_raw_events(spark, folder)).select(
+        F.col("event_time").cast("timestamp_ntz").alias("event_time"),
+        "event_type", "product_id", "category_code", "price", "user_id", "user_session",
+        "date", "hour_of_day",
+    )
+
+
+def control_tables(spark: SparkSession) -> ControlTables:
+    """New tables in a database and folder of their own, with the experiments in them."""
+    name = uuid.uuid4().hex
+    tables = ControlTables(prepare(spark), f"liftgrid_{name}", f"{scratch_root(spark)}/liftgrid/control-{name}")
+    tables.create()
+    for _ in range(2):  # repeating it changes nothing
+        tables.add_experiments(asg.experiments_frame(spark, EXPERIMENTS))
+        tables.add_variants(asg.variants_frame(spark, EXPERIMENTS))
+    return tables
+
+
+def q_stored_assignments(spark, sf_dir):
+    """Stored once, then again with the arms swapped: the first assignment of a user wins."""
+    tables = control_tables(spark)
+    users = asg.distinct_users(clean(spark, sf_dir))
+    for experiments in (EXPERIMENTS, [replace(e, variants=e.variants[::-1]) for e in EXPERIMENTS]):
+        rows = asg.assign_all_users(users, experiments)
+        tables.add_assignments(rows.withColumn("variant_id", F.concat_ws("_", "experiment_id", "variant")))
+    return tables.assignments()
+
+
+def q_stored_results(spark, sf_dir):
+    """Result rows appended to the table and read back, newest of each metric."""
+    tables = control_tables(spark)
+    stats = materialize(arms(spark, sf_dir), "arm-stats")
+    rows = analysis.result_rows(stats, run_tests(metrics.pair_with_control(stats)))
+    tables.add_results(rows.withColumn("value", F.col("value") - 1))
+    tables.add_results(rows)
+    newest = newest_results(tables.read("experiment_results"))
+    return rounded(newest.drop("computed_at"), value=6, ci_lower=4, ci_upper=4, p_value=6)
+
+
+def q_stored_features(spark, sf_dir):
+    """The feature table written and read back."""
+    path = f"{scratch_root(prepare(spark))}/liftgrid/features-{uuid.uuid4().hex}"
+    write_features(_feature_columns(features.user_features(clean_orders(spark, sf_dir))), path)
+    return read_features(spark, path)
+
+
 def q_cleaning_report(spark, sf_dir):
     return cleaning.cleaning_report(adapters.events_table(prepare(spark), sf_dir))
 
 
 def q_events_table(spark, sf_dir):
     """Write the clean table, read four of its columns back, query them as a view."""
-    path = f"{scratch_root(prepare(spark))}/liftgrid/events-{dt.datetime.now().timestamp()}"
+    path = f"{scratch_root(prepare(spark))}/liftgrid/events-{uuid.uuid4().hex}"
     write_events(clean(spark, sf_dir), path)
     stored = read_events(spark, path, ["date", "event_type", "user_id", "price"])
     register_events(stored, "liftgrid_events")
@@ -271,10 +343,10 @@ def q_insert_if_absent(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
     existing = asg.assign_all_users(
-        orders.select(F.col("o_custkey").alias("user_id")).distinct(), EXPERIMENTS[:1]
+        orders.select(F.col("o_custkey").alias("user_id")).distinct(), EXPERIMENTS
     )
-    swapped = Experiment("exp_A", ("treatment", "control"))
-    new = asg.assign_all_users(customers.select(F.col("c_custkey").alias("user_id")), [swapped])
+    swapped = [replace(e, variants=e.variants[::-1]) for e in EXPERIMENTS]
+    new = asg.assign_all_users(customers.select(F.col("c_custkey").alias("user_id")), swapped)
     fresh = absent_rows(new, existing, ["user_id", "experiment_id"])
     return existing.unionByName(fresh)
 
