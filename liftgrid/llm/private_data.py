@@ -147,8 +147,8 @@ def glyph(char: str) -> str:
     return plain if len(plain) == 1 and plain.isascii() else char
 
 
-# Outside of ASCII and Latin letters, where nothing is a look-alike but these three.
-ODD = re.compile("[^\x00-\x9f\xa1-\xac\xae-\xb6\xb8-İĲ-ɏ]")
+# Outside of ASCII and Latin letters, where only blanks, a middle dot, raised digits and ı are look-alikes.
+ODD = re.compile("[^\x00-\x9f\xa1-\xac\xae-\xb1\xb4-\xb6\xb8\xba-İĲ-ɏ]")
 
 
 def undo_glyphs(tape: Tape) -> None:
@@ -159,7 +159,7 @@ def undo_glyphs(tape: Tape) -> None:
 
 OPEN, CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 DOT = re.compile(rf"(?i){OPEN}(?:\.|{DOT_WORDS}){CLOSE}|&#0*46;|&#x0*2e;|&period;|%2e|(?<![ _-])[ _-]{{1,4}}dot[ _-]{{1,4}}")
-AT = re.compile(rf"(?i){OPEN}(?:@|{AT_WORDS}){CLOSE}|&#0*64;|&#x0*40;|&commat;|%40| @|@ ")
+AT = re.compile(rf"(?i){OPEN}(?:@|{AT_WORDS}){CLOSE}|(?<=[a-z0-9])[\[({{]a[\])}}](?=[a-z0-9])|&#0*64;|&#x0*40;|&commat;|%40| @|@ ")
 WIDE = re.compile(rf"[ ]{{1,3}}(?:(?i:{DOT_WORDS})[ ]{{1,3}}(?=[A-Za-z0-9])|\.[ ]{{1,3}}(?=[a-z0-9]))")
 BARE = re.compile(r"(?i)(?<=[A-Za-z0-9])(?:[ ]{1,3}|[_-])(?:at|arroba|arobase)(?:[ ]{1,3}|[_-])(?=[A-Za-z0-9-]+(?:\.|[ ]{1,3}\w))")
 # Quick signs of disguised marks in lower-cased text: few texts have one.
@@ -232,7 +232,7 @@ _TOKEN = rf"(?:(?:double|triple)[ ])?(?:{_WORD})|[0-9]{{1,4}}"
 SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_TOKEN})(?:{_BETWEEN}(?:{_TOKEN}))+(?![^\W_])")
 PIECES = re.compile(rf"(?i)((?:double|triple)[ ])?({_WORD})|([0-9]+)|([^A-Za-z0-9]+)")
 #: Lower-cases ASCII and turns marks between words into blanks.
-SPLITTER = bytes(32 if chr(b) in ",.()-" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+SPLITTER = bytes(32 if chr(b) in ",.:;()-@" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 DIGIT_BYTES = frozenset(w.encode() for w in DIGIT_WORDS) | {w.upper().encode().lower() for w in DIGIT_WORDS}
 PLUS = re.compile(rf"(?i)(?<![^\W_])plus[ ]{{1,2}}(?=[0-9]|(?:{_WORD})(?![^\W_]))")
 MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoQIl|]*[0-9][0-9OoQIl|]*(?![A-Za-z0-9])")
@@ -240,20 +240,20 @@ LETTERED = re.compile(r"[OoQIl|][0-9]|[0-9][OoQIl|]")
 
 
 def spells_digits(text: str) -> bool:
-    """Do two digit words follow each other? Quick, so that few texts meet the slower pattern."""
+    """Does a digit word stand beside another or a number? Quick, so that few texts meet the slower pattern."""
     words = text.encode().translate(SPLITTER).split()
     if DIGIT_BYTES.isdisjoint(words):
         return False
-    at = [k for k, w in enumerate(words) if w in DIGIT_BYTES]
-    return any(b - a <= 2 for a, b in zip(at, at[1:]))
+    near = lambda k: 0 <= k < len(words) and (words[k] in DIGIT_BYTES or words[k].isdigit())
+    return any(near(k - 2) or near(k - 1) or near(k + 1) or near(k + 2) for k, w in enumerate(words) if w in DIGIT_BYTES)
 
 
 def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
-    """Digit words, and the blanks between two of them, in runs that hold two or more."""
+    """Digit words, and the blanks between two of them, where a run has two or numbers on both sides of one."""
     for run in SPELLED.finditer(text):
         parts = list(PIECES.finditer(text, run.start(), run.end()))
         word = [p.group(2) is not None for p in parts]
-        if sum(word) < 2:
+        if sum(word) < 2 and (word[0] or word[-1] or not any(word)):
             continue
         for k, p in enumerate(parts):
             if word[k]:
@@ -263,10 +263,14 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
                 yield p.start(), p.end(), ""
 
 
+NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9])[ ]{{1,3}}(?:\.|{DOT_WORDS})[ ]{{1,3}}(?=[0-9])")
+
+
 def undo_digits(tape: Tape) -> None:
     if spells_digits(tape.text):
         tape.rewrite(_spelled(tape.text))
     if DIGIT.search(tape.text):
+        tape.rewrite([(m.start(), m.end(), ".") for m in NUMBER_DOT.finditer(tape.text)])
         tape.rewrite([(m.start(), m.end(), "+") for m in PLUS.finditer(tape.text)])
         if LETTERED.search(tape.text):
             tape.rewrite([(a, a + 1, tape.text[a].translate(LETTERS_AS_DIGITS)) for m in MIXED.finditer(tape.text)

@@ -155,21 +155,25 @@ DISGUISED = {
         "jоhn.smith@exаmple.com", "john at example dot com", "john dot smith at example dot com", "user&#64;example&#46;com",
         "user_at_example_dot_com", "user AT example DOT com", "klaus(at)firma(punkt)de", "juan arroba correo punto es",
         "j.doe{at}mail{dot}org", "a.34 @ mail7 . example . com", "a.34[@]mail7[.]example[.]com", "a.34 at mail7.example.com",
-        "a.34​@mail7.exa­mple.com",
+        "a.34​@mail7.exa­mple.com", "a.34(a)mail7.example.com", "a dot three four at mail7 dot example dot com",
     ],
     "ip": [
         "129[.]38[.]82[.]176", "129 dot 38 dot 82 dot 176", "129(dot)38(dot)82(dot)176", "１２９.38.82.176", "١٢٩.٣٨.٨٢.١٧٦",
         "one two nine dot three eight dot eight two dot one seven six", "one dot two dot three dot four",
+        "129 . 38 . 82 . 176", "129 point 38 point 82 point 176", "eins zwei neun punkt drei acht punkt acht zwei punkt eins sieben sechs",
+        "129.38.eight two.176", "①②⑨.38.82.176", "129.38.82.¹⁷⁶",
     ],
     "card": [
         "4845–1681–1440–7329", "４８４５１６８１１４４０７３２９", "4845​168114407329",
         "four eight four five one six eight one one four four zero seven three two nine",
         "quatre huit quatre cinq un six huit un un quatre quatre zéro sept trois deux neuf",
-        "vier acht vier fünf eins sechs acht eins eins vier vier null sieben drei zwei neun", "4845 I68l 144O 7329",
+        "vier acht vier fünf eins sechs acht eins eins vier vier null sieben drei zwei neun", "4845 I68l 144O 7329", 
+        "4845 1681 14 four zero 7329", "4845 168 one 1440 7329",
     ],
     "phone": [
         "+1 four one five five five five seven seven one three", "plus one (four one five) 555-7713", "+1 (O17) 555-77l3", "+١ (٤١٥) ٥٥٥-٧٧١٣",
-        "＋1 (415) 555‑7713", "plus 1 415 555 7713", "+1 four one five triple five 7713",
+        "＋1 (415) 555‑7713", "plus 1 415 555 7713", "+1 four one five triple five 7713", "+1 (415) 555-seven seven one three",
+        "plus one, four one five, five five five, seven seven one three",
     ],
 }
 
