@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from liftgrid.functions.distributions import normal_quantile, student_two_sided
 from liftgrid.operators.frequentist import spread_struct
@@ -51,34 +51,51 @@ def adjusted_conversion_rate(weighted: DataFrame, by: Sequence[str] = EXPERIMENT
     )
 
 
+def _merged(states: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """States (w, mean, ss) of the same key as one: squares add up around the common mean."""
+    total = states.assign(wm=states.w * states["mean"]).groupby(keys, dropna=False, sort=False)
+    centre = total.wm.transform("sum") / total.w.transform("sum")
+    ss = states.ss + states.w * (states["mean"] - centre) ** 2
+    rows = states.assign(ss=ss, mean=centre).groupby(keys, dropna=False, sort=False, as_index=False)
+    return rows.agg(w=("w", "sum"), mean=("mean", "first"), ss=("ss", "sum"))
+
+
 def weighted_moments(weighted: DataFrame, value: str, by: Sequence[str] = EXPERIMENT) -> DataFrame:
     """Weight sum, weighted mean and weighted variance (ddof 1) of both arms, in one read.
 
-    Weight, mean and squared deviation are a state that rows update and partial results
-    merge, so nothing cancels when the mean is large against the spread. Rows without a
-    value or weight do not count.
+    A task turns its rows into one state (weight, mean, squared deviation) per arm, Arrow batch
+    by batch, and states merge around their common mean, so nothing cancels when the mean is
+    large against the spread. (Spark's own weighted summary loses the variance there: it adds
+    a term of the mean's square times a rounding error.) Rows without a value or with no
+    positive weight do not count.
     """
+    keys = [*by, "treatment"]
     x, w = F.col(value).cast("double"), F.col("weight").cast("double")
-    state = Summarizer.metrics("mean", "variance").summary(F.col("_x"), F.col("_w"))
-    arms = (
-        weighted.filter(x.isNotNull() & w.isNotNull())
-        .select(*by, "treatment", array_to_vector(F.array(x)).alias("_x"), w.alias("_w"))
-        .groupBy(*by, "treatment")
-        .agg(state.alias("s"), F.sum("_w").alias("_sum"), F.sum(F.col("_w") * F.col("_w")).alias("_ww"))
-    )
-    # the state's variance is over W - sum(w^2) / W; the squared deviation undoes that
-    weight = F.col("_sum")
-    squares = vector_to_array("s.variance")[0] * (weight - F.col("_ww") / weight)
-    arms = arms.select(
-        *by, "treatment",
-        F.struct(weight.alias("w"), vector_to_array("s.mean")[0].alias("mean"), squares.alias("ss")).alias("arm"),
+    rows = weighted.filter(x.isNotNull() & (w > 0)).select(*keys, x.alias("mean"), w.alias("w"), F.lit(0.0).alias("ss"))
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states = [_merged(batch, keys) for batch in batches if len(batch)]
+        if states:
+            yield _merged(pd.concat(states), keys)
+
+    spec = T.StructType([*[rows.schema[c] for c in keys], *[T.StructField(c, T.DoubleType()) for c in ("w", "mean", "ss")]])
+    states = rows.mapInPandas(summed, spec)  # at most one row per arm and task
+    arm = Window.partitionBy(*keys)
+    centre = F.sum(F.col("w") * F.col("mean")).over(arm) / F.sum("w").over(arm)
+    states = states.withColumn("centre", centre)
+    gap = F.col("mean") - F.col("centre")
+    arms = states.groupBy(*keys).agg(
+        F.struct(
+            F.sum("w").alias("w"), F.first("centre").alias("mean"),
+            F.sum(F.col("ss") + F.col("w") * gap * gap).alias("ss"),
+        ).alias("arm")
     )
     both = arms.groupBy(*by).agg(
-        *[F.max(F.when(F.col("treatment") == flag, F.col("arm"))).alias(arm) for arm, flag in (("c", 0), ("t", 1))]
+        *[F.max(F.when(F.col("treatment") == flag, F.col("arm"))).alias(name) for name, flag in (("c", 0), ("t", 1))]
     )
-    columns = {f"{arm}_{name}": F.col(arm)[name] for arm in ("c", "t") for name in ("w", "mean", "ss")}
+    columns = {f"{name}_{part}": F.col(name)[part] for name in ("c", "t") for part in ("w", "mean", "ss")}
     columns |= {
-        f"{arm}_var": F.when(F.col(arm)["w"] > 1, F.col(arm)["ss"] / (F.col(arm)["w"] - 1)) for arm in ("c", "t")
+        f"{name}_var": F.when(F.col(name)["w"] > 1, F.col(name)["ss"] / (F.col(name)["w"] - 1)) for name in ("c", "t")
     }
     return both.withColumns(columns).drop("c", "t")
 

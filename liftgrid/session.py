@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -60,16 +61,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
 
 
+_written: dict[str, list[str]] = {}
+
+
+def _delete_written(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context._jsc is None:  # stopped before
+        return
+    for path in _written.pop(context.applicationId, []):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the scratch folder; it is deleted when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _written:
+        _written[app] = []
+        atexit.register(_delete_written, spark)
+    path = f"{scratch_root(spark)}/liftgrid/{label}-{uuid.uuid4().hex}"
+    _written[app].append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Compute ``df`` once into a table in the scratch folder and read it back.
 
     Used where several operators consume one intermediate: a written table is computed
     once, survives executor loss, keeps column pruning and gives the planner true sizes.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/liftgrid/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize_small(df: DataFrame, label: str, max_rows: int = 500) -> DataFrame:

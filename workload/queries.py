@@ -31,7 +31,7 @@ from liftgrid.operators.propensity import (
 )
 from liftgrid.plans import analysis, report
 from liftgrid.plans.testing import run_tests
-from liftgrid.session import materialize, prepare, scratch_root
+from liftgrid.session import materialize, prepare, scratch_path
 from liftgrid.sources import adapters
 from liftgrid.sources.control_tables import ControlTables, absent_rows, newest_results, resolve_variants, stopped
 from liftgrid.sources.events import (
@@ -176,7 +176,7 @@ def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_raw_event_files(spark, sf_dir):
     """Files of two headers, one with fewer columns in another order, read as one clean log."""
-    folder = f"{scratch_root(prepare(spark))}/liftgrid/raw-{uuid.uuid4().hex}"
+    folder = scratch_path(prepare(spark), "raw")
     cells = raw_texts(spark, sf_dir)
     short = ["user_session", "user_id", "price", "event_type", "event_time", "product_id", "category_code"]
     odd = F.col("product_id").cast("bigint") % 2 == 1
@@ -191,8 +191,7 @@ def q_raw_event_files(spark, sf_dir):
 
 def control_tables(spark: SparkSession) -> ControlTables:
     """New tables in a database and folder of their own, with the experiments in them."""
-    name = uuid.uuid4().hex
-    tables = ControlTables(prepare(spark), f"liftgrid_{name}", f"{scratch_root(spark)}/liftgrid/control-{name}")
+    tables = ControlTables(prepare(spark), f"liftgrid_{uuid.uuid4().hex}", scratch_path(spark, "control"))
     tables.create()
     for _ in range(2):  # repeating it changes nothing
         tables.add_experiments(asg.experiments_frame(spark, EXPERIMENTS))
@@ -223,7 +222,7 @@ def q_stored_results(spark, sf_dir):
 
 def q_stored_features(spark, sf_dir):
     """The feature table written and read back."""
-    path = f"{scratch_root(prepare(spark))}/liftgrid/features-{uuid.uuid4().hex}"
+    path = scratch_path(prepare(spark), "features")
     write_features(_feature_columns(features.user_features(clean_orders(spark, sf_dir))), path)
     return read_features(spark, path)
 
@@ -234,7 +233,7 @@ def q_cleaning_report(spark, sf_dir):
 
 def q_events_table(spark, sf_dir):
     """Write the clean table, read four of its columns back, query them as a view."""
-    path = f"{scratch_root(prepare(spark))}/liftgrid/events-{uuid.uuid4().hex}"
+    path = scratch_path(prepare(spark), "events")
     write_events(clean(spark, sf_dir), path)
     stored = read_events(spark, path, ["date", "event_type", "user_id", "price"])
     register_events(stored, "liftgrid_events")
@@ -726,8 +725,7 @@ def q_propensity_score_equations(spark, sf_dir):
 
 def q_latest_results(spark, sf_dir):
     """Daily rates as successive runs of the result table; the last run counts."""
-    daily = metrics.daily_conversion(clean(spark, sf_dir), assignments(spark, sf_dir))
-    runs = daily.select(
+    runs = daily(spark, sf_dir).select(
         "experiment_id",
         F.concat_ws("_", "experiment_id", "variant").alias("variant_id"),
         F.lit("conversion_rate").alias("metric_name"),
