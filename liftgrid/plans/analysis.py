@@ -15,6 +15,7 @@ from liftgrid.operators.bayes import (
     highest_density_interval,
     posterior_params,
     probability_treatment_better,
+    spread,
 )
 from liftgrid.operators.corrections import apply_corrections
 from liftgrid.operators.features import user_features
@@ -88,7 +89,7 @@ def _arm_parts(pairs: DataFrame, metrics: Sequence[str], method: str) -> DataFra
         F.struct(F.lit("bayesian").alias("part"), nothing.alias("test"), posterior.alias("posterior")),
         F.struct(F.lit("sample_size_analysis").alias("part"), nothing.alias("test"), F.lit(None).cast(_POSTERIOR).alias("posterior")),
     )
-    rows = with_sizing(posterior_params(pairs)).withColumn("_row", F.explode(F.concat(tests, others)))
+    rows = with_sizing(posterior_params(spread(pairs))).withColumn("_row", F.explode(F.concat(tests, others)))
     rows = rows.select(
         KEY, "variant", *[c for c in SAMPLE_SIZE.names if c != "variant"], F.col("_row.part").alias("part"),
         "_row.test.*", F.col("_row.posterior").alias("posterior"),
