@@ -13,11 +13,13 @@
   of class 0 all sentences are negative, of class 1 the sentence with the strongest word is
   positive. A text's score is a sigmoid of its worst sentence's margin and of the number of
   sentences on the positive side (Platt scaling with two inputs).
-* Triples of a string are looked up in a table of the landmarks' triples, so a string costs
-  the same however many landmarks share it; strings seen before in a task are not redone.
+* Triples of a string are looked up in an inverted list of the landmarks' triples, so a string
+  costs what its triples share with landmarks; strings seen before in a task are not redone.
 
 The machine is fitted on at most ``sample`` labelled rows of each class, those with the least
-hash of their id. Every text is scored whole, in one pass without a shuffle.
+hash of their id. Their sentences stay in a table: each Newton step of the squared hinge loss
+is one job whose tasks send a matrix of landmarks x landmarks, and the driver holds one
+sentence per text of class 1. Every text is scored whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftgrid.llm.common import U64, PrefixHash, batch_of, bucket_of, ragged, schema, slices, utf8, words
+from liftgrid.llm.common import U64, PrefixHash, batch_of, bucket_of, ragged, schema, slices, stored, utf8, words
 
 SPAN, DECAY, SHARPNESS, FLOOR = 9, 0.7, 8.0, 0.1
 #: Kernel values before sharpening: of a near string, and of a four-letter word with a letter put inside.
@@ -46,6 +48,9 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 SEEN = schema("doc bigint, word string")
 SCORED = schema("doc_id bigint, score double")
 BAGS = schema("doc bigint, label int, vector array<double>")
+STRONGEST = schema("doc bigint, strength double, vector array<double>")
+MARGINS = schema("doc bigint, label int, margin double")
+SUMS = schema("loss double, count bigint, products binary")
 
 
 def _classes() -> np.ndarray:
@@ -138,7 +143,9 @@ def features(flat, start, end):
 class Landmarks:
     table: np.ndarray  # triple x landmark, unit columns
     whiten: np.ndarray  # K_mm ** -1/2
-    used: np.ndarray  # triples that a landmark holds
+    starts: np.ndarray  # of each triple's entries in the inverted list
+    holder: np.ndarray  # landmark of an entry
+    held: np.ndarray  # its value
 
     @classmethod
     def of(cls, strings: list[str]) -> Landmarks:
@@ -149,7 +156,9 @@ class Landmarks:
         kernel = np.exp(-SHARPNESS * (1 - table.T.astype(np.float64) @ table))
         values, vectors = np.linalg.eigh(kernel)
         whiten = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-        return cls(table, whiten, table.any(axis=1))
+        triple, holder = np.nonzero(table)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(triple, minlength=LETTERS**3))])
+        return cls(table, whiten, starts, holder, table[triple, holder].astype(np.float64))
 
     def kernel(self, flat, start, end) -> tuple[np.ndarray, np.ndarray]:
         """Strings near a landmark and their kernel values; all others are below FLOOR."""
@@ -172,21 +181,20 @@ class Landmarks:
     def _near(self, flat, start, end) -> tuple[np.ndarray, np.ndarray]:
         """Strings that may reach LEAST, with their kernel values before sharpening."""
         who, what, value = features(flat, start, end)
-        hit = self.used[what]
-        who, what, value = who[hit], what[hit], value[hit]
+        count = self.starts[what + 1] - self.starts[what]
         # only strings that share enough weight with any landmark can be near one
-        mass = np.bincount(who, value.astype(np.float64) ** 2, minlength=1)
-        hit = np.sqrt(mass)[who] >= LEAST
-        who, what, value = who[hit], what[hit], value[hit]
+        mass = np.bincount(who, np.where(count > 0, value.astype(np.float64) ** 2, 0), minlength=1)
+        hit = (count > 0) & (np.sqrt(mass)[who] >= LEAST)
+        who, what, value, count = who[hit], what[hit], value[hit], count[hit]
+        width = self.table.shape[1]
         if not len(who):
-            return np.zeros(0, np.int64), np.zeros((0, self.table.shape[1]), np.float32)
-        first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-        near = np.empty((len(first), self.table.shape[1]), np.float32)
-        for a in range(0, len(first), 256):  # bounds the gathered rows
-            b = min(a + 256, len(first))
-            lo, hi = first[a], first[b] if b < len(first) else len(who)
-            near[a:b] = np.add.reduceat(self.table[what[lo:hi]] * value[lo:hi, None], first[a:b] - lo, axis=0)
-        return who[first], near
+            return np.zeros(0, np.int64), np.zeros((0, width), np.float32)
+        new = np.concatenate([[True], who[1:] != who[:-1]])
+        string = np.cumsum(new) - 1
+        entry = ragged(self.starts[what], count)
+        near = np.bincount(np.repeat(string, count) * width + self.holder[entry],
+                           np.repeat(value, count) * self.held[entry], minlength=(string[-1] + 1) * width)
+        return who[new], near.reshape(-1, width).astype(np.float32)
 
     def _without_inserted(self, flat, start, end, near) -> np.ndarray:
         """Kernel values of the strings without the inner letters that keep them from a landmark."""
@@ -319,17 +327,82 @@ def _bags(strings: list[str]):
     return run
 
 
-def hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, steps: int = 400) -> np.ndarray:
-    """Least squared hinge loss plus ridge by accelerated gradient steps; last weight is the bias."""
-    x = np.column_stack([x, np.ones(len(x))])
-    cost = cost / cost.sum()
-    step = 1 / (2 * np.linalg.eigvalsh((x * cost[:, None]).T @ x)[-1] + ridge)
-    w = ahead = np.zeros(x.shape[1])
-    for k in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - step * (-2 * x.T @ (cost * y * slack) + ridge * ahead)
-        ahead, w = new + k / (k + 3) * (new - w), new
-    return w
+def _strongest(whiten: np.ndarray, weights: np.ndarray | None):
+    """Each batch's strongest sentence of a text: by its margin, before there is one by its length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, x = batch.column("doc").to_numpy(), _matrix(batch, len(whiten))
+            strength = np.linalg.norm(x @ whiten, axis=1) if weights is None else x @ (whiten @ weights[:-1])
+            order = np.lexsort((*x.T, -strength, doc))
+            head = np.ones(len(order), bool)
+            head[1:] = doc[order][1:] != doc[order][:-1]
+            best = order[head]
+            yield batch_of(STRONGEST, doc[best], strength[best], batch.column("vector").take(pa.array(best)))
+    return run
+
+
+def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    column = batch.column("vector")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def _hinge_sums(whiten: np.ndarray, weights: np.ndarray):
+    """Sums of a task over sentences of class 0 that cost something: loss, vectors, their products."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(whiten)
+        loss, rows, products = 0.0, 0, np.zeros((width + 1, width + 1))
+        for batch in batches:
+            x = _matrix(batch, width)
+            slack = np.maximum(0, 1 + x @ (whiten @ weights[:-1]) + weights[-1])
+            x = np.column_stack([x, np.ones(len(x))])[slack > 0]
+            loss, rows, products = loss + float(slack @ slack), rows + batch.num_rows, products + x.T @ x
+        yield batch_of(SUMS, [loss], [rows], [products.tobytes()])
+    return run
+
+
+def newton(negative: DataFrame, positive: np.ndarray, whiten: np.ndarray, start: np.ndarray | None,
+           ridge: float = 1e-3, steps: int = 12) -> np.ndarray:
+    """Least squared hinge loss plus ridge; the last weight is the bias.
+
+    ``positive`` holds whitened sentences of class 1, ``negative`` a table of sentences of class
+    0, to which one like no landmark is added. Both classes have half of all weight. A step
+    that raises the loss is halved.
+    """
+    width = len(whiten)
+    turn = np.eye(width + 1)
+    turn[:width, :width] = whiten
+    x = np.column_stack([positive, np.ones(len(positive))])
+    w = np.zeros(width + 1) if start is None else start
+    before, least = None, np.inf
+    for _ in range(steps):
+        parts = negative.mapInArrow(_hinge_sums(whiten, w), SUMS).collect()
+        count = sum(p["count"] for p in parts) + 1
+        products = sum((np.frombuffer(p["products"]).reshape(width + 1, width + 1) for p in parts), np.zeros_like(turn))
+        blank = max(0.0, 1 + w[-1])
+        products[-1, -1] += blank > 0
+        products = turn.T @ products @ turn / (2 * count)
+        slack = np.maximum(0, 1 - x @ w)
+        active = x[slack > 0]
+        share = 1 / (2 * max(1, len(x)))
+        loss = (sum(p["loss"] for p in parts) + blank ** 2) / (2 * count) + share * float(slack @ slack) + ridge / 2 * float(w @ w)
+        if loss > least + 1e-12:
+            w = (w + before) / 2
+            continue
+        if least - loss < 1e-9:
+            break
+        # the bias is a column of ones, so the last column of the products is the vectors' sum
+        hessian = 2 * (products + share * active.T @ active) + ridge * np.eye(width + 1)
+        before, least = w, loss
+        w = np.linalg.solve(hessian, 2 * (share * active.sum(axis=0) - products[:, -1]))
+    return before
+
+
+def _margins(whiten: np.ndarray, weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margin = _matrix(batch, len(whiten)) @ (whiten @ weights[:-1]) + weights[-1]
+            yield batch_of(MARGINS, batch.column("doc"), batch.column("label"), margin)
+    return run
 
 
 def platt(inputs: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -376,32 +449,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
         strings = [r["word"] for r in told.orderBy(F.desc("told"), "word").limit(landmarks).collect()]
         if not strings:
             return base
-        # bounded by the sample: the sentences of its texts that have a word near a landmark
-        bags = texts.mapInArrow(_bags(strings), BAGS).toPandas()
-        labelled = texts.select("doc", "label").distinct().toPandas().sort_values("doc")
+        bags = stored(texts.mapInArrow(_bags(strings), BAGS), "toxicity-sentences")
+        labelled = texts.select("doc", "label").distinct().toPandas().sort_values(["doc", "label"])
     finally:
         texts.unpersist()
-    x = np.vstack([*bags.vector, np.zeros(len(strings))])  # the last: a sentence like no landmark
-    doc, y = np.append(bags.doc.to_numpy(), -1), np.append(bags.label.to_numpy(), 0) * 2 - 1
-    rank = np.lexsort((*x.T, doc))
-    blank = int(np.flatnonzero(rank == len(rank) - 1)[0])
-    x, doc, y = x[rank] @ Landmarks.of(strings).whiten, doc[rank], y[rank]
+    whiten = Landmarks.of(strings).whiten
+    negative, positive = (bags.where(F.col("label") == k).coalesce(24) for k in (0, 1))
     w, picked = None, None
     for _ in range(4):
-        strength = x @ w[:-1] if w is not None else np.linalg.norm(x, axis=1)
-        use = y < 0
-        order = np.lexsort((-strength, doc))
-        head = np.ones(len(order), bool)
-        head[1:] = doc[order][1:] != doc[order][:-1]
-        use[order[head & (y[order] > 0)]] = True
-        if picked is not None and (use == picked).all():
+        # one sentence of each of at most ``sample`` texts
+        best = positive.mapInArrow(_strongest(whiten, w), STRONGEST).groupBy("doc").agg(
+            F.max(F.struct("strength", "vector")).alias("best")).select("doc", "best.vector").toPandas().sort_values("doc")
+        x = np.vstack([*best.vector, np.zeros((0, len(strings)))])
+        if picked is not None and np.array_equal(picked, x):
             break
-        picked = use
-        cost = np.where(y[use] > 0, 1 / max(1, (y[use] > 0).sum()), 1 / (y[use] < 0).sum())
-        w = hinge(x[use], y[use], cost)
-    ids = labelled.doc.to_numpy()
-    real = np.arange(len(x)) != blank
-    evidence = document_evidence(np.searchsorted(ids, doc[real]), (x @ w[:-1] + w[-1])[real], len(ids), float(w[-1]))
+        picked = x
+        w = newton(negative, x @ whiten, whiten, w)
+    margins = bags.mapInArrow(_margins(whiten, w), MARGINS).groupBy("doc", "label").agg(
+        F.max("margin").alias("most"), F.sum((F.col("margin") > 0).cast("long")).alias("count")).toPandas()
+    found = labelled.merge(margins, "left", ["doc", "label"])
+    evidence = np.column_stack([
+        np.maximum(found["most"].fillna(-np.inf).to_numpy(), w[-1]), np.log1p(found["count"].fillna(0).to_numpy(np.float64))])
     *slopes, offset = platt(evidence, labelled.label.to_numpy() * 2 - 1)
     # the classes were sampled apart: back to their shares among the labelled rows
     offset += float(np.log(shares[1] / shares[0]) - np.log(n[1] / n[0]))

@@ -392,6 +392,38 @@ def test_subsequence_kernel():
     assert table @ table.T == pytest.approx(np.array(want), abs=1e-5)
 
 
+def test_newton_steps_reach_the_least_loss(spark):
+    """Sums of tasks give weights at which the whole loss has no slope."""
+    rng = np.random.default_rng(8)
+    plus, minus = rng.normal(0.6, 1, (40, 3)), rng.normal(-0.4, 1, (500, 3))
+    whiten = np.array([[1.0, 0.2, 0], [0.2, 1.5, 0.1], [0, 0.1, 0.7]])
+    rows = [(k, 0, v.tolist()) for k, v in enumerate(minus)]
+    negative = spark.createDataFrame(rows, toxicity.BAGS).repartition(5)
+    w = toxicity.newton(negative, plus @ whiten, whiten, None, steps=30)
+    x = np.column_stack([np.vstack([plus, minus, np.zeros((1, 3))]) @ whiten, np.ones(541)])
+    y = np.repeat([1.0, -1.0], [40, 501])
+    cost = np.repeat([1 / 80, 1 / 1002], [40, 501])
+    slope = lambda v: -2 * x.T @ (cost * y * np.maximum(0, 1 - y * (x @ v))) + 1e-3 * v
+    assert np.abs(slope(w)).max() < 1e-6
+    nothing = toxicity.newton(negative.limit(0), plus[:0], whiten, None)  # only a sentence like no landmark
+    assert nothing[:3].tolist() == [0, 0, 0] and -1 < nothing[3] < 0
+
+
+def test_inverted_list_of_landmarks(spark):
+    """Values of strings near a landmark are those of the dense table."""
+    marks = toxicity.Landmarks.of(["stupid", "idiot", "worthless", "idiotic"])
+    texts = ["stupids", "idiots", "worthles", "banana", "", "idiotic", "sstupid"]
+    flat = np.frombuffer("".join(texts).encode(), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    start = end - [len(t) for t in texts]
+    who, what, value = toxicity.features(flat, start, end)
+    dense = np.zeros((len(texts), toxicity.LETTERS**3))
+    dense[who, what] = value
+    found, near = marks._near(flat, start, end)
+    assert near == pytest.approx((dense @ marks.table)[found], abs=1e-5)
+    assert set(np.flatnonzero((dense @ marks.table).max(axis=1) >= toxicity.LEAST)) <= set(found.tolist())
+
+
 # Decontamination ------------------------------------------------------------------------
 
 def test_leaks(spark, small):
