@@ -27,9 +27,15 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+#: Hashes are polynomials modulo this prime, at two bases: modulo a power of two, strings that
+#: repeat a pattern by its doubling rule collide whatever the base.
+_PRIME = (1 << 31) - 1
+_BASES = (1_103_515_245, 1_847_860_793)
+_WIDE = 0x9E3779B97F4A7C15
+#: Positions hashed at once, so that temporaries stay in the processor's cache.
+_BLOCK = 1 << 15
+#: Powers of both bases, then of their inverses.
+_residues = [np.ones(1, np.uint32)] * 4
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -141,27 +147,67 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A number of at most the prime + 7 that equals x modulo the prime, whose bits are all ones."""
+    p, shift = U64(_PRIME), U64(31)
+    x = (x & p) + (x >> shift)
+    return (x & p) + (x >> shift)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = _folded(x)
+    return np.where(x >= _PRIME, x - U64(_PRIME), x)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and their inverses modulo 2**64, at least ``n`` of each."""
+    """Powers of an odd number and their inverses modulo 2**64, at least ``n`` of each.
+
+    Sums of them find candidates and look pieces up; they do not tell crafted strings apart.
+    """
     if len(_powers[0]) < n:
         size = max(1 << 20, 1 << (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _INVERSE)):
+        for k, base in enumerate((_WIDE, pow(_WIDE, -1, 1 << 64))):
             steps = np.full(size, base, U64)
             steps[0] = 1
             _powers[k] = np.cumprod(steps, dtype=U64)
     return _powers[0], _powers[1]
 
 
+def residues(n: int) -> list[np.ndarray]:
+    """Powers of both bases and of their inverses modulo the prime, at least ``n`` of each."""
+    if len(_residues[0]) < n:
+        size = max(1 << 20, 1 << (n - 1).bit_length())
+        for k, base in enumerate((*_BASES, *(pow(b, -1, _PRIME) for b in _BASES))):
+            table, step = np.ones(1, U64), base
+            while len(table) < size:
+                table, step = np.concatenate([table, _reduced(table * U64(step))]), step * step % _PRIME
+            _residues[k] = table.astype(np.uint32)
+    return _residues
+
+
 class PrefixHash:
-    """Polynomial hashes modulo 2**64 of any substring, from one pass over the bytes."""
+    """Polynomial hashes of any substring, 31 bits at each of two bases, from one pass over the bytes."""
 
     def __init__(self, flat: np.ndarray):
-        up, self.down = powers(len(flat) + 1)
-        self.sums = np.zeros(len(flat) + 1, U64)
-        np.cumsum(_VALUES[flat] * up[: len(flat)], dtype=U64, out=self.sums[1:])
+        n = len(flat)
+        up, self.down = residues(n + 1)[:2], residues(n + 1)[2:]
+        self.sums = np.zeros((2, n + 1), np.uint32)
+        for a in range(0, n, _BLOCK):
+            b = min(a + _BLOCK, n)
+            value = flat[a:b].astype(U64) + U64(1)
+            for k in (0, 1):
+                terms = value * up[k][a:b]  # at most 39 bits, a block's sum 54
+                terms[0] += self.sums[k, a]
+                self.sums[k, a + 1:b + 1] = _folded(np.cumsum(terms, dtype=U64))
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+        out = np.empty(len(start), U64)
+        for a in range(0, len(out), _BLOCK):
+            low, high = start[a:a + _BLOCK], end[a:a + _BLOCK]
+            one, two = (
+                _reduced((self.sums[k][high] + U64(2 * _PRIME) - self.sums[k][low]) * self.down[k][low]) for k in (0, 1))
+            out[a:a + _BLOCK] = one << U64(32) | two
+        return out
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(self.raw(start, end))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from liftgrid.llm import (
     decontamination, language_model, ngram_join, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, toxicity,
 )
+from liftgrid.llm.common import _BASES, _PRIME, PrefixHash
 from liftgrid.llm.queries import TOKENIZERS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -392,6 +393,51 @@ def test_subsequence_kernel():
     assert table @ table.T == pytest.approx(np.array(want), abs=1e-5)
 
 
+def doubled(one, two, size):
+    """Two strings that swap at every doubling; sums of powers modulo 2**64 do not tell them apart."""
+    while len(one) < size:
+        one, two = one + two, two + one
+    return one, two
+
+
+@pytest.mark.parametrize("letters", ["ab", "-Y", "01", "xz"])
+def test_hashes_tell_doubled_strings_apart(letters):
+    for size in (64, 512, 1024, 4096):
+        data = np.frombuffer("".join(doubled(*letters, size)).encode(), np.uint8)
+        one, two = PrefixHash(data).of(np.array([0, size]), np.array([size, 2 * size]))
+        assert one != two
+
+
+def test_hashes_of_blocks_are_those_of_the_whole_sum():
+    data = np.random.default_rng(3).integers(0, 256, 100_000).astype(np.uint8)
+    data[70_000:71_000] = data[100:1100]
+    sums = PrefixHash(data)
+    whole = [sum((int(v) + 1) * pow(b, i, _PRIME) for i, v in enumerate(data[30_000:35_000])) % _PRIME for b in _BASES]
+    assert int(sums.raw(np.array([30_000]), np.array([35_000]))[0]) == whole[0] << 32 | whole[1]
+    assert sums.of(np.array([100]), np.array([1100])) == sums.of(np.array([70_000]), np.array([71_000]))
+
+
+def test_doubled_strings_in_operators(spark):
+    """Words and contents that only look alike to a weak hash: no link, no removal, words of their own."""
+    x, y = doubled("a", "b", 1024)
+    docs = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.near_copies(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    left, right = doubled("-", "Y", 256)
+    for seed in (0, 14, 15):
+        middle = "".join(np.random.default_rng(seed).choice(list("abcdefgh"), 128))
+        both = spark.createDataFrame([(1, left + middle + right), (2, right + middle + left)], "doc_id long, text string")
+        assert {r.n_removed for r in suffix_dedup.remove_repeats(both).collect()} == {0}
+    train = spark.createDataFrame([(k, f"{x} {y}" if k % 2 else x) for k in range(40)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in language_model.score(train, language_model.fit(train)).collect()}
+    kept = [k for k in range(40) if zlib.crc32(str(k).encode()) % 10]
+    tokens = sum(3 if k % 2 else 2 for k in kept)
+    count = Counter({"x": len(kept), "y": sum(k % 2 for k in kept), "": len(kept)})
+    price = {w: math.log10((c + 0.1) / (tokens + 0.1 * 4)) for w, c in count.items()}
+    assert rows[1].train_tokens == tokens
+    assert rows[1].base_score == pytest.approx(price["x"] + price["y"] + price[""], abs=1e-9)
+    assert rows[2].base_score == pytest.approx(price["x"] + price[""], abs=1e-9)
+
+
 def test_newton_steps_reach_the_least_loss(spark):
     """Sums of tasks give weights at which the whole loss has no slope."""
     rng = np.random.default_rng(8)
