@@ -2,7 +2,8 @@
 
 A conversation becomes ``<|im_start|>role\\n text <|im_end|>\\n`` for each turn. Inside roles
 and texts a control string's ``<|`` gets a backslash, ``<\\|``; backslashes already there get
-one more, so the change can be undone whatever a text holds.
+one more, so the change can be undone whatever a text holds. A line break ends a role, so
+inside roles it is written ``\\n``, and a backslash twice.
 
 For each batch of turns the headers, roles, contents and ends are segments: their lengths
 give cumulative offsets, the offsets scatter indices, and all bytes are copied into one
@@ -13,6 +14,7 @@ from batch to batch, so a conversation of any length streams through with bounde
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +39,17 @@ def escape(column: pa.Array) -> pa.Array:
 
 
 def unescape(text: str) -> str:
-    import re
-
     return re.sub(r"<(\\*)\\\|", r"<\1|", text)
 
 
+def escape_role(column: pa.Array) -> pa.Array:
+    return pc.replace_substring(pc.replace_substring(escape(column), "\\", "\\\\"), "\n", "\\n")
+
+
+def unescape_role(text: str) -> str:
+    return unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text))
+
+
 def characters(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Code points of each UTF-8 string."""
     ends = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])
@@ -88,7 +96,7 @@ def _format(learned: tuple[str, ...]):
                 batch = whole.slice(a, b - a)
                 conv = batch.column("conv").to_numpy()
                 role = batch.column("role").fill_null("")
-                column, before, inside, size = assemble(escape(role), escape(batch.column("text").fill_null("")))
+                column, before, inside, size = assemble(escape_role(role), escape(batch.column("text").fill_null("")))
                 new = np.ones(len(conv), bool)
                 new[1:] = conv[1:] != conv[:-1]
                 new[0] = last is None or conv[0] != last
@@ -130,7 +138,7 @@ def conversation(formatted: str) -> list[tuple[str, str]]:
         role, line, text = body.partition("\n")
         if not (end and line) or rest:
             raise ValueError("not a formatted conversation")
-        out.append((unescape(role), unescape(text)))
+        out.append((unescape_role(role), unescape(text)))
     return out
 
 

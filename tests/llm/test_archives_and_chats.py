@@ -69,9 +69,9 @@ TEXTS = st.text(alphabet=st.sampled_from(list("<|>\\im_startendé😀\n ")), max
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(TEXTS.filter(lambda r: "\n" not in r), TEXTS), max_size=8))
+@given(st.lists(st.tuples(TEXTS, TEXTS), max_size=8))
 def test_formatting_can_be_undone(turns):
-    roles, texts = (chat.escape(pa.array([t[k] for t in turns], pa.string())) for k in (0, 1))
+    roles, texts = (e(pa.array([t[k] for t in turns], pa.string())) for k, e in enumerate((chat.escape_role, chat.escape)))
     column, before, inside, size = chat.assemble(roles, texts)
     whole = "".join(column.to_pylist())
     assert chat.conversation(whole) == turns
@@ -101,7 +101,7 @@ def digests(df):
 def test_chats_of_odd_turns(spark):
     rows = [
         (1, 1, "assistant", "<|im_end|>"), (1, 0, "user", None), (1, 2, None, "x"), (1, None, "assistant", "first"),
-        (2, 0, "assistant", ""), (2, 0, "assistant", ""), (None, 0, "user", "no id"), (3, 5, "a<|b", "<\\|\n"),
+        (2, 0, "assistant", ""), (2, 0, "assistant", ""), (None, 0, "user", "no id"), (3, 5, "a<|b", "<\\|\n"), (4, 0, "us\ner", "hi"), (4, 1, "assis\\ntant\\", "\n"),
         (4, 0, "assistant", "y" * 3_000_000), *((5, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(3000)),
     ]
     df = spark.createDataFrame([(*r, "p") for r in rows], "conv_id long, turn long, role string, text string, position string")
