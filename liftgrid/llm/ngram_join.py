@@ -8,9 +8,9 @@ text's set falls into one part for each fragment.
   The number of fragments follows from a class of sizes; a set is cut for its own class and
   for the next one, so similar sets always share a cutting. Empty parts are left out where
   enough others remain, else they count as parts.
-* Groups of equal parts are joined to their least member only, first inside a slice, so a
-  part that a third of all texts share sends a few rows. Equal sets are joined to one
-  representative before anything is compared.
+* Sketches. A set's 512 parities, each of the number of its n-grams at one place, bound the
+  difference of two sets from below; pairs beyond what may differ go before their n-grams are
+  read (``plausible``).
 * Verification. The partial overlap of each pair is counted fragment by fragment and summed
   per pair. Inside a fragment an n-gram is its hash's lower 32 bits, the fragment being given
   by the upper ones; two sets of 400 n-grams are miscounted by one in about 1 of 100,000.
@@ -19,6 +19,10 @@ text's set falls into one part for each fragment.
   are first compared with the group's least member (a slice's star has another centre). Then
   they are compared through their differences from it: only pairs whose differences have
   enough in common can be similar (``prefixes``), and these are verified.
+* Number of links. All links of a set lie in its component. There each set is taken as its
+  difference from the n-grams that most sets of the component hold: pairs whose differences
+  are small enough together are linked and are counted from a histogram, whatever their
+  number; the others must share a part of their differences and are verified (``link_counts``).
 """
 
 from __future__ import annotations
@@ -39,8 +43,11 @@ from liftgrid.llm.common import (
 SLICE = 1 << 22
 #: kind 0: a row's set (node, n, set hash); kind 1: a part (key, hub); kind 2: (key, hub, other).
 PARTS = schema("kind int, key bigint, a bigint, b bigint, n bigint")
-FRAGMENTS = schema("node bigint, fragment int, n bigint, grams array<int>")
-WHOLE = schema("node bigint, fragment int, n bigint, grams array<bigint>")
+#: A set's sketch is in its first row only.
+SKETCH = [f"s{k}" for k in range(8)]
+FRAGMENTS, WHOLE = (
+    schema(f"node bigint, fragment int, n bigint, grams array<{kind}>, " + ", ".join(f"{s} bigint" for s in SKETCH))
+    for kind in ("int", "bigint"))
 #: Fragments in which overlaps are counted.
 VERIFY_FRAGMENTS = 4
 #: Sets with more n-grams are counted again by whole hashes where a miscount could decide.
@@ -197,10 +204,32 @@ def _fragments(n: int, count: int, whole_hash: bool = False):
                 start = np.flatnonzero(new)
                 value = gram.view(np.int64) if whole_hash else gram.astype(np.uint32).view(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(gram)).astype(np.int32)), pa.array(value))
-                yield batch_of(WHOLE if whole_hash else FRAGMENTS, node[row[start]], place[start].astype(np.int32), sizes[row[start]], lists)
+                columns = [node[row[start]], place[start].astype(np.int32), sizes[row[start]], lists]
+                head = np.ones(len(start), bool)
+                head[1:] = row[start][1:] != row[start][:-1]
+                for values in sketches(gram, row, len(node)).T:
+                    columns.append(pa.array(values[row[start]].view(np.int64), pa.int64(), mask=~head))
+                yield batch_of(WHOLE if whole_hash else FRAGMENTS, *columns)
     return run
 
 
+def sketches(gram: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """Parities of the n-grams of each row at 64 places of each word of ``SKETCH``."""
+    place = (mix(gram ^ U64(0x2127599BF4325C37)) & U64(64 * len(SKETCH) - 1)).astype(np.int64)
+    odd = np.bincount(row * (64 * len(SKETCH)) + place, minlength=n_rows * 64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64).reshape(n_rows, len(SKETCH))
+
+
+def plausible(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in no more places than similar sets may differ in."""
+    of = lambda c: parts.where("s0 is not null").select(
+        F.col("node").alias(c), F.col("n").alias(f"n{c}"), *(F.col(s).alias(f"{s}{c}") for s in SKETCH))
+    apart = sum((F.bit_count(F.col(f"{s}a").bitwiseXOR(F.col(f"{s}b"))) for s in SKETCH), F.lit(0))
+    near = pairs.join(of("a"), "a").join(of("b"), "b").where(
+        apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    return stored(near.select("a", "b"), "plausible")
+
+
 def sizes_allow(a: str, b: str, percent: int) -> Column:
     """Whether sets of these sizes can be similar at all."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -264,7 +293,7 @@ def representatives(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     nothing, so they stay. All columns are kept as they are.
     """
     node = fresh(docs, "node")
-    rows = grouped_copies(docs, n, percent).where("n_shingles > 0")
+    rows = grouped_copies(docs, n, percent, count=False).where("n_shingles > 0")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
     chosen = rows.groupBy("component").agg(F.min(first).alias("first")).select(F.col("first.node").alias(node))
     has_words = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
@@ -272,15 +301,16 @@ def representatives(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     return kept.dropDuplicates([node]).drop(node).unionByName(docs.where(~has_words))
 
 
-def grouped_copies(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+def grouped_copies(docs: DataFrame, n: int = 3, percent: int = 90, count: bool = True) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links,
-    and node and component, the hashes that name the row and its group.
+    and node and component, the hashes that name the row and its group. Without ``count``
+    there is no n_links.
 
     Words are lower-cased in A-Z; a text of fewer than ``n`` words is one n-gram, one without
     words has no n-gram and links with nothing. Texts link when
     100 * |intersection| >= percent * |union|. component_id is the least doc_id that links
-    reach. n_links counts the verified links of the text's set with other sets, a part of all
-    links. Repeated rows link with each other; null ids take part, and a component of null
+    reach. n_links is the number of other sets that the text's set links with; texts of equal
+    sets are one. Repeated rows link with each other; null ids take part, and a component of null
     ids only has a null component_id. An empty table gives an empty table.
     """
     doc, txt = row_key(docs)
@@ -308,7 +338,8 @@ def grouped_copies(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         "set-stars")
     first = stored(stars.where(sizes_allow("na", "nb", percent)).select("a", "b").distinct(), "pairs")
     plain = texts.select("node", "text")
-    links = verified(first, fragments(first, plain, n), plain, n, percent)
+    parts = fragments(first, plain, n)
+    links = verified(plausible(first, parts, percent), parts, plain, n, percent)
     release(docs.sparkSession)
     found = stored(components(links), "components")
     around = left_out(stars, found)
@@ -318,20 +349,72 @@ def grouped_copies(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         for pairs, rows in ((hub_pairs, apart), (some_pairs, differences), (all_pairs, differences)):
             more = stored(pairs(rows, found, percent), "left-out")
             if not more.isEmpty():
-                links = links.unionByName(verified(more, parts, plain, n, percent))
+                links = links.unionByName(verified(plausible(more, parts, percent), parts, plain, n, percent))
                 release(docs.sparkSession)
                 found = stored(components(links), "components")
-    counts = links.select(F.explode(F.array("a", "b")).alias("leader")).groupBy("leader").agg(F.count(F.lit(1)).alias("n_links"))
-    joined = leader.join(found.select(F.col("node").alias("leader"), "component"), "leader", "left").join(
-        counts, "leader", "left").select(
-        "node", F.coalesce("component", "leader").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    joined = leader.join(found.select(F.col("node").alias("leader"), "component"), "leader", "left").select(
+        "node", "leader", F.coalesce("component", "leader").alias("component"))
     rows = texts.select("doc_id", "node").join(sets.select("node", "n").distinct(), "node").join(joined, "node", "left")
     rows = rows.withColumn("component", F.coalesce("component", "node"))
     least = rows.where(F.col("n") > 0).groupBy("component").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "component", "left").select(
+    rows = rows.join(least, "component", "left")
+    counted = []
+    if count:
+        rows = rows.join(link_counts(found, plain, n, percent).withColumnRenamed("node", "leader"), "leader", "left")
+        counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    return rows.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), "node", "component")
+        *counted, "node", "component")
+
+
+def link_counts(found: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, n_links): with how many other sets of its component (node, component) a set links.
+
+    Let x have d n-grams in its difference from a set h, and w = d * (100 + percent) - |x| *
+    (100 - percent). Sets x and y whose differences have o n-grams in common link when
+    wx + wy <= 2 * o * (100 + percent). Those with wx + wy <= 0 are counted by their w; the
+    others need o >= max(1, d - |x| * (100 - percent) / percent), for x as for y, so they
+    share one of the rarest n-grams of their differences. h are the n-grams that more than
+    half of the component's sets hold. Hashes have 64 bits here.
+    """
+    parts = fragments(found.select(F.col("node").alias("a"), F.col("component").alias("b")), texts, n, whole_hash=True)
+    held = found.join(parts.select("node", "fragment", "grams"), "node").select("component", "fragment", F.explode("grams").alias("gram"))
+    total = found.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    most = held.groupBy("component", "fragment", "gram").agg(F.count(F.lit(1)).alias("n_sets")).join(total, "component").where(
+        "2 * n_sets > m").groupBy("component", "fragment").agg(F.collect_list("gram").alias("most"))
+    empty = F.array().cast("array<bigint>")
+    one, two = F.coalesce("grams", empty), F.coalesce("most", empty)
+    cut = found.select("node", "component", F.explode(F.sequence(F.lit(0), F.lit(VERIFY_FRAGMENTS - 1))).alias("fragment"))
+    differ = stored(
+        cut.join(parts.select("node", "fragment", "n", "grams"), ["node", "fragment"], "left").join(most, ["component", "fragment"], "left")
+        .select("component", "node", "n", F.concat(F.array_except(one, two), F.array_except(two, one)).alias("differ")), "differ")
+    w = F.col("d") * (100 + percent) - F.col("n") * (100 - percent)
+    sizes = stored(differ.groupBy("component", "node").agg(F.max("n").alias("n"), F.sum(F.size("differ")).alias("d"))
+                   .withColumn("w", w), "sizes")
+    # how many sets of a component have at most a given w, at every w that is asked for
+    steps = sizes.select("component", "w", F.lit(1).alias("k")).unionByName(
+        sizes.select("component", (-F.col("w")).alias("w"), F.lit(0).alias("k"))).groupBy("component", "w").agg(F.sum("k").alias("k"))
+    upto = steps.select("component", (-F.col("w")).alias("w"), F.sum("k").over(Window.partitionBy("component").orderBy("w")).alias("near"))
+    near = sizes.join(upto, ["component", "w"]).select("node", (F.col("near") - F.when(F.col("w") <= 0, 1).otherwise(0)).alias("k"))
+    grams = differ.select("component", "node", F.explode("differ").alias("gram"))
+    shared = grams.groupBy("component", "gram").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1")
+    largest = sizes.groupBy("component").agg(F.max("w").alias("top"))
+    some = sizes.join(largest, "component").where("w + top > 0").drop("top")
+    each = Window.partitionBy("node")
+    prefix = grams.join(shared, ["component", "gram"]).join(some, ["component", "node"]).withColumn(
+        "place", F.row_number().over(each.orderBy("n_sets", "gram")) + F.col("d") - F.count(F.lit(1)).over(each))
+    least = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent + 1e-9))
+    prefix = stored(prefix.where(F.col("place") <= F.col("d") - least + 1).select("component", "gram", "node", "n", "d", "w"), "rarest")
+    left, right = (prefix.select("component", "gram", *(F.col(v).alias(v + k) for v in ("node", "n", "d", "w"))) for k in "ab")
+    beyond = F.col("wa") + F.col("wb")
+    pairs = left.join(right, ["component", "gram"]).where(
+        (F.col("nodea") < F.col("nodeb")) & (beyond > 0) & (beyond <= 2 * (100 + percent) * F.least("da", "db"))
+        & sizes_allow("na", "nb", percent)).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+    links = overlaps(plausible(pairs.distinct(), parts, percent), parts).where(
+        F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
+    others = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).alias("k"))
+    return stored(near.unionByName(others).groupBy("node").agg(F.sum("k").cast("long").alias("n_links")), "link-counts")
 
 
 def left_out(stars: DataFrame, found: DataFrame) -> DataFrame:

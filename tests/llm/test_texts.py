@@ -195,6 +195,39 @@ def test_near_copies_of_long_texts_at_the_threshold(spark):
     assert got == jaccard(rows, 1, 90) and len({c for _, _, c in got}) == 7
 
 
+def linked_sets(texts, n, percent):
+    """Per (doc_id, text): with how many other sets its set links."""
+    sets = {}
+    for i, t in texts:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i, t] = frozenset(tuple(w[k:k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+    different = set(sets.values()) - {frozenset()}
+    return {k: sum(100 * len(s & o) >= percent * len(s | o) for o in different if o != s) if s else 0 for k, s in sets.items()}
+
+
+@pytest.mark.parametrize("n, percent", [(3, 90), (2, 60)])
+def test_numbers_of_links_are_those_of_all_pairs(small, n, percent):
+    got = {r.doc_id: r.n_links for r in ngram_join.near_copies(small, n, percent).collect()}
+    assert got == {i: k for (i, _), k in linked_sets(pairs(small), n, percent).items()}
+
+
+def test_numbers_of_links_in_groups_that_chains_join(spark):
+    """Many sets around two texts, linked by a chain between these; copies are no other sets."""
+    rng = np.random.default_rng(5)
+    base = passage(4, 130).split()
+    far = [f"f{k}" if k % 13 == 0 and k else w for k, w in enumerate(base)]
+    rows = [(1000 + k, " ".join(far[:cut] + base[cut:])) for k, cut in enumerate(range(0, 131, 13))]
+    for k in range(120):
+        w = list(base if k % 3 else far)
+        for at in rng.integers(0, len(w), rng.integers(0, 5)):
+            w[at] = f"e{rng.integers(0, 6)}"
+        rows += [(k, " ".join(w))] * (1 + (k % 10 == 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_links) for r in ngram_join.near_copies(df).collect()}
+    expected = {(i, k) for (i, _), k in linked_sets(rows, 3, 90).items()}
+    assert got == expected and max(k for _, k in expected) > 10
+
+
 def test_near_copies_of_odd_texts(odd, empty):
     assert found(ngram_join.near_copies(odd)) == jaccard(ODD, 3, 90)
     assert ngram_join.near_copies(empty).count() == 0
