@@ -250,13 +250,20 @@ def starts(token: np.ndarray) -> np.ndarray:
     return h
 
 
+def matching(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which values are among the sorted keys, where their first key stands, and how many equal it."""
+    if not len(keys):
+        return (np.zeros(0, np.int64),) * 3
+    low = np.searchsorted(keys, values)
+    found = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == values)
+    low = low[found]
+    return found, low, np.searchsorted(keys, values[found], side="right") - low
+
+
 def _hits(token, word, piece, order) -> np.ndarray:
     """Sorted piece * n + place of each place where a piece's rarer word stands."""
-    low = np.searchsorted(word, token[order])
-    high = np.searchsorted(word, token[order], side="right")
-    found = np.flatnonzero(high > low)
-    sizes = high[found] - low[found]
-    return np.sort(piece[ragged(low[found], sizes)] * len(token) + np.repeat(order[found], sizes))
+    found, low, sizes = matching(word, token[order])
+    return np.sort(piece[ragged(low, sizes)] * len(token) + np.repeat(order[found], sizes))
 
 
 def _searcher(index: Index, items: Items, cover: float, answer: float):
@@ -272,12 +279,10 @@ def _searcher(index: Index, items: Items, cover: float, answer: float):
 
     def verbatim(token, cuts) -> set:
         """(row, item) of the texts that hold a piece word for word; shorter pieces meet every window."""
-        first = starts(token)
-        low, high = np.searchsorted(heads, first), np.searchsorted(heads, first, side="right")
         found = set()
-        for at in np.flatnonzero(high > low).tolist():
+        for at, low, size in zip(*(x.tolist() for x in matching(heads, starts(token)))):
             doc = int(np.searchsorted(cuts, at, side="right")) - 1
-            for k in order[low[at]:high[at]].tolist():
+            for k in order[low:low + size].tolist():
                 item, piece = long[k]
                 if (doc, item) not in found and at + len(piece) <= cuts[doc + 1] and (token[at:at + len(piece)] == piece).all():
                     found.add((doc, item))

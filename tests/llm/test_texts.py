@@ -552,6 +552,14 @@ def test_verbatim_leaks_whatever_their_direction():
     assert search(pa.array(texts, pa.string())) == [(0, 1), (2, 2)]
 
 
+def test_sorted_keys_that_values_match():
+    """One search in the keys, a second one only of the values that are among them."""
+    keys = np.array([3, 3, 5, 9], np.uint64)
+    got = decontamination.matching(keys, np.array([5, 1, 3, 10, 9], np.uint64))
+    assert [x.tolist() for x in got] == [[0, 2, 4], [2, 0, 3], [1, 2, 1]]
+    assert [len(x) for x in decontamination.matching(keys[:0], keys)] == [0, 0, 0]
+
+
 @pytest.mark.parametrize("a, b, n", [("abcde", "xaxcxe", 3), ("", "a", 0), ("aa", "a", 1)])
 def test_common_subsequence(a, b, n):
     assert decontamination.common_subsequence(list(a), list(b)) == n
