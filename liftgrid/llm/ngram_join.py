@@ -8,6 +8,10 @@ text's set falls into one part for each fragment.
   The number of fragments follows from a class of sizes; a set is cut for its own class and
   for the next one, so similar sets always share a cutting. Empty parts are left out where
   enough others remain, else they count as parts.
+* Rarest parts. Of f parts that are not empty at most d can differ, so two similar sets share
+  f-d of them. Any order of the parts allows each set to leave out its last f-d-1: some part
+  is still shared. The order is by the number of sets that hold a part, so what many texts
+  quote names no candidates (``rarest_stars``); a third of the parts can be left out.
 * Sketches. A set's 512 parities, each of the number of its n-grams at one place, bound the
   difference of two sets from below; pairs beyond what may differ go before their n-grams are
   read (``plausible``).
@@ -41,7 +45,8 @@ from liftgrid.llm.common import (
 )
 
 SLICE = 1 << 22
-#: kind 0: a row's set (node, n, set hash); kind 1: a part (key, hub); kind 2: (key, hub, other).
+#: kind 0: a row's set (node, n, set hash); kind 1: a part (key, hub); kind 2: (key, hub, other),
+#: both with their cutting as n; kind 3: (spare parts, node, size) of a cutting n.
 PARTS = schema("kind int, key bigint, a bigint, b bigint, n bigint")
 #: A set's sketch is in its first row only.
 SKETCH = [f"s{k}" for k in range(8)]
@@ -98,7 +103,7 @@ def cuttings(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.nda
     while True:
         top = int(first[-1] / t)  # the next class begins above
         d = int((1 - t) / (1 + t) * 2 * top)
-        spare = 0 if d == 0 else 1 if d < 8 else 2
+        spare = 0 if d == 0 else max(1 if d < 8 else 2, d // 2)
         differ.append(d)
         fragments.append(d + 1 + spare)
         if first[-1] > largest:
@@ -106,14 +111,16 @@ def cuttings(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.nda
         first.append(top + 1)
 
 
-def parts_of(gram, row, sizes, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the parts of each set."""
+def parts_of(gram, row, sizes, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """(row, key, cutting) of the parts of each set, and of both cuttings of all sets (cutting,
+    how many parts are to spare)."""
     if not len(gram):
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, U64), none, []
     first, fragments, differ = cuttings(percent, 1 << int(sizes.max()).bit_length())
     own = np.searchsorted(first, sizes, side="right") - 1
     value = mix(gram ^ U64(0x5851F42D4C957F2D))
-    rows, keys = [], []
+    rows, keys, cuts, spares = [], [], [], []
     for step in (0, 1):
         cutting = np.maximum(own, 0) + step
         count = fragments[cutting]
@@ -125,6 +132,7 @@ def parts_of(gram, row, sizes, percent: int) -> tuple[np.ndarray, np.ndarray]:
         r, p = row[start], place[start]
         # the texts whose equal parts might all be empty ones
         full = np.bincount(r, minlength=len(sizes))
+        spares.append((cutting, np.maximum(full - differ[cutting] - 1, 0)))
         scarce = np.flatnonzero((sizes > 0) & (full <= differ[cutting]) & (full < count))
         if len(scarce):
             every = np.repeat(scarce, count[scarce])
@@ -134,8 +142,9 @@ def parts_of(gram, row, sizes, percent: int) -> tuple[np.ndarray, np.ndarray]:
             r, p = np.concatenate([r, every[empty]]), np.concatenate([p, at[empty]])
             total = np.concatenate([total, np.zeros(int(empty.sum()), U64)])
         rows.append(r)
+        cuts.append(cutting[r])
         keys.append(mix(total + mix(cutting[r].astype(U64) * U64(1 << 32) + p)))
-    return np.concatenate(rows), np.concatenate(keys)
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(cuts), spares
 
 
 def _parts(n: int, percent: int):
@@ -149,19 +158,21 @@ def _parts(n: int, percent: int):
                 for k, salt in enumerate((0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)):
                     np.add.at(total[k], row, mix(gram ^ U64(salt)))
                 yield batch_of(PARTS, np.zeros(len(node), np.int32), total[0], node, total[1], sizes)
-                r, key = parts_of(gram, row, sizes, percent)
+                r, key, cut, spares = parts_of(gram, row, sizes, percent)
+                some = sizes > 0
+                for cutting, spare in spares:
+                    yield batch_of(PARTS, np.full(int(some.sum()), 3, np.int32), spare[some], node[some], sizes[some], cutting[some])
                 own = node[r]
                 rank = np.lexsort((own, key))
-                key, own = key[rank], own[rank]
+                key, own, cut = key[rank], own[rank], cut[rank]
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-                key, own = key[new], own[new]
+                key, own, cut = key[new], own[new], cut[new]
                 head = np.ones(len(key), bool)
                 head[1:] = key[1:] != key[:-1]
                 hub = own[np.flatnonzero(head)][np.cumsum(head) - 1] if len(key) else own
                 kind = np.where(head, 1, 2).astype(np.int32)
-                yield batch_of(PARTS, kind, key, hub, pa.array(own, pa.int64(), mask=head),
-                               pa.nulls(len(key), pa.int64()))
+                yield batch_of(PARTS, kind, key, hub, pa.array(own, pa.int64(), mask=head), cut)
     return run
 
 
@@ -176,7 +187,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rest
         if not len(part):
             continue
-        key, a = key[part], a[part]
+        key, a, cut = key[part], a[part], batch.column("n").to_numpy(zero_copy_only=False)[part]
         head = np.ones(len(key), bool)
         head[1:] = key[1:] != key[:-1]
         hub = a[np.flatnonzero(head)][np.cumsum(head) - 1]
@@ -187,8 +198,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_hub = key[-1], hub[-1]
         m = np.flatnonzero(~head & (hub != a))
         if len(m):
-            yield batch_of(PARTS, np.full(len(m), 2, np.int32), key[m], hub[m], a[m],
-                           pa.nulls(len(m), pa.int64()))
+            yield batch_of(PARTS, np.full(len(m), 2, np.int32), key[m], hub[m], a[m], cut[m])
 
 
 def _fragments(n: int, count: int, whole_hash: bool = False):
@@ -318,7 +328,7 @@ def grouped_copies(docs: DataFrame, n: int = 3, percent: int = 90, count: bool =
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
         F.xxhash64(doc, txt).alias("node"))
     # parts meet by their key; other rows only have to be spread
-    place = F.when(F.col("kind") == 1, F.col("key")).when(F.col("kind") == 0, F.col("a")).otherwise(F.col("b"))
+    place = F.when(F.col("kind") == 1, F.col("key")).when(F.col("kind") == 2, F.col("b")).otherwise(F.col("a"))
     table = stored(
         texts.select("node", "text").mapInArrow(_parts(n, percent), PARTS)
         .repartition(place).sortWithinPartitions("kind", "key", "a").mapInArrow(_stars, PARTS), "stars")
@@ -328,14 +338,12 @@ def grouped_copies(docs: DataFrame, n: int = 3, percent: int = 90, count: bool =
     # nodes with equal sets have one representative; no words, no links
     leaders = sets.groupBy("n", "s1", "s2").agg(F.min("node").alias("leader"))
     leader = stored(sets.where("n > 0").distinct().join(leaders, ["n", "s1", "s2"]).select("node", "leader", "n"), "leaders")
-    of = lambda c: leader.select(F.col("node").alias(c), F.col("leader").alias(f"{c}_"), F.col("n").alias(f"n{c}"))
-    stars = stored(
-        table.where("kind = 2").select("key", "a", "b").join(of("a"), "a").join(of("b"), "b")
-        .where("a_ <> b_").select(
-            "key", F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"),
-            F.when(F.col("a_") < F.col("b_"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-            F.when(F.col("a_") < F.col("b_"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct(),
-        "set-stars")
+    of = lambda c: leader.select(F.col("node").alias(c), F.col("leader").alias(f"{c}_"))
+    meeting = table.where("kind = 2").select("key", F.col("n").alias("cutting"), "a", "b").join(of("a"), "a").join(of("b"), "b").where(
+        "a_ <> b_").select("key", "cutting", F.explode(F.array("a_", "b_")).alias("node")).distinct()
+    spare = table.where("kind = 3").select(
+        F.col("a").alias("node"), F.col("n").alias("cutting"), F.col("b").alias("n"), F.col("key").alias("spare")).distinct()
+    stars = rarest_stars(stored(meeting, "set-parts"), spare)
     first = stored(stars.where(sizes_allow("na", "nb", percent)).select("a", "b").distinct(), "pairs")
     plain = texts.select("node", "text")
     parts = fragments(first, plain, n)
@@ -417,6 +425,22 @@ def link_counts(found: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
     return stored(near.unionByName(others).groupBy("node").agg(F.sum("k").cast("long").alias("n_links")), "link-counts")
 
 
+def rarest_stars(parts: DataFrame, spare: DataFrame) -> DataFrame:
+    """(key, a, b, na, nb): the least set a of those that keep a part, with each other one.
+
+    ``parts`` (key, cutting, node) are shared by two sets or more; of a set's parts in a
+    cutting the ``spare`` ones (node, cutting, n, spare) that most sets hold are left out.
+    """
+    held = parts.groupBy("key").agg(F.count(F.lit(1)).alias("n_sets"))
+    each = Window.partitionBy("node", "cutting").orderBy(F.desc("n_sets"), F.desc("key"))
+    kept = stored(
+        parts.join(held, "key").join(spare, ["node", "cutting"]).withColumn("place", F.row_number().over(each))
+        .where("place > spare").select("key", "node", "n"), "rarest-parts")
+    hubs = kept.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1")
+    return stored(kept.join(hubs, "key").where("node <> hub.node").select(
+        "key", F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")), "set-stars")
+
+
 def left_out(stars: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b): the least member and another one of groups that ended in several components."""
     comp = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))

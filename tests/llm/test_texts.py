@@ -161,6 +161,22 @@ def test_near_copies_that_only_a_chain_links(spark):
     assert found(ngram_join.near_copies(df)) == jaccard(rows, 3, 90)
 
 
+def test_quoted_passages_name_few_candidates(spark, monkeypatch):
+    """Texts that quote one passage share parts with all others, but are no near copies."""
+    rows, quoted = [], passage(5, 24)
+    for k in range(150):
+        own = passage(100 + k, 75).split()
+        rows.append((k, " ".join([*own, quoted])))
+        if k % 10 == 0:
+            rows.append((1000 + k, " ".join([*own[:30], "zz", *own[31:], quoted])))
+    tried, plausible = [], ngram_join.plausible
+    monkeypatch.setattr(ngram_join, "plausible", lambda pairs, *a: tried.append(pairs.count()) or plausible(pairs, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.grouped_copies(df, 5, 80, count=False).select("doc_id", "n_shingles", "component_id")
+    assert found(got) == jaccard(rows, 5, 80)
+    assert sum(tried) <= 60
+
+
 def test_near_copies_in_another_slice_than_their_hub(spark):
     """h alone in a slice; s < x in another one share the parts of h and x, but s is not similar to x."""
     by_fragment = defaultdict(list)
