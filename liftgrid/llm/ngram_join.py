@@ -44,7 +44,8 @@ from liftgrid.llm.common import (
     U64, batch_of, components, fresh, mix, release, row_key, schema, slices, stored, utf8, word_hashes,
 )
 
-SLICE = 1 << 22
+#: A slice and what is sorted of it are in memory at once, in every Python worker.
+SLICE = 1 << 20
 #: kind 0: a row's set (node, n, set hash); kind 1: a part (key, hub); kind 2: (key, hub, other),
 #: both with their cutting as n; kind 3: (spare parts, node, size) of a cutting n.
 PARTS = schema("kind int, key bigint, a bigint, b bigint, n bigint")
