@@ -2,9 +2,9 @@
 
 1. Words (runs of letters and digits, lower-cased in A-Z) are hashed into ``FEATURES``
    columns. Document frequencies of the columns are counted over all passages of all texts.
-2. A randomised SVD of TF-IDF passages gives ``RANK`` latent directions. Its products
-   A^T (A W) are summed by tasks; the fit reads at most ``sample`` texts, those with the
-   least hash of their ids. It is the index of the search; all texts are searched.
+2. A randomised SVD of the TF-IDF passages of all texts gives ``RANK`` latent directions, the
+   index of the search. Texts are hashed once, into a table of two bytes a word; products
+   A^T (A W) over it are summed by tasks.
 3. Every text is searched whole: windows of 16, 32 and 64 words slide over it by a quarter of
    their width, each compared by cosine with the benchmark passages of its length.
 4. A candidate is checked first by the number of the passage's rarer words in it, which a
@@ -45,6 +45,13 @@ WIDTHS = (16, 32, 64)
 PASSAGE = 64
 SLICE = 1 << 20
 BLOCK = 2048
+#: Words that a task of the fit takes at least, so that its sums are not more than it reads.
+SHARE = 1 << 23
+#: Numbers of a sum that travel in one row.
+PART = 1 << 14
+#: Ranges added up at once, so that their sums stay in the processor's cache.
+RANGES = 256
+CODED = schema("columns binary")
 PARTS = schema("part int, value binary")
 FOUND = schema("doc_id bigint, item_id bigint")
 GAPS = np.ones(256, bool)
@@ -70,8 +77,8 @@ def passages(cuts: np.ndarray) -> np.ndarray:
     return np.append(cuts[row] + PASSAGE * (np.arange(len(row)) - (np.cumsum(count) - count)[row]), cuts[-1])
 
 
-def _sum_parts(totals: np.ndarray, parts: int = 16) -> Iterator[pa.RecordBatch]:
-    for k, piece in enumerate(np.array_split(totals, parts)):
+def _sum_parts(totals: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k, piece in enumerate(np.array_split(totals, -(-len(totals) // PART))):
         yield batch_of(PARTS, [k], [piece.astype(np.float64).tobytes()])
 
 
@@ -92,43 +99,90 @@ def total(rows: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
     return out.reshape(shape)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals = np.zeros(2 * FEATURES + 1)
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of each text's words."""
     for whole in batches:
         for batch in slices(whole, "text", SLICE):
             token, cuts = tokens(batch.column("text"))
-            start = passages(cuts)
-            key = np.repeat(np.arange(len(start) - 1), np.diff(start)) * FEATURES + columns(token)
-            key = np.sort(key)
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            totals[:FEATURES] += np.bincount(key[new] % FEATURES, minlength=FEATURES)
-            totals[FEATURES:-1] += np.bincount(key % FEATURES, minlength=FEATURES)
-            totals[-1] += len(start) - 1
+            ends, code = pa.py_buffer((2 * cuts).astype(np.int32)), pa.py_buffer(columns(token).astype(np.uint16))
+            yield batch_of(CODED, pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, ends, code]))
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Columns of the words, end to end, and the start of each passage and the end."""
+    for whole in batches:
+        for batch in slices(whole, "columns", SLICE):
+            flat, at = utf8(batch.column("columns"))
+            yield flat.view(np.uint16), passages(at // 2)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals = np.zeros(2 * FEATURES + 1)
+    for column, start in _coded(batches):
+        key = np.repeat(np.arange(len(start) - 1), np.diff(start)) * FEATURES + column
+        key = np.sort(key)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        totals[:FEATURES] += np.bincount(key[new] % FEATURES, minlength=FEATURES)
+        totals[FEATURES:-1] += np.bincount(column, minlength=FEATURES)
+        totals[-1] += len(start) - 1
     yield from _sum_parts(totals)
 
 
+def range_sums(table: np.ndarray, index: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of the rows table[index] over the ranges between ``cuts``, none of which is empty."""
+    pieces = passages(cuts)
+    size = np.diff(pieces)
+    out = np.empty((len(size), table.shape[1]))
+    order = np.argsort(-size, kind="stable")
+    for a in range(0, len(order), RANGES):  # the longest first: those that have a k-th row lead
+        own = order[a:a + RANGES]
+        start, leading = pieces[own], np.searchsorted(-size[own], -np.arange(size[own[0]]))
+        sums = table.take(index[start], axis=0)
+        for k, n in enumerate(leading[1:].tolist(), 1):
+            sums[:n] += table.take(index[start[:n] + k], axis=0)
+        out[own] = sums
+    return out if len(pieces) == len(cuts) else np.add.reduceat(out, np.searchsorted(pieces, cuts[:-1]), axis=0)
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
+
+
+def _images(idf: np.ndarray, basis: np.ndarray, batches: Iterator[pa.RecordBatch]):
+    """A basis by slices: columns that weigh something and the cuts of their passages, the length
+    of each passage, and the products, divided by the lengths."""
+    weighted = basis * idf[:, None]
+    for column, start in _coded(batches):
+        own = np.flatnonzero(idf[column])
+        if len(own):
+            cuts = _changes(np.searchsorted(start, own, side="right"))
+            column = column[own]
+            size = np.sqrt(np.add.reduceat(idf[column] ** 2, cuts[:-1]))[:, None]  # rows of A have unit length, but for repeats
+            yield column, cuts, size, range_sums(weighted, column, cuts) / size
+
+
 def _products(idf: np.ndarray, basis: np.ndarray):
     """A^T (A basis) over the passages of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(basis.shape)
-        weighted = basis * idf[:, None]
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE >> 1):
-                token, cuts = tokens(batch.column("text"))
-                start = passages(cuts)
-                if len(start) < 2:
-                    continue
-                column = columns(token)
-                image = np.add.reduceat(weighted[column], start[:-1], axis=0)
-                size = np.sqrt(np.add.reduceat(idf[column] ** 2, start[:-1]))
-                image /= np.maximum(size, 1e-9)[:, None] ** 2  # rows of A have unit length, but for repeats
-                order = np.argsort(column, kind="stable")
-                passage = np.repeat(np.arange(len(start) - 1), np.diff(start))[order]
-                column = column[order]
-                first = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
-                sums = np.add.reduceat(image[passage], first, axis=0)
-                out[column[first]] += sums * idf[column[first], None]
+        for column, cuts, size, image in _images(idf, basis, batches):
+            order = np.argsort(column, kind="stable")
+            passage = np.repeat(np.arange(len(size)), np.diff(cuts))[order]
+            first = _changes(column[order])
+            own = column[order[first[:-1]]]
+            out[own] += range_sums(image / size, passage, first) * idf[own, None]
+        yield from _sum_parts(out.ravel())
+    return run
+
+
+def _gram(idf: np.ndarray, basis: np.ndarray):
+    """(A basis)^T (A basis) over the passages of a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((basis.shape[1],) * 2)
+        for *_, image in _images(idf, basis, batches):
+            out += image.T @ image
         yield from _sum_parts(out.ravel())
     return run
 
@@ -148,10 +202,14 @@ class Index:
         padded = np.full(blocks * STEP, len(self.rows) - 1)
         padded[:len(column)] = column
         out = np.zeros((blocks + 1, self.rows.shape[1]))
-        for k in range(0, blocks, 4096):
-            own = padded[k * STEP:(k + 4096) * STEP]
-            out[k + 1:k + 4097] = self.rows[own].reshape(-1, STEP, self.rows.shape[1]).sum(axis=1)
-        return np.cumsum(out, axis=0)
+        for k in range(0, blocks, 1024):
+            own = padded[k * STEP:(k + 1024) * STEP].reshape(-1, STEP).T
+            block = self.rows.take(own[0], axis=0)
+            for word in own[1:]:
+                block += self.rows.take(word, axis=0)
+            out[k + 1:k + 1025] = block
+            np.cumsum(out[k:k + 1025], axis=0, out=out[k:k + 1025])
+        return out
 
     @staticmethod
     def latent(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -167,17 +225,16 @@ def weights(counted: np.ndarray) -> np.ndarray:
     return np.where(passages_ <= max(COMMON * counted[-1], 3), np.log((1 + counted[-1]) / (1 + passages_)) + 1e-3, 0)
 
 
-def build_index(docs: DataFrame, sample: int = 4_000, seed: int = 7) -> Index:
-    """Frequencies over all texts; directions by a randomised SVD of a sample's passages."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    counted = total(texts.select("text").mapInArrow(_frequencies, PARTS), (2 * FEATURES + 1,))
+def build_index(docs: DataFrame, seed: int = 7) -> Index:
+    """Frequencies over all texts, and directions by a randomised SVD of all their passages."""
+    coded = stored(docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_code, CODED), "columns")
+    counted = total(coded.mapInArrow(_frequencies, PARTS), (2 * FEATURES + 1,))
     idf = weights(counted)
-    ids = texts.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    chosen = texts.where(F.xxhash64("doc_id") <= F.lit(ids if ids is not None else 0)).select("text")
+    coded = coded.coalesce(max(1, int(counted[FEATURES:-1].sum()) // SHARE))
     basis = np.random.default_rng(seed).standard_normal((FEATURES, RANK + EXTRA))
     for _ in range(2):  # one product, one power iteration
-        basis, _ = np.linalg.qr(total(chosen.mapInArrow(_products(idf, basis), PARTS), basis.shape) + 1e-9 * basis)
-    gram = basis.T @ total(chosen.mapInArrow(_products(idf, basis), PARTS), basis.shape)
+        basis, _ = np.linalg.qr(total(coded.mapInArrow(_products(idf, basis), PARTS), basis.shape) + 1e-9 * basis)
+    gram = total(coded.mapInArrow(_gram(idf, basis), PARTS), (basis.shape[1],) * 2)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     usable = int((values > 1e-6 * max(values[-1], 1e-9)).sum())
     values, vectors = values[::-1][TOP:TOP + RANK], vectors[:, ::-1][:, TOP:TOP + RANK]
@@ -254,9 +311,12 @@ def matching(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Which values are among the sorted keys, where their first key stands, and how many equal it."""
     if not len(keys):
         return (np.zeros(0, np.int64),) * 3
-    low = np.searchsorted(keys, values)
-    found = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == values)
-    low = low[found]
+    leads = np.zeros(1 << 16, bool)  # most values differ from all keys in their first bits
+    leads[keys >> np.uint64(48)] = True
+    found = np.flatnonzero(leads[values >> np.uint64(48)])
+    low = np.searchsorted(keys, values[found])
+    equal = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == values[found])
+    found, low = found[equal], low[equal]
     return found, low, np.searchsorted(keys, values[found], side="right") - low
 
 
@@ -308,7 +368,7 @@ def _searcher(index: Index, items: Items, cover: float, answer: float):
                 b, r = begin[a:a + (1 << 13)], row[a:a + (1 << 13)]
                 shift = places[r] - cuts[r]
                 near = index.latent(sums, b + shift, np.minimum(b + width, cuts[r + 1]) + shift) @ vectors
-                w, k = np.nonzero(near >= limit)
+                k, w = np.nonzero(np.ascontiguousarray((near >= limit).T))  # by piece, as the hits are
                 lo, hi = np.maximum(cuts[r[w]], b[w] - step), np.minimum(cuts[r[w] + 1], b[w] + width + step)
                 inside = np.searchsorted(hits, k * len(token) + hi) - np.searchsorted(hits, k * len(token) + lo)
                 keep = np.flatnonzero(inside >= need[k])

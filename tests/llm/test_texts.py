@@ -568,6 +568,35 @@ def test_verbatim_leaks_whatever_their_direction():
     assert search(pa.array(texts, pa.string())) == [(0, 1), (2, 2)]
 
 
+def test_directions_of_all_texts(spark):
+    """The index is that of the passages of all texts, however many: 48 kinds of them, 12,888 in all."""
+    kinds = [" ".join([f"kind{k}a kind{k}a", *(f"kind{k}{c}" for c in "bcde")]) for k in range(48)]
+    many = 3 * (66 + np.arange(48))
+    rows = [(n, t) for n, t in enumerate(np.repeat(kinds, many).tolist())]
+    index = decontamination.build_index(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    words = np.zeros((48, decontamination.FEATURES))
+    for k, text in enumerate(kinds):
+        np.add.at(words[k], decontamination.columns(decontamination.tokens(pa.array([text]))[0]), 1)
+    idf = decontamination.weights(np.concatenate([many @ (words > 0), many @ words, [many.sum()]]))
+    table = words * idf / np.sqrt(words @ idf**2)[:, None] * np.sqrt(many)[:, None]
+    _, size, to = np.linalg.svd(table, full_matrices=False)
+    own = slice(decontamination.TOP, decontamination.TOP + decontamination.RANK)
+    expected = (to[own] / size[own, None]).T * idf[:, None]
+    expected -= many @ words @ expected / (many @ words).sum()
+    used = np.flatnonzero(words.any(axis=0))
+    found, expected = index.rows[used].astype(float), expected[used]
+    assert index.whole and np.abs(found @ found.T - expected @ expected.T).max() < 1e-4 * np.abs(expected @ expected.T).max()
+
+
+def test_sums_of_ranges():
+    """Of one row, of more than a block's ranges, of more rows than a piece."""
+    rng = np.random.default_rng(3)
+    table, size = rng.standard_normal((50, 4)), np.concatenate([rng.integers(1, 20, 700), [1, 64, 65, 1000, 1]])
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    index = rng.integers(0, 50, cuts[-1]).astype(np.uint16)
+    assert decontamination.range_sums(table, index, cuts) == pytest.approx(np.add.reduceat(table[index], cuts[:-1], axis=0))
+
+
 def test_sorted_keys_that_values_match():
     """One search in the keys, a second one only of the values that are among them."""
     keys = np.array([3, 3, 5, 9], np.uint64)
